@@ -36,6 +36,8 @@ def _norm(v):
     if isinstance(v, float):
         if math.isnan(v):
             return None
+        if v.is_integer() and abs(v) < 2**53:
+            return str(int(v))
         return f"{round(v, 6):.6f}"
     if isinstance(v, decimal.Decimal):
         return f"{float(v):.6f}"
