@@ -41,7 +41,7 @@ def register(name: str, ops: str | tuple[str, ...] = (), oracle: str | None = No
 
 def _load_all() -> None:
     # Importing the modules fills REGISTRY.
-    from shopguard.plans import alerting, analytics, governance, operations, shop  # noqa: F401
+    from shopguard.plans import alerting, analytics, governance, operations, shop, streams  # noqa: F401
 
 
 def queries() -> dict[str, Builder]:

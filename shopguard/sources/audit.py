@@ -45,7 +45,11 @@ def _arr(*xs: str) -> Column:
 
 def policy_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One policy request row per event, with the statement text it carried."""
-    e = load_table(spark, sf_dir, "events")
+    return policy_requests_from(load_table(spark, sf_dir, "events"))
+
+
+def policy_requests_from(e: DataFrame) -> DataFrame:
+    """``policy_requests`` over any events frame (batch or streaming)."""
     k = F.get_json_object("props", "$.k").cast("int")
     et = F.col("event_type")
     write = et.isin("purchase", "error")
@@ -84,8 +88,13 @@ def policy_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def audit_log(spark: SparkSession, sf_dir: str, policies=None) -> DataFrame:
     """The audit table: one string record per statement, decisions as recorded."""
+    return audit_from(policy_requests(spark, sf_dir), policies)
+
+
+def audit_from(requests: DataFrame, policies=None) -> DataFrame:
+    """``audit_log`` over any policy-request frame (batch or streaming)."""
     policies = policies or pol.policy_set(exclude=RECORDED_POLICY_EXCLUDES)
-    r = pol.decide(policy_requests(spark, sf_dir), policies)
+    r = pol.decide(requests, policies)
     allowed = F.col("decision") == "allow"
     is_db = F.col("resource_id") != pol.GITHUB_MCP
     rows = (F.when(~allowed, F.lit(0)).when(F.col("action") == "SQL::select",

@@ -26,7 +26,11 @@ HELP = {
 
 
 def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = load_table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type")
+    return request_log_from(load_table(spark, sf_dir, "events"))
+
+
+def request_log_from(e: DataFrame) -> DataFrame:
+    """``request_log`` over any events frame (batch or streaming)."""
     return e.select(
         F.col("event_id").alias("request_id"), "ts",
         F.when(F.col("user_id") % 2 == 0, "app-01").otherwise("app-02").alias("instance"),
