@@ -66,29 +66,32 @@ def _element_error(x: Column) -> Column:
             .when(st.isNull(), _err("KeyError", "sku")))
 
 
-def payload_error(payload) -> Column:
-    """The exception the order service raises for a payload, or NULLs when ok.
-
-    Returns ``struct<error_type string, error_key string>``. Python truthiness
-    and iteration rules decide: a falsy payload reads as ``{}``; a string
-    ``items`` iterates characters; a dict iterates keys; inside a list the
-    first failing element decides.
+def payload_error(payload, parsed: Column | None = None) -> Column:
+    """T1 as one column expression: the exception the order service raises for
+    a payload, or NULLs when ok (``struct<error_type, error_key>``).
+
+    Python truthiness and iteration rules decide: a falsy payload reads as
+    ``{}``; a string ``items`` iterates characters; a dict iterates keys; inside
+    a list the first failing element decides. ``with_payload_error`` computes
+    the same result with shared subexpressions staged as columns (faster).
     """
     p = _c(payload)
-    v = F.try_parse_json(p)
-    pt = variant_type(v)
-    as_array = F.try_variant_get(v, "$", "array<variant>")
-    falsy = (p.isNull() | (pt == "VOID") | (pt == "OBJECT<>") | (F.size(as_array) == 0)
-             | ((pt == "STRING") & (F.try_variant_get(v, "$", "string") == ""))
-             | (is_number(pt) & (F.try_variant_get(v, "$", "double") == 0)))
+    v = F.try_parse_json(p) if parsed is None else parsed
     items = F.try_variant_get(v, "$.items", "variant")
-    it = variant_type(items)
-    elements = F.try_variant_get(v, "$.items", "array<variant>")
+    return _payload_error(p, v, variant_type(v), items, variant_type(items))
+
+
+def _payload_error(p: Column, v: Column, pt: Column, items: Column, it: Column) -> Column:
+    falsy_scalar = ((F.size(F.try_variant_get(v, "$", "array<variant>")) == 0)
+                    | ((pt == "STRING") & (F.try_variant_get(v, "$", "string") == ""))
+                    | (is_number(pt) & (F.try_variant_get(v, "$", "double") == 0)))
+    elements = F.try_variant_get(items, "$", "array<variant>")
     first_bad = F.get(F.filter(F.transform(elements, _element_error), lambda e: e.isNotNull()), 0)
     ok = _err(None, None)
     return (F.when(p.isNotNull() & v.isNull(), _err("ValueError", "payload"))
-            .when(falsy, _err("KeyError", "items"))
-            .when(~pt.startswith("OBJECT"), _err("TypeError", "payload"))
+            .when(p.isNull() | (pt == "VOID") | (pt == "OBJECT<>"), _err("KeyError", "items"))
+            .when(~pt.startswith("OBJECT"),
+                  F.when(falsy_scalar, _err("KeyError", "items")).otherwise(_err("TypeError", "payload")))
             .when(it.isNull(), _err("KeyError", "items"))
             .when(it == "STRING",
                   F.when(F.try_variant_get(items, "$", "string") == "", ok)
@@ -99,10 +102,35 @@ def payload_error(payload) -> Column:
             .otherwise(F.coalesce(first_bad, ok)))
 
 
+def with_payload_error(df, payload: str = "payload", out: str = "_err", parsed: str = "_v"):
+    """Add ``parsed`` (the payload as VARIANT) and ``out`` (the T1 struct).
+
+    Each shared subexpression (the parse, the payload's type, ``items`` and its
+    type) is its own projected column, so it is computed once per row instead
+    of once per reference.
+    """
+    staged = (df.withColumn(parsed, F.try_parse_json(payload))
+              .withColumn("_pt", variant_type(F.col(parsed)))
+              .withColumn("_items", F.try_variant_get(F.col(parsed), "$.items", "variant"))
+              .withColumn("_it", variant_type(F.col("_items"))))
+    from shopguard.operators.common import evaluate_once
+
+    err = _payload_error(F.col(payload), F.col(parsed), F.col("_pt"), F.col("_items"), F.col("_it"))
+    done = staged.withColumn(out, err).withColumn("items_type", pg_type_name(F.col("_it"))) \
+        .drop("_pt", "_items", "_it")
+    return evaluate_once(done, out, "items_type", parsed)
+
+
+def variant_typeof(v: Column, path: str) -> Column:
+    """``jsonb_typeof`` at ``path`` of an already parsed VARIANT column."""
+    return pg_type_name(variant_type(F.try_variant_get(v, path, "variant")))
+
+
 LINE_TYPE = "array<struct<sku:string,qty:bigint,unit_price_cents:bigint>>"
 
 
-def payload_lines(payload) -> Column:
+def payload_lines(payload, parsed: Column | None = None) -> Column:
     """Typed order lines of a contract-valid payload; empty for ``""``/``{}``/``[]``."""
-    lines = F.try_variant_get(F.try_parse_json(_c(payload)), "$.items", LINE_TYPE)
+    v = F.try_parse_json(_c(payload)) if parsed is None else parsed
+    lines = F.try_variant_get(v, "$.items", LINE_TYPE)
     return F.coalesce(lines, F.array().cast(LINE_TYPE))

@@ -17,3 +17,17 @@ def one_row(*frames: DataFrame) -> DataFrame:
         stacked = stacked.unionByName(f, allowMissingColumns=True)
     cols = [c for f in frames for c in f.columns]
     return stacked.agg(*[F.max(c).alias(c) for c in cols])
+
+
+def evaluate_once(df: DataFrame, *cols: str) -> DataFrame:
+    """Keep ``cols`` computed once per row.
+
+    Catalyst pushes a filter below the projection that defines the columns it
+    tests, copying their expressions into the filter; an expensive column then
+    runs twice (in the filter and in the projection). Passing the columns
+    through a one-row generator stops that copy: a filter on a generator's
+    output cannot move below it.
+    """
+    others = [c for c in df.columns if c not in cols]
+    packed = F.array(F.struct(*[F.col(c).alias(c) for c in cols]))
+    return df.select(*others, F.inline(packed)).select(*df.columns)

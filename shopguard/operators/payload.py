@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shopguard.functions.json import json_text, json_typeof, payload_error, payload_lines
+from shopguard.functions.json import json_typeof, payload_lines, with_payload_error
 
 # Fixed value: the five statuses the generator seeds.
 KNOWN_STATUSES = ("PENDING", "SHIPPED", "DELIVERED", "CANCELLED", "REFUNDED")
@@ -37,31 +37,30 @@ def injection_summary(orders: DataFrame, status: str = "PENDING_RECONCILE") -> D
             .select(F.lit("poisoned").alias("what"), "*"))
 
 
-def classify_payload(orders: DataFrame) -> DataFrame:
+def classify_payload(orders: DataFrame, keep_parsed: bool = False) -> DataFrame:
     """Add ``error_type``, ``error_key``, ``items_type`` and ``shape``.
 
     ``shape`` is A (string items), B (array missing a price), ok, or other.
     """
-    err = payload_error("payload")
-    items_type = json_typeof("payload", "$.items")
-    return (orders.withColumn("_err", err)
+    # Parse once; every check below reads the staged VARIANT columns.
+    return (with_payload_error(orders, "payload", "_err", "_v")
             .withColumn("error_type", F.col("_err.error_type"))
             .withColumn("error_key", F.col("_err.error_key"))
-            .withColumn("items_type", items_type)
             .withColumn("shape",
                         F.when(F.col("error_type").isNull(), "ok")
                         .when(F.col("items_type") == "string", "A")
                         .when((F.col("items_type") == "array")
                               & (F.col("error_key") == "unit_price_cents"), "B")
                         .otherwise("other"))
-            .drop("_err"))
+            .drop("_err", *([] if keep_parsed else ["_v"])))
 
 
 def enrich_orders(orders: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(good, quarantine). Good rows get lines, computed total and totals_match."""
-    classified = classify_payload(orders)
-    bad = classified.where(F.col("error_type").isNotNull())
-    lines = payload_lines("payload")
+    classified = classify_payload(orders, keep_parsed=True)
+    bad = classified.where(F.col("error_type").isNotNull()).drop("_v")
+    v = F.col("_v")
+    lines = payload_lines("payload", v)
     good = (classified.where(F.col("error_type").isNull())
             .withColumn("lines", F.transform(lines, lambda x: x.withField(
                 "line_total_cents", x["qty"] * x["unit_price_cents"])))
@@ -69,9 +68,9 @@ def enrich_orders(orders: DataFrame) -> tuple[DataFrame, DataFrame]:
                         F.aggregate("lines", F.lit(0).cast("long"),
                                     lambda acc, x: acc + x["line_total_cents"]))
             .withColumn("totals_match", F.col("computed_total_cents") == F.col("amount_cents"))
-            .withColumn("channel", json_text("payload", "$.channel"))
-            .withColumn("shipping_method", json_text("payload", "$.shipping.method"))
-            .drop("error_type", "error_key", "items_type", "shape"))
+            .withColumn("channel", F.try_variant_get(v, "$.channel", "string"))
+            .withColumn("shipping_method", F.try_variant_get(v, "$.shipping.method", "string"))
+            .drop("error_type", "error_key", "items_type", "shape", "_v"))
     return good, bad
 
 
