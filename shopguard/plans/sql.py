@@ -20,9 +20,11 @@ def pg_typeof(expr: str, path: str = "$.items") -> str:
             f"WHEN {t} = 'NULL' THEN 'null' WHEN {t} = 'BOOLEAN' THEN 'boolean' ELSE 'number' END)")
 
 
-_LINE_ORDER = "ORDER BY l_linenumber, l_partkey, l_suppkey"
 _QTY = "CAST(l_quantity AS INTEGER)"
 _PRICE = "CAST(round(l_extendedprice * 100) AS BIGINT)"
+# A total order of an order's lines (the same as Spark's struct sort): line
+# number, part, supplier, then sku, quantity and price break remaining ties.
+_LINE_ORDER = f"ORDER BY l_linenumber, l_partkey, l_suppkey, 'P-' || l_partkey, {_QTY}, {_PRICE}"
 
 VIEWS: dict[str, str] = {}
 VIEWS["customers_raw"] = """

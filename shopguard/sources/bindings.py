@@ -50,7 +50,8 @@ def _order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     item_json = lambda x: F.concat(
         F.lit('{"sku":"'), x["sku"], F.lit('","qty":'), x["qty"].cast("string"),
         F.lit(',"unit_price_cents":'), x["price"].cast("string"), F.lit("}"))
-    # One order's lines are bounded (a handful); the sort is per group.
+    # One order's lines are bounded (a handful); the sort is per group and
+    # total: struct order is line number, part, supplier, sku, qty, price.
     per_order = (li.select(F.col("l_orderkey").alias("id"), line.alias("line"))
                  .groupBy("id")
                  .agg(F.array_sort(F.collect_list("line")).alias("lines"),

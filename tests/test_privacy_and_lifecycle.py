@@ -96,3 +96,14 @@ def test_results_do_not_depend_on_shuffle_partitions(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert results[0] == results[1]
+
+
+def test_role_boundary(spark):
+    from shopguard.operators.quality import role_boundary
+
+    roles = spark.createDataFrame(
+        [("shop_read", False, False, False, False), ("shop_remediation", False, False, False, False),
+         ("orders_api", False, True, False, False), ("admin", True, True, True, True)],
+        "rolname string, rolsuper boolean, rolcreatedb boolean, rolcreaterole boolean, rolbypassrls boolean")
+    assert role_boundary(roles, ["shop_read", "shop_remediation"]).collect()[0][0] is True
+    assert role_boundary(roles, ["shop_read", "orders_api"]).collect()[0][0] is False
