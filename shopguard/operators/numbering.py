@@ -37,9 +37,20 @@ def _bucket_expr(keys: Sequence[OrderKey], bounds: list, lo: int, hi: int) -> Co
 
 
 def global_row_number(df: DataFrame, keys: Sequence[OrderKey], name: str = "rn",
-                      rows_per_bucket: int = 2_000_000, sample_rows: int = 200_000) -> DataFrame:
-    """Add ``name`` = 1..n in the order of ``keys`` (which must be unique and non-null)."""
+                      rows_per_bucket: int = 2_000_000, sample_rows: int = 200_000,
+                      materialize: bool = True) -> DataFrame:
+    """Add ``name`` = 1..n in the order of ``keys`` (which must be unique and non-null).
+
+    The input is read three times (count, sample, numbering); with
+    ``materialize`` it is first written once as a reliable checkpoint in the
+    shared checkpoint folder, so an expensive input is not recomputed and a
+    lost executor does not send the job back to the source.
+    """
+    from shopguard.session import cut_lineage
+
     keys = [(k, True) if isinstance(k, str) else k for k in keys]
+    if materialize:
+        df = cut_lineage(df)
     cols = [k for k, _ in keys]
     order = [F.col(k).asc() if a else F.col(k).desc() for k, a in keys]
     n = df.count()

@@ -35,6 +35,7 @@ FROM (SELECT instance, date_trunc('hour', ts) AS hour, 'http_requests_total' AS
       FROM request_log GROUP BY 1, 2)"""
 VIEWS["counter_windows"] = f"""
 SELECT metric, instance, t, count(*) AS samples,
+       min(ts_s) AS first_s, max(ts_s) AS last_s, arg_min(value, ts_s) AS first_v,
        sum(delta) FILTER (WHERE prev_s > t - {WINDOW_S}) AS increase
 FROM (SELECT *, unnest(range(CAST(ceil(ts_s / {STEP_S}) * {STEP_S} AS BIGINT), ts_s + {WINDOW_S}, {STEP_S})) AS t
       FROM (SELECT *, CASE WHEN prev_v IS NULL THEN NULL WHEN value >= prev_v THEN value - prev_v ELSE value END AS delta
@@ -147,6 +148,27 @@ def w2_counter_rate(spark, sf):
     return mt.counter_rate(_samples(spark, sf), WINDOW_S, STEP_S)
 
 
+_EXT = f"""
+SELECT metric, instance, make_timestamp(t * 1000000) AS eval_ts, samples, increase,
+       CASE WHEN samples >= 2 AND last_s > first_s THEN
+         increase * (((last_s - first_s)
+                      + CASE WHEN to_start < gap * 1.1 THEN to_start ELSE gap / 2 END
+                      + CASE WHEN to_end < gap * 1.1 THEN to_end ELSE gap / 2 END)
+                     / (last_s - first_s)) / {WINDOW_S} END AS rate
+FROM (SELECT *, CASE WHEN increase > 0 AND first_v >= 0
+                      AND (last_s - first_s) * (first_v / increase) < first_s - (t - {WINDOW_S})
+                     THEN (last_s - first_s) * (first_v / increase)
+                     ELSE CAST(first_s - (t - {WINDOW_S}) AS DOUBLE) END AS to_start,
+             CAST(t - last_s AS DOUBLE) AS to_end,
+             CAST(last_s - first_s AS DOUBLE) / (samples - 1) AS gap
+      FROM counter_windows)"""
+
+
+@register("w2_counter_rate_extrapolated", "W2", oracle=_EXT)
+def w2_counter_rate_extrapolated(spark, sf):
+    return mt.counter_rate(_samples(spark, sf), WINDOW_S, STEP_S, extrapolate=True)
+
+
 @register("w2_sum_rate", "W2", oracle="SELECT metric, eval_ts, value FROM summed_rate")
 def w2_sum_rate(spark, sf):
     return mt.sum_rate(mt.counter_rate(_samples(spark, sf), WINDOW_S, STEP_S))

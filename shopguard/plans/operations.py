@@ -192,6 +192,15 @@ def p13_open_incidents(spark, sf):
     return rc.open_incidents(dv.incident_docs(spark, sf))
 
 
+@register("p13_no_stale_incident", "P13", oracle="""
+SELECT count(*) AS open_incidents, count(*) = 0 AS clean
+FROM incident_docs WHERE json_extract_string(doc, '$.status') = 'active'""")
+def p13_no_stale_incident(spark, sf):
+    v = F.try_parse_json(F.col("doc"))
+    active = dv.incident_docs(spark, sf).where(F.try_variant_get(v, "$.status", "string") == "active")
+    return active.agg(F.count(F.lit(1)).alias("open_incidents")).withColumn("clean", F.col("open_incidents") == 0)
+
+
 _NAMES = [RULE, "orders-api-latency", "disk-full"]
 
 

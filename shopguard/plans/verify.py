@@ -12,10 +12,14 @@ import decimal
 import hashlib
 import math
 import sys
+import os
 import time
 
 import pandas as pd
 
+# SHOPGUARD_EXACT=1 compares doubles bit for bit instead of rounded to 6 places.
+EXACT = os.environ.get("SHOPGUARD_EXACT") == "1"
+
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings "
           "pages benchmark labels conversations").split()
 
@@ -38,7 +42,7 @@ def _norm(v):
             return None
         if v.is_integer() and abs(v) < 2**53:
             return str(int(v))
-        return f"{round(v, 6):.6f}"
+        return repr(v) if EXACT else f"{round(v, 6):.6f}"
     if isinstance(v, decimal.Decimal):
         return f"{float(v):.6f}"
     if isinstance(v, pd.Timestamp):

@@ -41,24 +41,25 @@ def customers_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per order: the JSON items array text, the line total, and the first line."""
     li = load_table(spark, sf_dir, "lineitem")
-    line = F.struct(
-        F.col("l_linenumber").alias("ln"), F.col("l_partkey").alias("pk"),
-        F.col("l_suppkey").alias("sk"),
-        F.concat(F.lit("P-"), F.col("l_partkey").cast("string")).alias("sku"),
-        F.col("l_quantity").cast("int").alias("qty"),
-        F.round(F.col("l_extendedprice") * 100).cast("long").alias("price"))
-    item_json = lambda x: F.concat(
-        F.lit('{"sku":"'), x["sku"], F.lit('","qty":'), x["qty"].cast("string"),
-        F.lit(',"unit_price_cents":'), x["price"].cast("string"), F.lit("}"))
-    # One order's lines are bounded (a handful); the sort is per group and
-    # total: struct order is line number, part, supplier, sku, qty, price.
+    sku = F.concat(F.lit("P-"), F.col("l_partkey").cast("string"))
+    qty = F.col("l_quantity").cast("int")
+    price = F.round(F.col("l_extendedprice") * 100).cast("long")
+    # Each line's JSON is built in the scan projection (compiled code); the
+    # aggregate only collects, and the sort key struct makes the order total:
+    # line number, part, supplier, then sku, qty and price.
+    line = F.struct(F.col("l_linenumber").alias("ln"), F.col("l_partkey").alias("pk"),
+                    F.col("l_suppkey").alias("sk"), sku.alias("sku"), qty.alias("qty"),
+                    price.alias("price"),
+                    F.concat(F.lit('{"sku":"'), sku, F.lit('","qty":'), qty.cast("string"),
+                             F.lit(',"unit_price_cents":'), price.cast("string"), F.lit("}")).alias("json"))
+    # One order's lines are bounded (a handful); the sort is per group.
     per_order = (li.select(F.col("l_orderkey").alias("id"), line.alias("line"))
                  .groupBy("id")
-                 .agg(F.array_sort(F.collect_list("line")).alias("lines"),
+                 .agg(F.sort_array(F.collect_list("line")).alias("lines"),
                       F.sum(F.col("line.qty") * F.col("line.price")).alias("lines_total")))
     return per_order.select(
         "id", "lines_total",
-        F.concat(F.lit("["), F.array_join(F.transform("lines", item_json), ","), F.lit("]")).alias("items"),
+        F.concat(F.lit("["), F.array_join(F.col("lines.json"), ","), F.lit("]")).alias("items"),
         F.col("lines")[0]["sku"].alias("first_sku"),
         F.col("lines")[0]["qty"].alias("first_qty"))
 
