@@ -54,20 +54,37 @@ def _at(seconds: Column) -> Column:
     return F.timestamp_seconds(seconds).cast("timestamp_ntz")
 
 
+def with_previous(samples: DataFrame, series: Sequence[str], block_s: int = 6 * 3600) -> DataFrame:
+    """Add ``prev_v``/``prev_s``: the series' previous sample, without one window
+    over a whole series (a hot series would sort in one task).
+
+    Samples are cut into time blocks per series; ``lag`` runs inside a block,
+    and the first sample of a block takes the last sample of the nearest
+    earlier block from a small per-block table (one row per series and block).
+    """
+    series = list(series)
+    s = samples.withColumn("_blk", F.floor(F.col("ts_s") / block_s))
+    w = Window.partitionBy(*series, "_blk").orderBy("ts_s")
+    s = s.withColumn("prev_v", F.lag("value").over(w)).withColumn("prev_s", F.lag("ts_s").over(w))
+    last = s.groupBy(*series, "_blk").agg(F.max_by(F.struct("ts_s", "value"), "ts_s").alias("_last"))
+    wb = Window.partitionBy(*series).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    carry = last.withColumn("_carry", F.last("_last", ignorenulls=True).over(wb)).drop("_last")
+    return (s.join(carry, [*series, "_blk"])
+            .withColumn("prev_v", F.coalesce("prev_v", F.col("_carry.value")))
+            .withColumn("prev_s", F.coalesce("prev_s", F.col("_carry.ts_s")))
+            .drop("_blk", "_carry"))
+
+
 def counter_windows(samples: DataFrame, window_s: int = RATE_WINDOW_S, step_s: int = EVAL_INTERVAL_S,
                     series: Sequence[str] = ("metric", "instance")) -> DataFrame:
     """W2 core: per series and evaluation time t (multiples of ``step_s``), the
     samples in ``(t - window, t]``: count, first/last time and value, and the
     reset-adjusted increase between consecutive samples inside the window."""
     series = list(series)
-    w = Window.partitionBy(*series).orderBy("ts")
-    s = (samples.select(*series, "ts", "value")
-         .withColumn("ts_s", _epoch("ts"))
-         .withColumn("prev_v", F.lag("value").over(w))
-         .withColumn("prev_s", F.lag("ts_s").over(w))
-         .withColumn("delta", F.when(F.col("prev_v").isNull(), F.lit(None).cast("double"))
+    s = with_previous(samples.select(*series, "ts", "value").withColumn("ts_s", _epoch("ts")), series)
+    s = s.withColumn("delta", F.when(F.col("prev_v").isNull(), F.lit(None).cast("double"))
                      .when(F.col("value") >= F.col("prev_v"), F.col("value") - F.col("prev_v"))
-                     .otherwise(F.col("value"))))
+                     .otherwise(F.col("value")))
     first_t = F.ceil(F.col("ts_s") / step_s) * step_s
     last_t = F.floor((F.col("ts_s") + window_s - 1) / step_s) * step_s
     grid = s.where(first_t <= last_t).withColumn(

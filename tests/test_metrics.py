@@ -73,3 +73,13 @@ def test_request_counters_and_classes(spark):
 def test_keep_list_is_anchored(spark):
     df = spark.createDataFrame([("up",), ("upx",), ("orders_total",), ("http_5xx_ratio_x",)], "metric string")
     assert [r.metric for r in mt.keep_series(df).collect()] == ["up", "orders_total"]
+
+
+def test_previous_sample_across_blocks(spark):
+    from pyspark.sql import functions as F
+
+    pts = [(0, 1), (50, 2), (400, 3), (401, 4), (1300, 5)]
+    s = _samples(spark, pts).withColumn("ts_s", F.unix_seconds(F.col("ts").cast("timestamp")))
+    got = {r.value: (r.prev_v, r.prev_s) for r in mt.with_previous(s, ["metric", "instance"], block_s=100).collect()}
+    assert got == {1.0: (None, None), 2.0: (1.0, 1704067200), 3.0: (2.0, 1704067250),
+                   4.0: (3.0, 1704067600), 5.0: (4.0, 1704067601)}
