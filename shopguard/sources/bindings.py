@@ -79,10 +79,11 @@ def shop_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     payload = F.concat(F.lit('{"schema":2,"channel":"web","items":'), items,
                        F.lit(',"shipping":{"method":"standard"},"promo":null}'))
     # The per-order lines are hash-partitioned by order id by their aggregate;
-    # a shuffled hash join moves only ``orders`` and leaves the result spread
-    # over the shuffle partitions (a broadcast would keep the scan's layout,
-    # and the lines side grows with lineitem, so it has no size bound).
-    return (o.join(lines.hint("shuffle_hash"), o.o_orderkey == lines.id, "left")
+    # a sort-merge join moves only ``orders``, spills instead of holding a hash
+    # table in memory, and leaves the result spread over the shuffle partitions
+    # (a broadcast would keep the scan's layout, and the lines side grows with
+    # lineitem, so it has no size bound).
+    return (o.join(lines.hint("merge"), o.o_orderkey == lines.id, "left")
             .select(k.alias("id"), F.col("o_custkey").alias("customer_id"),
                     F.coalesce(F.col("first_sku"), F.lit("P-0")).alias("sku"),
                     F.coalesce(F.col("first_qty"), F.lit(1)).alias("qty"),
