@@ -82,13 +82,27 @@ def insert_absent(target: DataFrame, new: DataFrame, key: str = "id") -> DataFra
     return target.unionByName(fresh.select(*cols))
 
 
+def poisoned_rows(orders: DataFrame) -> int:
+    """Rows currently in the poisoned status (one aggregate; a single number reaches the driver)."""
+    return orders.where(F.col("status") == POISON_STATUS).count()
+
+
 def poison_with_backup(orders: DataFrame, backup: DataFrame | None = None, n: int = VICTIMS,
-                       anchor: str = ANCHOR) -> tuple[DataFrame, DataFrame]:
-    """Back the victims up (J3 + J4) and then inject the fault."""
+                       anchor: str = ANCHOR, strict: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Back the victims up (J3 + J4) and then inject the fault.
+
+    ``strict`` enforces the injection's pre- and postcondition: no poisoned
+    rows before, exactly ``n`` after (it runs two counting jobs).
+    """
+    if strict and poisoned_rows(orders):
+        raise RuntimeError("orders already hold poisoned rows; restore before injecting again")
     victims = choose_victims(orders, n)
     new_backup = backup_rows(orders, victims, anchor)
     backup = new_backup if backup is None else insert_absent(backup, new_backup)
-    return inject_fault(orders, victims, anchor), backup
+    poisoned = inject_fault(orders, victims, anchor)
+    if strict and poisoned_rows(poisoned) != n:
+        raise RuntimeError(f"injection did not produce exactly {n} poisoned rows")
+    return poisoned, backup
 
 
 def batch_predicate(batch_id: str = RECONCILE_BATCH) -> F.Column:
@@ -154,16 +168,20 @@ def write_snapshot(tables: dict[str, DataFrame], snapshot_dir: str) -> dict[str,
 
 def restore(spark: SparkSession, snapshot_dir: str, names=("customers", "orders", "payments"),
             target_dir: str | None = None) -> dict[str, DataFrame]:
-    """Read the snapshot (fail when missing) and optionally write a new version."""
+    """Read the snapshot (fail when missing) and optionally write a new
+    version; the new version's ``poison_backup`` is empty (the next run starts clean)."""
+    from shopguard.sources.tables import POISON_BACKUP
+
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(snapshot_dir)
     fs = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration())
     if not fs.exists(jvm_path.suffix("/orders")):
         raise FileNotFoundError(f"snapshot missing: {snapshot_dir}/orders")
     out = {n: spark.read.parquet(f"{snapshot_dir}/{n}") for n in names}
+    out["poison_backup"] = spark.createDataFrame([], POISON_BACKUP)
     if target_dir:
         for n, df in out.items():
             df.write.mode("overwrite").parquet(f"{target_dir}/{n}")
-        out = {n: spark.read.parquet(f"{target_dir}/{n}") for n in names}
+        out = {n: spark.read.parquet(f"{target_dir}/{n}") for n in out}
     return out
 
 

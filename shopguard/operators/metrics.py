@@ -28,15 +28,20 @@ def status_class(code: Column) -> Column:
 
 
 def request_counters(log: DataFrame, bucket: str = "15 seconds", by: Sequence[str] = ("instance",)) -> DataFrame:
-    """A5: total, 2xx, 4xx, 5xx and the 5xx ratio (0 when no requests), per bucket."""
+    """A5: total, 2xx, 4xx, 5xx, unhandled exceptions and the 5xx ratio (0 when
+    no requests), per bucket. ``unhandled`` marks requests that ended in an
+    unhandled exception (the service's "malformed payload" counter); without
+    that column every 500 counts as one."""
     cls = status_class(F.col("status_code"))
+    unhandled = F.col("unhandled") if "unhandled" in log.columns else F.col("status_code") == 500
     return (log.groupBy(F.window("ts", bucket).alias("w"), *by)
             .agg(F.count(F.lit(1)).alias("total"),
                  F.count_if(cls == "2xx").alias("ok_2xx"),
                  F.count_if(cls == "4xx").alias("client_4xx"),
-                 F.count_if(cls == "5xx").alias("server_5xx"))
+                 F.count_if(cls == "5xx").alias("server_5xx"),
+                 F.count_if(unhandled).alias("unhandled_total"))
             .select(F.col("w.start").alias("bucket_start"), *by, "total", "ok_2xx", "client_4xx",
-                    "server_5xx",
+                    "server_5xx", "unhandled_total",
                     F.when(F.col("total") > 0, F.round(F.col("server_5xx") / F.col("total"), 4))
                     .otherwise(F.lit(0.0)).alias("ratio")))
 

@@ -22,7 +22,8 @@ RULE = "orders-api-5xx-rate"
 VIEWS["request_log"] = """
 SELECT event_id AS request_id, ts, CASE WHEN user_id % 2 = 0 THEN 'app-01' ELSE 'app-02' END AS instance,
        '/orders' AS path,
-       CASE event_type WHEN 'error' THEN 500 WHEN 'signup' THEN 404 ELSE 200 END AS status_code
+       CASE event_type WHEN 'error' THEN 500 WHEN 'signup' THEN 404 ELSE 200 END AS status_code,
+       event_type = 'error' AS unhandled
 FROM events"""
 VIEWS["counter_samples"] = """
 SELECT metric, 'counter' AS type, 'orders-api' AS job, instance, instance AS host, 'prod' AS env, 'shop' AS project,
@@ -97,6 +98,7 @@ SELECT time_bucket(INTERVAL 1 HOUR, ts) AS bucket_start, instance, count(*) AS t
        count(*) FILTER (WHERE status_code < 400) AS ok_2xx,
        count(*) FILTER (WHERE status_code >= 400 AND status_code < 500) AS client_4xx,
        count(*) FILTER (WHERE status_code >= 500) AS server_5xx,
+       count(*) FILTER (WHERE unhandled) AS unhandled_total,
        CASE WHEN count(*) > 0 THEN round(count(*) FILTER (WHERE status_code >= 500) / count(*), 4) ELSE 0 END AS ratio
 FROM request_log GROUP BY ALL""")
 def a5_request_counters(spark, sf):

@@ -36,7 +36,8 @@ def request_log_from(e: DataFrame) -> DataFrame:
         F.when(F.col("user_id") % 2 == 0, "app-01").otherwise("app-02").alias("instance"),
         F.lit("/orders").alias("path"),
         F.when(F.col("event_type") == "error", 500).when(F.col("event_type") == "signup", 404)
-        .otherwise(200).alias("status_code"))
+        .otherwise(200).alias("status_code"),
+        (F.col("event_type") == "error").alias("unhandled"))
 
 
 def hourly_counts(log: DataFrame) -> DataFrame:

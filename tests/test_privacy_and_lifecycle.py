@@ -107,3 +107,18 @@ def test_role_boundary(spark):
         "rolname string, rolsuper boolean, rolcreatedb boolean, rolcreaterole boolean, rolbypassrls boolean")
     assert role_boundary(roles, ["shop_read", "shop_remediation"]).collect()[0][0] is True
     assert role_boundary(roles, ["shop_read", "orders_api"]).collect()[0][0] is False
+
+
+def test_strict_injection_guards(spark):
+    orders = b.shop_orders(spark, SMALL)
+    poisoned, _ = lc.poison_with_backup(orders, strict=True)
+    with pytest.raises(RuntimeError):
+        lc.poison_with_backup(poisoned, strict=True)
+
+
+def test_restore_empties_backup(spark):
+    snap = scratch_path(spark, "snap")
+    lc.write_snapshot({"customers": b.customers_raw(spark, SMALL), "orders": b.shop_orders(spark, SMALL),
+                       "payments": b.payments(spark, SMALL)}, snap)
+    out = lc.restore(spark, snap, target_dir=scratch_path(spark, "restored"))
+    assert out["poison_backup"].count() == 0 and out["orders"].count() > 0
