@@ -44,9 +44,33 @@ def _load_all() -> None:
     from shopguard.plans import alerting, analytics, generation, governance, operations, shop, streams  # noqa: F401
 
 
+def prepare(spark: SparkSession) -> None:
+    """Settings every query relies on, applied to whatever session runs it.
+
+    Event-time work (epoch seconds, watermarks) casts TIMESTAMP_NTZ through the
+    session time zone, so the zone is pinned to UTC; reliable checkpoints and
+    stream checkpoints need ``spark.checkpoint.dir``.
+    """
+    from shopguard.session import checkpoint_dir
+
+    if spark.conf.get("spark.sql.session.timeZone", None) != "UTC":
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    checkpoint_dir(spark)
+
+
+def _prepared(build: Builder) -> Builder:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        prepare(spark)
+        return build(spark, sf_dir)
+
+    run.__name__ = getattr(build, "__name__", "query")
+    run.__doc__ = build.__doc__
+    return run
+
+
 def queries() -> dict[str, Builder]:
     _load_all()
-    return {n: q.build for n, q in REGISTRY.items()}
+    return {n: _prepared(q.build) for n, q in REGISTRY.items()}
 
 
 def oracle_sql() -> dict[str, str]:
