@@ -113,6 +113,16 @@ def role_boundary(roles: DataFrame, names: list[str],
     return roles.where(F.col("rolname").isin(*names)).agg(F.bool_and(ok).alias("non_administrative"))
 
 
+def role_boundary_by(roles: DataFrame, by: list[str],
+                     attrs=("rolsuper", "rolcreatedb", "rolcreaterole", "rolbypassrls")) -> DataFrame:
+    """A12 per group of roles: how many roles, how many hold an administrative
+    attribute, and the ``bool_and`` check itself (one partial aggregate)."""
+    ok = reduce(lambda a, b: a & b, [~F.col(a) for a in attrs])
+    return roles.groupBy(*by).agg(F.count(F.lit(1)).alias("roles"),
+                                  F.count_if(~ok).alias("administrative_roles"),
+                                  F.bool_and(ok).alias("non_administrative"))
+
+
 def null_rates(df: DataFrame, table: str) -> DataFrame:
     """Q9: per column null rate; a column that is entirely null hints at a wrong schema."""
     cols = df.columns

@@ -11,6 +11,7 @@ from shopguard.plans.catalog import register
 from shopguard.plans.sql import VIEWS
 from shopguard.sources import audit as src
 from shopguard.sources import bindings as b
+from shopguard.sources import derived as dv
 
 _CANON = src.CANONICAL_UPDATE.replace("'", "''")
 _ACC = "CASE user_id % 3 WHEN 0 THEN {0} WHEN 1 THEN {1} ELSE {2} END"
@@ -354,3 +355,60 @@ FROM (SELECT ts, {text} AS t FROM audit_log)""")
 def a8_evidence_counts(spark, sf):
     a = src.audit_with_time(src.audit_log(spark, sf)).drop("rows_returned", "duration_ms")
     return au.evidence_counts(a, _PROBES, _BEFORE, _AFTER)
+
+
+_BROAD_RE = pol.BROAD_PERMIT_PATTERN.replace("'", "''")
+
+
+@register("c13_broad_permits", "C13", oracle=f"""
+SELECT origin, source, count(*) AS texts,
+       count(*) FILTER (WHERE regexp_matches(text, '{_BROAD_RE}')) AS broad_texts
+FROM (SELECT 'documents' AS origin, source, text FROM documents
+      UNION ALL SELECT 'conversations', role, text FROM conversations)
+GROUP BY ALL""")
+def c13_broad_permits(spark, sf):
+    """Free text that may carry pasted policy (documents, conversation turns),
+    scanned whole for an unconditional permit or the words "global access"."""
+    texts = src.policy_texts(spark, sf)
+    return (pol.broad_permits(texts).groupBy("origin", "source")
+            .agg(F.count(F.lit(1)).alias("texts"), F.count_if("broad").alias("broad_texts")))
+
+
+def _rx_any(col: str, patterns) -> str:
+    return "(" + " OR ".join(f"regexp_matches({col}, '{p}')" for p in patterns) + ")"
+
+
+def _under_sql(col: str, prefixes) -> str:
+    return "(" + " OR ".join(f"starts_with({col} || '/', '{p.rstrip('/')}/')" for p in prefixes) + ")"
+
+
+VIEWS["command_log"] = """
+SELECT event_id, ts, 'session-' || (user_id % 4) AS session,
+       CASE WHEN event_type = 'view' THEN './bin/db-query.sh "SELECT * FROM public.orders WHERE id = ' || k || '"'
+                 || CASE WHEN k % 5 = 4 THEN '; picoclaw config show' ELSE '' END
+            WHEN event_type = 'click' THEN 'bin/db-query.sh --json "SELECT id, name FROM public.customers WHERE id = '
+                 || k || '"'
+            WHEN event_type = 'purchase' THEN './bin/sdm-request-access.sh pg-prod-remediation 15m INC-'
+                 || (event_id % 50 + 100)
+            WHEN event_type = 'error' THEN CASE WHEN k % 2 = 0 THEN 'sdm status' ELSE 'sdm admin users list' END
+            WHEN k % 3 = 0 THEN 'crontab -l' WHEN k % 3 = 1 THEN 'systemctl restart orders-api'
+            ELSE 'curl -s https://status.example/' END AS command,
+       CASE WHEN event_type = 'view' THEN '/opt/agent/workspace/sessions/' || event_id || '.json'
+            WHEN event_type = 'click' THEN '/opt/agent/workspace/notes.md'
+            WHEN event_type = 'purchase' THEN '/var/log/agent/agent.log'
+            WHEN event_type = 'error' THEN '/opt/agent/workspace/memory'
+            ELSE '/opt/agent/workspace-old/' || k END AS path
+FROM (SELECT *, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events)"""
+
+
+@register("c15_command_gate", "C15", oracle=f"""
+SELECT event_id, session, command, path,
+       {_rx_any("command", pol.COMMAND_ALLOW)} AND NOT {_rx_any("command", pol.COMMAND_DENY)} AS command_allowed,
+       {_rx_any("command", pol.COMMAND_DENY)} AS command_denied_by_pattern,
+       {_under_sql("path", pol.READ_PREFIXES + pol.WRITE_PREFIXES)} AS path_readable,
+       {_under_sql("path", pol.WRITE_PREFIXES)} AS path_writable
+FROM command_log""")
+def c15_command_gate(spark, sf):
+    return pol.command_gate(dv.command_log(spark, sf)).select(
+        "event_id", "session", "command", "path", "command_allowed", "command_denied_by_pattern",
+        "path_readable", "path_writable")

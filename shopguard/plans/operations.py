@@ -238,6 +238,23 @@ def x4_grant_drift(spark, sf):
     return rc.grant_drift(expected, actual)
 
 
+VIEWS["role_catalog"] = f"""
+SELECT '{dv.ROLE_PREFIX}' || user_id AS rolname, user_id % 3 AS account_class,
+       user_id % 3 = 1 AND user_id % 7 = 0 AS rolsuper, user_id % 11 = 0 AS rolcreatedb,
+       user_id % 3 = 1 AND user_id % 5 = 0 AS rolcreaterole, user_id % 3 = 2 AND user_id % 13 = 0 AS rolbypassrls,
+       user_id % 17 <> 0 AS rolinherit
+FROM (SELECT DISTINCT user_id FROM events)"""
+
+
+@register("a12_role_boundary", "A12", oracle="""
+SELECT CAST(account_class AS BIGINT) AS account_class, count(*) AS roles,
+       count(*) FILTER (WHERE rolsuper OR rolcreatedb OR rolcreaterole OR rolbypassrls) AS administrative_roles,
+       bool_and(NOT rolsuper AND NOT rolcreatedb AND NOT rolcreaterole AND NOT rolbypassrls) AS non_administrative
+FROM role_catalog GROUP BY account_class""")
+def a12_role_boundary(spark, sf):
+    return qa.role_boundary_by(dv.role_catalog(spark, sf), ["account_class"])
+
+
 _ALLOW_SQL = "(VALUES " + ", ".join([f"('grafana', '{t}')" for t in pol.GRAFANA_TOOLS]
                                     + [f"('github', '{t}')" for t in pol.GITHUB_TOOLS]) + ") a(server, tool)"
 _REQ_SQL = "(VALUES " + ", ".join(f"('{s}', '{t}')" for s, t in rc.REQUIRED_TOOLS) + ") r(server, tool)"

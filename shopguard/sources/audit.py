@@ -148,3 +148,13 @@ def access_requests(requests: DataFrame) -> DataFrame:
                     F.when(k % 5 == 0, "Pending").when(k % 5 == 1, "Denied").otherwise("Approved").alias("status"),
                     F.when(k % 7 == 0, "30m").otherwise("15m").alias("duration"),
                     inc.alias("incident_id"), reason.alias("reason")))
+
+
+def policy_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Free text that may carry pasted policy: whole documents and conversation
+    turns, tagged with where they came from."""
+    docs = load_table(spark, sf_dir, "documents").select(
+        F.lit("documents").alias("origin"), "source", "text")
+    turns = load_table(spark, sf_dir, "conversations").select(
+        F.lit("conversations").alias("origin"), F.col("role").alias("source"), "text")
+    return docs.unionByName(turns)

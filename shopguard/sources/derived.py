@@ -108,3 +108,54 @@ def rule_group_docs(states: DataFrame, rule_name: str) -> DataFrame:
         F.lit('"},{"name":"orders-api-latency","state":"inactive"}]},'
               '{"name":"other","rules":[{"name":"' + rule_name + '","state":"inactive"}]}]}}'))
     return states.select(F.unix_seconds(F.col("eval_ts").cast("timestamp")).alias("doc_id"), doc.alias("doc"))
+
+
+def command_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The agent's shell command log: one command and one file path per event.
+
+    SQL events run the query wrapper (a view with ``k % 5 = 4`` chains a denied
+    config command), purchases ask for access, errors check or administer the
+    gateway, signups try host commands; paths fall inside, at the edge of, or
+    outside the workspace prefixes.
+    """
+    e = load_table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "props")
+    k = F.get_json_object("props", "$.k").cast("int")
+    et = F.col("event_type")
+    ks = _s(k)
+    view = F.concat(F.lit('./bin/db-query.sh "SELECT * FROM public.orders WHERE id = '), ks, F.lit('"'),
+                    F.when(k % 5 == 4, F.lit("; picoclaw config show")).otherwise(F.lit("")))
+    command = (F.when(et == "view", view)
+               .when(et == "click", F.concat(F.lit('bin/db-query.sh --json "SELECT id, name FROM public.customers '
+                                                   'WHERE id = '), ks, F.lit('"')))
+               .when(et == "purchase", F.concat(F.lit("./bin/sdm-request-access.sh pg-prod-remediation 15m INC-"),
+                                                _s(F.col("event_id") % 50 + 100)))
+               .when(et == "error", F.when(k % 2 == 0, F.lit("sdm status")).otherwise(F.lit("sdm admin users list")))
+               .when(k % 3 == 0, F.lit("crontab -l"))
+               .when(k % 3 == 1, F.lit("systemctl restart orders-api"))
+               .otherwise(F.lit("curl -s https://status.example/")))
+    path = (F.when(et == "view", F.concat(F.lit("/opt/agent/workspace/sessions/"), _s("event_id"), F.lit(".json")))
+            .when(et == "click", F.lit("/opt/agent/workspace/notes.md"))
+            .when(et == "purchase", F.lit("/var/log/agent/agent.log"))
+            .when(et == "error", F.lit("/opt/agent/workspace/memory"))
+            .otherwise(F.concat(F.lit("/opt/agent/workspace-old/"), ks)))
+    return e.select("event_id", "ts", F.concat(F.lit("session-"), _s(F.col("user_id") % 4)).alias("session"),
+                    command.alias("command"), path.alias("path"))
+
+
+# The login role of each events user and its attributes.
+ROLE_PREFIX = "app_u"
+
+
+def role_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A ``pg_roles``-like catalog: one login role per events user, in the
+    user's account class (``user_id % 3``, as in the audit binding); a few
+    roles carry administrative attributes, chosen by the user id."""
+    u = F.col("user_id")
+    users = load_table(spark, sf_dir, "events").select("user_id").distinct()
+    return users.select(
+        F.concat(F.lit(ROLE_PREFIX), _s(u)).alias("rolname"), (u % 3).alias("account_class"),
+        ((u % 3 == 1) & (u % 7 == 0)).alias("rolsuper"),
+        (u % 11 == 0).alias("rolcreatedb"),
+        ((u % 3 == 1) & (u % 5 == 0)).alias("rolcreaterole"),
+        ((u % 3 == 2) & (u % 13 == 0)).alias("rolbypassrls"),
+        (u % 17 != 0).alias("rolinherit"))
