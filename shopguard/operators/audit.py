@@ -60,6 +60,9 @@ def evidence_counts(audit: DataFrame, probes: list[tuple[str, str, str, str, str
             aggs.append(F.count_if(hit & (F.col(ts_col) < F.lit(before_ts).cast("timestamp_ntz"))).alias(f"b{i}"))
             aggs.append(F.count_if(hit & (F.col(ts_col) < F.lit(after_ts).cast("timestamp_ntz"))).alias(f"a{i}"))
     wide = audit.agg(*aggs)
+    # One row per probe from the single aggregate row. (A union of selects
+    # would let column pruning cut a different aggregate per branch, and each
+    # would scan the log again.)
     rows = []
     for i, (name, *_rest) in enumerate(probes):
         cols = [F.lit(name).alias("probe"), F.col(f"m{i}").alias("matches"),
@@ -67,11 +70,8 @@ def evidence_counts(audit: DataFrame, probes: list[tuple[str, str, str, str, str
         if before_ts and after_ts:
             cols += [F.col(f"b{i}").alias("before"), F.col(f"a{i}").alias("after"),
                      (F.col(f"a{i}") - F.col(f"b{i}") == 1).alias("grew_by_one")]
-        rows.append(wide.select(*cols))
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return out
+        rows.append(F.struct(*cols))
+    return wide.select(F.inline(F.array(*rows)))
 
 
 def forensic_trail(audit: DataFrame, account_id: str, n: int = 100) -> DataFrame:

@@ -16,6 +16,10 @@ _CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Python call sites in error messages cost several JVM round trips per
+    # DataFrame call while a query is built; the policy and payload columns
+    # make thousands of such calls.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
