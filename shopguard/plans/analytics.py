@@ -11,6 +11,7 @@ from shopguard.operators import quality as qa
 from shopguard.plans.catalog import register
 from shopguard.plans.shop import _poisoned, _poisoned_and_backup
 from shopguard.plans.sql import VIEWS
+from shopguard.session import cut_lineage
 from shopguard.sources import bindings as b
 from shopguard.sources.tables import load_table
 
@@ -234,8 +235,12 @@ _CARD = "\nUNION ALL ".join([_ORDER_CHECKS, _CUSTOMER_CHECKS, _PAYMENT_CHECKS, _
 
 
 def _card(spark, sf):
-    poisoned = _poisoned(spark, sf)
-    customers, pays = b.customers_raw(spark, sf), b.payments(spark, sf)
+    # Five checks read the order binding (a join of orders with aggregated
+    # lines); it is written once as a reliable checkpoint instead of being
+    # rebuilt per check. Payments are numbered from that copy.
+    orders = cut_lineage(b.shop_orders(spark, sf))
+    poisoned = lc.inject_fault(orders, lc.choose_victims(orders))
+    customers, pays = b.customers_raw(spark, sf), b.payments_from_orders(orders, materialize=False)
     return qa.scorecard(qa.order_checks(poisoned), qa.customer_checks(customers),
                         qa.payment_checks(pays), qa.payment_coverage(poisoned, pays))
 

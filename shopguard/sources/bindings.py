@@ -93,11 +93,15 @@ def shop_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
                     payload.alias("payload")))
 
 
-def payments_from_orders(orders: DataFrame) -> DataFrame:
-    """``public.payments``: one row per paid order, ids consecutive in order-id order."""
+def payments_from_orders(orders: DataFrame, materialize: bool = True) -> DataFrame:
+    """``public.payments``: one row per paid order, ids consecutive in order-id order.
+
+    The numbering reads its input three times; ``materialize`` first writes it
+    as a reliable checkpoint (leave it off when ``orders`` already is one).
+    """
     paid = orders.where(F.col("status").isin(*PAID_STATUSES)) \
         .select(F.col("id").alias("order_id"), "amount_cents")
-    numbered = global_row_number(paid, [("order_id", True)], name="id")
+    numbered = global_row_number(paid, [("order_id", True)], name="id", materialize=materialize)
     oid = F.col("order_id")
     return numbered.select(
         "id", "order_id",
