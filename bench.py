@@ -2,9 +2,11 @@
 
     BENCH_SF_DIR=/root/testdata/sf0.1 BENCH_CPUS=8 python bench.py
 
-Each query runs once to warm up, then ``BENCH_RUNS`` times (default 3); the
-median wall time is reported. Queries are fully executed through the ``noop``
-sink, so nothing is collected to the driver.
+One warm-up pass runs every query once (JIT, generated code, file cache),
+then ``BENCH_RUNS`` rounds (default 3) run every query once each, interleaved
+so that no query is always measured first; the median wall time per query is
+reported. Wall time includes building the DataFrame (driver planning) and is
+measured through the ``noop`` sink, so nothing is collected to the driver.
 """
 
 from __future__ import annotations
@@ -35,16 +37,18 @@ def main() -> None:
     spark = get_session(f"local[{cpus}]", cpus, app="shopguard-bench",
                         extra={"spark.driver.memory": os.environ.get("BENCH_DRIVER_MEMORY", "16g")})
     qs = queries()
-    timings: dict[str, float] = {}
-    for name in names:
-        build = qs[name]
-        samples = []
-        for i in range(runs + 1):
-            t0 = time.perf_counter()
-            build(spark, sf_dir).write.format("noop").mode("overwrite").save()
-            if i:  # the first run warms the JVM and the file cache
-                samples.append(time.perf_counter() - t0)
-        timings[name] = round(statistics.median(samples), 3)
+    def run(name: str) -> float:
+        t0 = time.perf_counter()
+        qs[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+        return time.perf_counter() - t0
+
+    for name in names:  # warm-up pass
+        run(name)
+    samples: dict[str, list[float]] = {n: [] for n in names}
+    for _ in range(runs):
+        for name in names:
+            samples[name].append(run(name))
+    timings = {n: round(statistics.median(v), 3) for n, v in samples.items()}
 
     events = spark.read.parquet(os.path.join(sf_dir, "events.parquet")).count()
     sf = os.path.basename(sf_dir.rstrip("/")).removeprefix("sf")

@@ -236,11 +236,12 @@ _CARD = "\nUNION ALL ".join([_ORDER_CHECKS, _CUSTOMER_CHECKS, _PAYMENT_CHECKS, _
 
 def _card(spark, sf):
     # Five checks read the order binding (a join of orders with aggregated
-    # lines); it is written once as a reliable checkpoint instead of being
-    # rebuilt per check. Payments are numbered from that copy.
+    # lines) and four read the numbered payments; each is written once as a
+    # reliable checkpoint instead of being rebuilt per check.
     orders = cut_lineage(b.shop_orders(spark, sf))
     poisoned = lc.inject_fault(orders, lc.choose_victims(orders))
-    customers, pays = b.customers_raw(spark, sf), b.payments_from_orders(orders, materialize=False)
+    customers = b.customers_raw(spark, sf)
+    pays = cut_lineage(b.payments_from_orders(orders, materialize=False))
     return qa.scorecard(qa.order_checks(poisoned), qa.customer_checks(customers),
                         qa.payment_checks(pays), qa.payment_coverage(poisoned, pays))
 
