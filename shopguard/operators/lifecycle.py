@@ -149,11 +149,22 @@ def repair_report(orders: DataFrame, backup: DataFrame, batch_id: str = RECONCIL
 
 
 def multiset_diff(actual: DataFrame, expected: DataFrame) -> DataFrame:
-    """Rows missing from ``actual`` and extra in it, as multisets."""
-    missing = expected.exceptAll(actual).agg(F.count(F.lit(1)).alias("missing"))
-    extra = actual.exceptAll(expected).agg(F.count(F.lit(1)).alias("extra"))
-    return one_row(missing, extra).withColumn(
-        "equal", (F.col("missing") == 0) & (F.col("extra") == 0))
+    """Rows missing from ``actual`` and extra in it, as multisets.
+
+    The counts of ``expected.exceptAll(actual)`` and ``actual.exceptAll(expected)``
+    in one pass: rows are tagged +1 (actual) and -1 (expected), and one grouping
+    by every column nets the tags; a negative net is missing, a positive one
+    extra. Each input is computed once, and copies of one row are combined
+    map-side however many there are.
+    """
+    cols = expected.columns
+    tagged = actual.select(*cols, F.lit(1).alias("_d")).unionByName(
+        expected.select(*cols, F.lit(-1).alias("_d")))
+    net = tagged.groupBy(*cols).agg(F.sum("_d").alias("_d"))
+    zero = F.lit(0).cast("long")
+    return (net.agg(F.coalesce(F.sum(F.when(F.col("_d") < 0, -F.col("_d"))), zero).alias("missing"),
+                    F.coalesce(F.sum(F.when(F.col("_d") > 0, F.col("_d"))), zero).alias("extra"))
+            .withColumn("equal", (F.col("missing") == 0) & (F.col("extra") == 0)))
 
 
 def write_snapshot(tables: dict[str, DataFrame], snapshot_dir: str) -> dict[str, str]:

@@ -81,16 +81,18 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     file with one row group is read by one task, and every per-row expression
     up to the first shuffle (JSON building, VARIANT parsing, regex) runs
     serially. Partitioning on the key the next join or aggregate needs lets
-    that exchange reuse this one, so no shuffle is added. The count is the
-    session's shuffle partition count, given explicitly so that adaptive
-    execution keeps it (it would merge a small shuffle into one or two tasks),
-    and equal to what the next join or aggregate asks for. A cluster-sized
+    that exchange reuse this one, so no shuffle is added (an aggregate accepts
+    a hash partitioning on its key at any count; two spread join sides share
+    one). The count is the number of cores, capped by the session's shuffle
+    partition count, and given explicitly so that adaptive execution keeps it
+    (it would merge a small shuffle into one or two tasks). A cluster-sized
     table spans many files and is left as it is.
     """
     spark = df.sparkSession
-    if len(df.inputFiles()) >= spark.sparkContext.defaultParallelism:
+    cores = spark.sparkContext.defaultParallelism
+    if len(df.inputFiles()) >= cores:
         return df
-    return df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), key)
+    return df.repartition(min(cores, int(spark.conf.get("spark.sql.shuffle.partitions"))), key)
 
 
 def load_table(spark: SparkSession, sf_dir: str, name: str,

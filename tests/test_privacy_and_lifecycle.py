@@ -1,6 +1,8 @@
 """P1-P5, D1-D5, J4, W9/W10 numbering, S6 segmentation, plan inspection."""
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from conftest import SMALL
@@ -122,3 +124,18 @@ def test_restore_empties_backup(spark):
                        "payments": b.payments(spark, SMALL)}, snap)
     out = lc.restore(spark, snap, target_dir=scratch_path(spark, "restored"))
     assert out["poison_backup"].count() == 0 and out["orders"].count() > 0
+
+
+_ROWS = st.lists(st.tuples(st.one_of(st.none(), st.integers(0, 2)), st.one_of(st.none(), st.sampled_from("ab"))),
+                 max_size=8)
+
+
+@settings(max_examples=15, deadline=None)
+@given(_ROWS, _ROWS)
+def test_multiset_diff_equals_except_all(spark, a, b_rows):
+    schema = "k int, s string"
+    actual, expected = spark.createDataFrame(a, schema), spark.createDataFrame(b_rows, schema)
+    got = lc.multiset_diff(actual, expected).collect()[0]
+    assert got.missing == expected.exceptAll(actual).count()
+    assert got.extra == actual.exceptAll(expected).count()
+    assert got.equal == (got.missing == 0 and got.extra == 0)
