@@ -85,19 +85,21 @@ def test_segmentation_across_blocks(spark):
     assert recs == {"aq-1": "aq-1 Pending\n  a\n  b", "aq-2": "aq-2 Approved", "aq-3": "aq-3 Denied\n  c\n  d\n  e"}
 
 
-def test_results_do_not_depend_on_shuffle_partitions(spark):
+@pytest.mark.parametrize("name", ["w9_payments", "a1_order_health", "t2_enrich_orders", "c10_decide",
+                                  "a8_evidence_counts", "a13_scorecard", "w5_alert_states", "x2_restore_equality"])
+def test_results_do_not_depend_on_shuffle_partitions(spark, name):
     from shopguard.plans.catalog import queries
 
     q = queries()
     before = spark.conf.get("spark.sql.shuffle.partitions")
     results = []
     try:
-        for n in ("1", "16"):
+        for n in ("1", "4", "16"):
             spark.conf.set("spark.sql.shuffle.partitions", n)
-            results.append(sorted(map(tuple, q["w9_payments"](spark, SMALL).collect())))
+            results.append(sorted(map(repr, q[name](spark, SMALL).collect())))
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
-    assert results[0] == results[1]
+    assert results[0] == results[1] == results[2]
 
 
 def test_role_boundary(spark):
