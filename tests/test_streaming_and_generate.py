@@ -101,3 +101,20 @@ def test_generated_payments(spark, generated):
     ids = [r.id for r in pays.orderBy("order_id").select("id").collect()]
     assert ids == list(range(1, len(ids) + 1))
     assert pays.where(~F.col("last4").rlike("^[0-9]{4}$")).count() == 0
+
+
+def test_rule_state_first_match_and_absent(spark):
+    from shopguard.operators.records import rule_state
+
+    docs = spark.createDataFrame([
+        (1, '{"data":{"groups":[{"rules":[{"name":"a","state":"firing"},{"name":"a","state":"inactive"}]},'
+            '{"rules":[{"name":"b","state":null}]}]}}'),
+        (2, '{"data":{"groups":[{"name":"g","rules":null},{"rules":[{"name":"a","state":"pending"}]}]}}'),
+        (3, '{"data":{}}'),
+        (4, "not json"),
+    ], "doc_id long, doc string")
+    got = {(r.doc_id, r.name): (r.state, r.exists) for r in rule_state(docs, ["a", "b"]).collect()}
+    assert got == {(1, "a"): ("firing", True), (1, "b"): ("", True),
+                   (2, "a"): ("pending", True), (2, "b"): ("", False),
+                   (3, "a"): ("", False), (3, "b"): ("", False),
+                   (4, "a"): ("", False), (4, "b"): ("", False)}
