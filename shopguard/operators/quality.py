@@ -20,20 +20,41 @@ TIERS = ("standard", "silver", "gold", "platinum")
 PAID_STATUSES = ("DELIVERED", "SHIPPED", "REFUNDED")
 
 
-def _dupes(df: DataFrame, keys: list[Column], name: str) -> DataFrame:
-    return (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1)
-            .agg(F.count(F.lit(1)).alias(name)))
-
-
 def run_checks(df: DataFrame, table: str, row_rules: dict[str, Column],
                unique: dict[str, list[Column]] | None = None) -> DataFrame:
-    """Evaluate ``row_rules`` (violation predicates) in one pass plus uniqueness rules."""
-    names = list(row_rules) + list(unique or {})
+    """Evaluate ``row_rules`` (violation predicates) and uniqueness rules in one pass.
+
+    One grouping-sets aggregate reads the input once: a set per uniqueness rule
+    (its key columns) and the empty set, whose single group counts row-rule
+    violations over all rows. Partial aggregation runs map-side, so many copies
+    of one key are combined before the shuffle. A second aggregate over the
+    (few) groups gives one count per rule: the row-rule totals, and the number
+    of keys held by more than one row.
+    """
+    unique = unique or {}
+    names = list(row_rules) + list(unique)
     aliases = {n: f"c{i}" for i, n in enumerate(names)}
-    parts = [df.agg(*[F.count_if(F.coalesce(p, F.lit(False))).alias(aliases[n])
-                      for n, p in row_rules.items()])] if row_rules else []
-    parts += [_dupes(df, keys, aliases[n]) for n, keys in (unique or {}).items()]
-    wide = one_row(*parts)
+    key_cols = {n: [f"_u{i}_{j}" for j in range(len(keys))] for i, (n, keys) in enumerate(unique.items())}
+    flat = [c for cols in key_cols.values() for c in cols]
+    rule_cols = {n: f"_r{i}" for i, n in enumerate(row_rules)}
+    staged = df.select(*[k.alias(c) for n, keys in unique.items() for k, c in zip(keys, key_cols[n])],
+                       *[F.coalesce(p, F.lit(False)).alias(rule_cols[n]) for n, p in row_rules.items()])
+    zero = F.lit(0).cast("long")
+    if not flat:
+        wide = staged.agg(*[F.count_if(F.col(rule_cols[n])).alias(aliases[n]) for n in row_rules])
+    else:
+        def gid(members: list[str]) -> int:  # grouping_id: a bit per grouping column left out
+            return sum(1 << (len(flat) - 1 - j) for j, c in enumerate(flat) if c not in members)
+
+        groups = (staged.groupingSets([key_cols[n] for n in unique] + [[]], *flat)
+                  .agg(F.grouping_id().alias("_gid"), F.count(F.lit(1)).alias("_n"),
+                       *[F.count_if(F.col(c)).alias(c) for c in rule_cols.values()]))
+        everything = F.col("_gid") == gid([])
+        wide = groups.agg(
+            *[F.coalesce(F.max(F.when(everything, F.col(rule_cols[n]))), zero).alias(aliases[n])
+              for n in row_rules],
+            *[F.count_if((F.col("_gid") == gid(key_cols[n])) & (F.col("_n") > 1)).alias(aliases[n])
+              for n in unique])
     stack = ", ".join(f"'{n}', {aliases[n]}" for n in names)
     return (wide.selectExpr(f"stack({len(names)}, {stack}) AS (check_name, violations)")
             .select(F.lit(table).alias("tbl"), "check_name", "violations",

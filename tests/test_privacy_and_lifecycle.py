@@ -141,3 +141,26 @@ def test_multiset_diff_equals_except_all(spark, a, b_rows):
     assert got.missing == expected.exceptAll(actual).count()
     assert got.extra == actual.exceptAll(expected).count()
     assert got.equal == (got.missing == 0 and got.extra == 0)
+
+
+_CHECK_ROWS = st.lists(st.tuples(st.one_of(st.none(), st.integers(0, 3)),
+                                 st.one_of(st.none(), st.sampled_from(["a", "A", "b"])),
+                                 st.integers(-1, 2)), max_size=10)
+
+
+@settings(max_examples=15, deadline=None)
+@given(_CHECK_ROWS)
+def test_fused_checks_equal_brute_force(spark, rows):
+    from collections import Counter
+
+    from shopguard.operators.quality import run_checks
+
+    df = spark.createDataFrame(rows, "id int, email string, qty int")
+    got = {r.check_name: r.violations for r in run_checks(
+        df, "t", {"qty_positive": F.col("qty") <= 0, "not_null": F.col("id").isNull()},
+        {"pk_unique": [F.col("id")], "email_unique_ci": [F.lower("email")]}).collect()}
+    ids = Counter(r[0] for r in rows)
+    emails = Counter(None if r[1] is None else r[1].lower() for r in rows)
+    assert got == {"qty_positive": sum(r[2] <= 0 for r in rows), "not_null": sum(r[0] is None for r in rows),
+                   "pk_unique": sum(c > 1 for c in ids.values()),
+                   "email_unique_ci": sum(c > 1 for c in emails.values())}
