@@ -20,6 +20,9 @@ _CONF = {
     # DataFrame call while a query is built; the policy and payload columns
     # make thousands of such calls.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
+    # Queries that read a derived table more than once checkpoint it; remove
+    # those files once the checkpointed DataFrame is gone.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
