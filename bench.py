@@ -37,9 +37,19 @@ def main() -> None:
     spark = get_session(f"local[{cpus}]", cpus, app="shopguard-bench",
                         extra={"spark.driver.memory": os.environ.get("BENCH_DRIVER_MEMORY", "16g")})
     qs = queries()
-    def run(name: str) -> float:
+    failed: dict[str, str] = {}
+
+    def run(name: str) -> float | None:
+        # A failing query is reported (stderr, "failed") and skipped; the others still run.
+        if name in failed:
+            return None
         t0 = time.perf_counter()
-        qs[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+        try:
+            qs[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+        except Exception as e:  # noqa: BLE001
+            failed[name] = str(e).splitlines()[0][:300] if str(e) else type(e).__name__
+            print(f"bench: {name} failed: {failed[name]}", file=sys.stderr)
+            return None
         return time.perf_counter() - t0
 
     for name in names:  # warm-up pass
@@ -47,23 +57,26 @@ def main() -> None:
     samples: dict[str, list[float]] = {n: [] for n in names}
     for _ in range(runs):
         for name in names:
-            samples[name].append(run(name))
-    timings = {n: round(statistics.median(v), 3) for n, v in samples.items()}
+            t = run(name)
+            if t is not None:
+                samples[name].append(t)
+    timings = {n: round(statistics.median(v), 3) if v else None for n, v in samples.items()}
 
     events = spark.read.parquet(os.path.join(sf_dir, "events.parquet")).count()
     sf = os.path.basename(sf_dir.rstrip("/")).removeprefix("sf")
     out = {
         "metric": "headline_total_sec",
-        "value": round(sum(timings.values()), 3),
+        "value": round(sum(t for t in timings.values() if t is not None), 3),
         "unit": "sec",
         "queries": timings,
         "sf": float(sf) if sf.replace(".", "", 1).isdigit() else sf,
         "r1_rows_per_sec": round(events / timings["r1_live_request_counters"], 1)
-        if "r1_live_request_counters" in timings else None,
+        if timings.get("r1_live_request_counters") else None,
         "spark": spark.version,
         "cores": cpus,
         "shuffle_partitions": int(spark.conf.get("spark.sql.shuffle.partitions")),
         "runs": runs,
+        "failed": failed,
     }
     print(json.dumps(out))
 
