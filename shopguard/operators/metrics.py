@@ -22,6 +22,19 @@ THRESHOLD = 0.05
 KEEP_METRICS = r"^(?:http_requests_.*|http_5xx_ratio|orders_.*|orders_api_.*|up|scrape_samples_scraped)$"
 
 
+def fixed_text(x: Column, places: int) -> Column:
+    """Python's ``f"{x:.{places}f}"``: ``x`` rounded half-to-even on its exact
+    binary value, as the order service prints its 5xx ratio. (``round``
+    differs at decimal ties: it rounds the shortest decimal form half up, so
+    139/800, stored just below 0.17375, gives 0.1738 where Python prints 0.1737.)"""
+    return F.regexp_replace(F.format_number(x, places), ",", "")
+
+
+def fixed(x: Column, places: int) -> Column:
+    """``fixed_text`` read back as a double."""
+    return fixed_text(x, places).cast("double")
+
+
 def status_class(code: Column) -> Column:
     """5xx, 4xx, else 2xx (3xx counts as 2xx)."""
     return F.when(code >= 500, "5xx").when(code >= 400, "4xx").otherwise("2xx")
@@ -42,7 +55,7 @@ def request_counters(log: DataFrame, bucket: str = "15 seconds", by: Sequence[st
                  F.count_if(unhandled).alias("unhandled_total"))
             .select(F.col("w.start").alias("bucket_start"), *by, "total", "ok_2xx", "client_4xx",
                     "server_5xx", "unhandled_total",
-                    F.when(F.col("total") > 0, F.round(F.col("server_5xx") / F.col("total"), 4))
+                    F.when(F.col("total") > 0, fixed(F.col("server_5xx") / F.col("total"), 4))
                     .otherwise(F.lit(0.0)).alias("ratio")))
 
 

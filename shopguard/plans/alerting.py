@@ -99,7 +99,8 @@ SELECT time_bucket(INTERVAL 1 HOUR, ts) AS bucket_start, instance, count(*) AS t
        count(*) FILTER (WHERE status_code >= 400 AND status_code < 500) AS client_4xx,
        count(*) FILTER (WHERE status_code >= 500) AS server_5xx,
        count(*) FILTER (WHERE unhandled) AS unhandled_total,
-       CASE WHEN count(*) > 0 THEN round(count(*) FILTER (WHERE status_code >= 500) / count(*), 4) ELSE 0 END AS ratio
+       CASE WHEN count(*) > 0 THEN CAST(printf('%.4f', count(*) FILTER (WHERE status_code >= 500) / count(*)) AS DOUBLE)
+            ELSE 0 END AS ratio
 FROM request_log GROUP BY ALL""")
 def a5_request_counters(spark, sf):
     return mt.request_counters(ms.request_log(spark, sf), "1 hour")
@@ -115,7 +116,7 @@ def s5_counter_samples(spark, sf):
 SELECT metric, type, job, instance, host, env, project, ts, value FROM counter_samples
 UNION ALL
 SELECT 'http_5xx_ratio', 'gauge', job, instance, host, env, project, ts,
-       CASE WHEN t > 0 THEN round(e / t, 4) ELSE 0 END
+       CASE WHEN t > 0 THEN CAST(printf('%.4f', e / t) AS DOUBLE) ELSE 0 END
 FROM (SELECT job, instance, host, env, project, ts,
              max(value) FILTER (WHERE metric = 'http_requests_total') AS t,
              max(value) FILTER (WHERE metric = 'http_requests_5xx_total') AS e

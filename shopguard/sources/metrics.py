@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from shopguard.operators.metrics import fixed_text
 from shopguard.sources.tables import load_table
 
 # Target and external labels of the scrape, HELP texts.
@@ -68,7 +69,8 @@ def exposition_lines(samples: DataFrame) -> DataFrame:
     scrape = samples.groupBy("instance", "ts").agg(
         F.max(F.when(F.col("metric") == COUNTERS[0], F.col("value"))).alias("total"),
         F.max(F.when(F.col("metric") == COUNTERS[1], F.col("value"))).alias("errors"))
-    ratio = F.when(F.col("total") > 0, F.round(F.col("errors") / F.col("total"), 4)).otherwise(0.0)
+    # Printed as the service prints it: f"{rate:.4f}", 0.0 when no requests.
+    ratio = F.when(F.col("total") > 0, fixed_text(F.col("errors") / F.col("total"), 4)).otherwise("0.0000")
     metrics = [("http_requests_total", "counter", F.col("total")),
                ("http_requests_5xx_total", "counter", F.col("errors")),
                ("http_5xx_ratio", "gauge", ratio),

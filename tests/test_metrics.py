@@ -83,3 +83,18 @@ def test_previous_sample_across_blocks(spark):
     got = {r.value: (r.prev_v, r.prev_s) for r in mt.with_previous(s, ["metric", "instance"], block_s=100).collect()}
     assert got == {1.0: (None, None), 2.0: (1.0, 1704067200), 3.0: (2.0, 1704067250),
                    4.0: (3.0, 1704067600), 5.0: (4.0, 1704067601)}
+
+
+def test_ratio_formats_like_python(spark):
+    """The 5xx ratio is printed as f"{rate:.4f}": ties go by the exact binary value."""
+    from pyspark.sql import functions as F
+
+    from shopguard.operators.metrics import fixed, fixed_text
+
+    pairs = [(139, 800), (1, 32), (215, 800), (500, 3200), (84, 1920), (348, 384), (1, 3), (0, 7), (7, 7)]
+    df = spark.createDataFrame(pairs, "e long, t long")
+    x = F.col("e") / F.col("t")
+    rows = df.select("e", "t", fixed_text(x, 4).alias("s"), fixed(x, 4).alias("d")).collect()
+    for r in rows:
+        assert r.s == f"{r.e / r.t:.4f}", r
+        assert r.d == float(f"{r.e / r.t:.4f}"), r
