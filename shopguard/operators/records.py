@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shopguard.operators import policy as pol
+from shopguard.operators.metrics import fixed
 
 # Fixed values of the alert envelope defaults.
 DEFAULT_INCIDENT = "GRAFANA-ALERT"
@@ -121,7 +122,7 @@ def job_states(jobs: DataFrame) -> DataFrame:
         F.when(timed_out, F.lit(None).cast("int")).otherwise(F.col("exit_code")).alias("exit_code"),
         F.when(timed_out, F.lit("")).otherwise(tail("stdout", STDOUT_KEEP)).alias("stdout"),
         tail("stderr", STDERR_KEEP).alias("stderr"),
-        F.round("duration_raw", 1).alias("duration_seconds"))
+        fixed(F.col("duration_raw"), 1).alias("duration_seconds"))  # Python's round(x, 1)
 
 
 def recent(df: DataFrame, keep: int, show: int, ts: str, key: str, by: Sequence[str] = ()) -> DataFrame:

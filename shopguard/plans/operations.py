@@ -152,7 +152,7 @@ SELECT job_id, session, submitted_at,
        CASE WHEN timed_out THEN NULL ELSE exit_code END AS exit_code,
        CASE WHEN timed_out THEN '' WHEN length(stdout) > 20000 THEN right(stdout, 20000) ELSE stdout END AS stdout,
        CASE WHEN length(stderr) > 8000 THEN right(stderr, 8000) ELSE stderr END AS stderr,
-       round(duration_raw, 1) AS duration_seconds
+       CAST(printf('%.1f', duration_raw) AS DOUBLE) AS duration_seconds
 FROM jobs"""
 
 
