@@ -13,11 +13,13 @@ import os
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+import shopguard
 from shopguard.operators import audit as au
 from shopguard.operators import metrics as mt
 from shopguard.operators import policy as pol
@@ -25,6 +27,11 @@ from shopguard.operators.payload import classify_payload
 from shopguard.session import checkpoint_dir
 from shopguard.sources.tables import DRIVER_SCHEMAS, table_path
 
+# The keyed-state functions below run in Python workers. Their code (and the
+# package code they reach) travels with the task, so a worker needs no
+# installed copy of the package; a cluster may ship it with --py-files instead.
+cloudpickle.register_pickle_by_value(shopguard)
+
 # Fixed value: the default watermark (the alert query's 600 s look-back).
 WATERMARK = "10 minutes"
 
