@@ -1,0 +1,12 @@
+import os
+import sys
+
+import pytest
+
+sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
+
+
+@pytest.fixture(scope="session")
+def documents(spark):
+    """The smallest documents table as plain rows."""
+    return spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()
