@@ -299,3 +299,15 @@ def digest_round_trip(docs: DataFrame, path: str, id_col: str = "doc_id",
 
     return _apply(docs.withColumnRenamed(id_col, "doc_id") if id_col != "doc_id" else docs, path, text_col,
                   ["doc_id"], row, "n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
+def encode_corpus(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(doc_id, n_tokens, token_ids, ids_sha256, decoded_sha256)`` per row: the encoded corpus with
+    the digests that prove its round trip (see ``digest_round_trip`` for NULLs and repeats)."""
+    def row(tok: Tokenizer, text: str | None):
+        ids = tok.encode(text or "")
+        return (len(ids) // 4, np.frombuffer(ids, "<u4").astype(np.int32), hashlib.sha256(ids).hexdigest(),
+                hashlib.sha256(tok.decode(ids).encode()).hexdigest())
+
+    return _apply(docs.withColumnRenamed(id_col, "doc_id") if id_col != "doc_id" else docs, path, text_col,
+                  ["doc_id"], row, "n_tokens long, token_ids array<int>, ids_sha256 string, decoded_sha256 string")

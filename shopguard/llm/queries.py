@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shopguard.llm import bpe, exact_dedup, mixing, simhash
+from shopguard.llm import bpe, exact_dedup, mixing, quality, simhash, topk
 from shopguard.llm.common import read_table
 
 # Target weights of the mix: the one large source at four times the share of any other.
@@ -41,13 +41,24 @@ def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_round_trip(read_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best other vectors of every vector whose id is divisible by 100."""
+    return topk.top_k(read_table(spark, sf_dir, "embeddings"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the copy of it that stays."""
     return exact_dedup.assign_groups(read_table(spark, sf_dir, "documents"))
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text, site and combined quality of every document."""
+    return quality.score(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mix_sources, op2_simhash_near_dedup, op4_bpe_round_trip, op7_exact_dedup)}
+    f.__name__: f for f in (op1_mix_sources, op2_simhash_near_dedup, op4_bpe_round_trip, op5_exact_top_k,
+                            op7_exact_dedup, op10_quality_classifier)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -79,6 +90,18 @@ copied AS (SELECT doc_id, text, lang, source, n_chars,
                   unnest(range(1, copies + 1))::INTEGER AS copy FROM counted)
 SELECT *, md5('order:{MIX_SEED}:' || coalesce(doc_id::VARCHAR, 'null') || ':' || copy) AS mix_key
 FROM copied""",
+    "op5_exact_top_k": """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS e
+           FROM embeddings
+           WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+cells AS (SELECT vec_id, unnest(e) AS x, unnest(range(1, len(e) + 1)) AS i FROM v),
+scores AS (SELECT q.vec_id AS query_id, c.vec_id, sum(q.x * c.x)::BIGINT AS score
+           FROM cells q JOIN cells c ON q.i = c.i AND q.vec_id <> c.vec_id
+           WHERE q.vec_id % 100 = 0 GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank
+           FROM scores)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10""",
     "op7_exact_dedup": f"""
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
        doc_id IS NOT DISTINCT FROM max(doc_id) OVER same AS kept, sha256({_LOWER}) AS text_sha256
