@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shopguard.llm import bpe, exact_dedup, mixing, pii, quality, secrets, simhash, topk
+from shopguard.llm import bpe, exact_dedup, mixing, pii, quality, repeats, secrets, simhash, topk
 from shopguard.llm.common import read_table
 
 # Target weights of the mix: the one large source at four times the share of any other.
@@ -61,6 +61,11 @@ def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_personal_data(read_table(spark, sf_dir, "documents")))
 
 
+def op9_repeat_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stays of every document without the 400-byte strings that occur elsewhere."""
+    return repeats.digest(repeats.remove_repeats(read_table(spark, sf_dir, "documents")))
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text, site and combined quality of every document."""
     return quality.score(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
@@ -68,7 +73,8 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_mix_sources, op2_simhash_near_dedup, op4_bpe_round_trip, op5_exact_top_k,
-                            op6_secret_scan, op7_exact_dedup, op8_personal_data, op10_quality_classifier)}
+                            op6_secret_scan, op7_exact_dedup, op8_personal_data, op9_repeat_removal,
+                            op10_quality_classifier)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
