@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shopguard.llm import bpe, exact_dedup, mixing, pii, quality, repeats, secrets, simhash, topk
+from shopguard.llm import bpe, exact_dedup, mixing, pii, quality, repeats, secrets, simhash, topk, warc
 from shopguard.llm.common import read_table
 
 # Target weights of the mix: the one large source at four times the share of any other.
@@ -36,6 +36,12 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.assign_components(read_table(spark, sf_dir, "documents"))
 
 
+def op3_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every revisit of a crawl of all pages with the response it stands for."""
+    pages = read_table(spark, sf_dir, "pages")
+    return warc.digest(warc.resolve_revisits(warc.captures_of_pages(pages)))
+
+
 def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every document's token ids and of their decoding."""
     return bpe.digest_round_trip(read_table(spark, sf_dir, "documents"), tokenizer_path())
@@ -72,8 +78,8 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mix_sources, op2_simhash_near_dedup, op4_bpe_round_trip, op5_exact_top_k,
-                            op6_secret_scan, op7_exact_dedup, op8_personal_data, op9_repeat_removal,
+    f.__name__: f for f in (op1_mix_sources, op2_simhash_near_dedup, op3_warc_revisits, op4_bpe_round_trip,
+                            op5_exact_top_k, op6_secret_scan, op7_exact_dedup, op8_personal_data, op9_repeat_removal,
                             op10_quality_classifier)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -106,6 +112,49 @@ copied AS (SELECT doc_id, text, lang, source, n_chars,
                   unnest(range(1, copies + 1))::INTEGER AS copy FROM counted)
 SELECT *, md5('order:{MIX_SEED}:' || coalesce(doc_id::VARCHAR, 'null') || ':' || copy) AS mix_key
 FROM copied""",
+    "op3_warc_revisits": f"""
+WITH base AS (SELECT page_id, url, sha256(coalesce(html, '')) AS d, length(coalesce(html, '')) AS size,
+                     unnest(range(0, {warc.ROUNDS}))::INTEGER AS r FROM pages),
+dealt AS (SELECT *, instr('0123456789abcdef', substr(md5(page_id || ':' || r), 1, 1)) - 1 AS kind,
+                 instr('0123456789abcdef', substr(md5(page_id::VARCHAR), 1, 1)) - 1 AS tagged, r // 2 AS gen,
+                 {warc.FIRST} + r::BIGINT * {warc.WEEK} + page_id % 86400 AS ts FROM base),
+kinds AS (SELECT *, CASE r WHEN 0 THEN kind < 14 WHEN 1 THEN kind >= 12 WHEN 2 THEN kind < 8 ELSE false END AS is_full,
+                 '"' || substr(md5(page_id || 'g' || gen), 1, 12) || '"' AS strong,
+                 CASE r WHEN 1 THEN regexp_replace(url, '^https?', 'HTTPS') || '#r1'
+                        WHEN 3 THEN regexp_replace(url, '#.*$', '') || CASE WHEN contains(url, '?') THEN '&' ELSE '?' END
+                                    || 'utm_source=crawl'
+                        ELSE url END AS spelled FROM dealt),
+captures AS (SELECT page_id * {warc.ROUNDS} + r AS record_id, ts, is_full, size, r, trim(spelled) AS u,
+                    CASE WHEN tagged < 8 OR (tagged < 12 AND is_full) THEN strong
+                         WHEN tagged < 12 THEN 'W/' || strong END AS etag,
+                    CASE WHEN tagged < 15 THEN 'generation ' || gen END AS modified,
+                    CASE WHEN is_full THEN sha256(d || gen) END AS payload_sha256 FROM kinds),
+split AS (SELECT *, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)([^?#]*)(\\?[^#]*)?' AS pat FROM captures),
+params AS (SELECT *, list_sort(list_filter(string_split(substr(regexp_extract(u, pat, 3), 2), '&'),
+                  lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[a-z]+|gclid|fbclid)(=|$)'))) AS q FROM split),
+keyed AS (SELECT *, CASE WHEN regexp_matches(u, pat) THEN
+                 regexp_replace(regexp_replace(regexp_replace(lower(regexp_extract(u, pat, 1)), '^.*@', ''),
+                                ':(80|443)$', ''), '^www[0-9]*\\.', '')
+                 || regexp_replace(regexp_extract(u, pat, 2), '/+$', '')
+                 || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END
+                 ELSE u END AS url_key FROM params),
+pairs AS (SELECT v.*, b.record_id AS base_id, b.ts AS base_ts, b.etag AS b_etag, b.modified AS b_modified,
+                 b.size AS b_size, b.payload_sha256 AS b_sha,
+                 row_number() OVER (PARTITION BY v.record_id ORDER BY b.ts DESC NULLS LAST, b.record_id DESC) AS latest
+          FROM keyed v LEFT JOIN keyed b ON b.is_full AND b.url_key = v.url_key AND b.ts < v.ts WHERE NOT v.is_full),
+checked AS (SELECT *, CASE WHEN base_id IS NULL THEN NULL WHEN etag IS NOT NULL AND b_etag IS NOT NULL THEN 'etag'
+                           WHEN modified IS NOT NULL AND b_modified IS NOT NULL THEN 'last_modified' ELSE 'none' END
+                      AS validator FROM pairs WHERE latest = 1),
+stated AS (SELECT *, CASE WHEN url_key IS NULL THEN 'no_url' WHEN base_id IS NULL THEN 'no_earlier_response'
+                          WHEN (validator = 'etag' AND replace(etag, 'W/', '') <> replace(b_etag, 'W/', ''))
+                            OR (validator = 'last_modified' AND modified <> b_modified) THEN 'validator_mismatch'
+                          ELSE 'resolved' END AS state FROM checked)
+SELECT record_id, url_key, ts, state, validator, base_id, base_ts,
+       CASE WHEN state = 'resolved' THEN concat_ws(chr(10), 'cache-control: max-age=' || (r * 60),
+            'content-length: ' || b_size, 'content-type: text/html', 'date: ' || ts,
+            'etag: ' || coalesce(etag, b_etag), 'last-modified: ' || coalesce(modified, b_modified)) END AS headers,
+       CASE WHEN state = 'resolved' THEN b_sha END AS payload_sha256
+FROM stated""".replace("\\\\", "\\"),
     "op5_exact_top_k": """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS e
            FROM embeddings

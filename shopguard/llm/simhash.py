@@ -187,10 +187,14 @@ def _deal(codes: DataFrame, masks: list[int], parts: int) -> DataFrame:
 
     The table of masks depends on the depth and ``parts`` alone, not on the data.
     """
-    table = codes.sparkSession.createDataFrame(
-        [(_signed(m), _signed(c)) for m in masks for c in _split(m, parts)], "fixed long, next long")
-    return codes.join(F.broadcast(table), "fixed").select("fp", "node", F.col("next").alias("fixed")) \
-        .withColumn("bits", F.col("fp").bitwiseAND(F.col("fixed")))
+    if len(masks) == 1:
+        children = F.array(*[F.lit(_signed(c)).cast("long") for c in _split(masks[0], parts)])
+        dealt = codes.select("fp", "node", F.explode(children).alias("fixed"))
+    else:
+        table = codes.sparkSession.createDataFrame(
+            [(_signed(m), _signed(c)) for m in masks for c in _split(m, parts)], "fixed long, next long")
+        dealt = codes.join(F.broadcast(table), "fixed").select("fp", "node", F.col("next").alias("fixed"))
+    return dealt.withColumn("bits", F.col("fp").bitwiseAND(F.col("fixed")))
 
 
 def links(codes: DataFrame, max_bits: int = MAX_BITS, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
