@@ -182,12 +182,11 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     part; an empty table gives an empty result.
     """
     scanned = scan(docs, id_col, text_col)
-    # One row: a map with an entry per stratum (encodings times length classes, a fixed number).
-    cuts = cut_offs(scanned, fdr).agg(F.map_from_entries(F.collect_list(F.struct("stratum", "cut"))).alias("cuts")) \
-        .withColumn("one", F.lit(1))
-    joined = scanned.withColumn("one", F.lit(1)).join(F.broadcast(cuts), "one")
-    hits = F.filter("tested", lambda m: F.coalesce(m["p"] >= F.element_at("cuts", m["stratum"]), F.lit(False)))
-    return joined.select("doc_id", "base", _spans(hits, len(KINDS), RANDOM).alias("added"))
+    # A value per stratum: encodings times length classes, at most a few dozen whatever the input.
+    cuts = F.map_from_entries(F.array(*[F.struct(F.lit(r.stratum), F.lit(r.cut)) for r in cut_offs(scanned, fdr).collect()])
+                              .cast("array<struct<stratum:string,cut:double>>"))
+    hits = F.filter("tested", lambda m: F.coalesce(m["p"] >= F.element_at(cuts, m["stratum"]), F.lit(False)))
+    return scanned.select("doc_id", "base", _spans(hits, len(KINDS), RANDOM).alias("added"))
 
 
 def digest(found: DataFrame) -> DataFrame:
