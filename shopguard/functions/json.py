@@ -126,7 +126,8 @@ def variant_typeof(v: Column, path: str) -> Column:
     return pg_type_name(variant_type(F.try_variant_get(v, path, "variant")))
 
 
-LINE_TYPE = "array<struct<sku:string,qty:bigint,unit_price_cents:bigint>>"
+# Python keeps fractions, so quantities and prices are doubles (exact for integers below 2^53).
+LINE_TYPE = "array<struct<sku:string,qty:double,unit_price_cents:double>>"
 
 
 def payload_lines(payload, parsed: Column | None = None) -> Column:

@@ -8,14 +8,15 @@ from pyspark.sql import functions as F
 # Whitespace of a POSIX [[:space:]] inside one line, the read
 # verbs, and the denial vocabulary.
 _SP = r"[ \t\r\f\x0B]"
-READ_VERB_PATTERN = rf"(?im)^{_SP}*(select|with|values|table|show)[ \t\r\f\x0B(]"
+READ_VERB_PATTERN = rf"(?idm)^{_SP}*(select|with|values|table|show)[ \t\r\f\x0B(]"
 DENIAL_PATTERN = (r"(?i)not permitted|not allowed|denied|forbid|policy|unauthori[sz]ed|"
                   r"autonomous agents cannot write")
 
 
 def classify_statements(df: DataFrame, canonical: str, col: str = "query_body") -> DataFrame:
     """T5: strip trailing ``;`` per line, flag multi-statements, normalise, classify."""
-    stripped = F.regexp_replace(F.col(col), rf"(?m);{_SP}*$", "")
+    # UNIX_LINES: only a line feed ends a line, so "; \r" hides no second statement.
+    stripped = F.regexp_replace(F.col(col), rf"(?dm);{_SP}*$", "")
     squeezed = F.regexp_replace(F.translate(stripped, "\n\t", "  "), " +", " ")
     normalized = F.regexp_replace(F.regexp_replace(squeezed, "^ ", ""), " $", "")
     return df.withColumns({

@@ -31,3 +31,14 @@ def evaluate_once(df: DataFrame, *cols: str) -> DataFrame:
     others = [c for c in df.columns if c not in cols]
     packed = F.array(F.struct(*[F.col(c).alias(c) for c in cols]))
     return df.select(*others, F.inline(packed)).select(*df.columns)
+
+
+def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join on ``keys`` in which NULL equals NULL; the right side's key columns are dropped."""
+    renamed = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys],
+                           *[c for c in right.columns if c not in keys])
+    cond = None
+    for k in keys:
+        c = left[k].eqNullSafe(renamed[f"_r_{k}"])
+        cond = c if cond is None else cond & c
+    return left.join(renamed, cond, how).drop(*[f"_r_{k}" for k in keys])

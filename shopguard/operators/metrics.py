@@ -14,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shopguard.operators.common import join_null_safe
+
 # The alert rule defaults and the metric keep-list.
 RATE_WINDOW_S = 120
 EVAL_INTERVAL_S = 60
@@ -87,7 +89,7 @@ def with_previous(samples: DataFrame, series: Sequence[str], block_s: int = 6 *
     last = s.groupBy(*series, "_blk").agg(F.max_by(F.struct("ts_s", "value"), "ts_s").alias("_last"))
     wb = Window.partitionBy(*series).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
     carry = last.withColumn("_carry", F.last("_last", ignorenulls=True).over(wb)).drop("_last")
-    return (s.join(carry, [*series, "_blk"])
+    return (join_null_safe(s, carry, [*series, "_blk"])
             .withColumn("prev_v", F.coalesce("prev_v", F.col("_carry.value")))
             .withColumn("prev_s", F.coalesce("prev_s", F.col("_carry.ts_s")))
             .drop("_blk", "_carry"))
@@ -169,38 +171,59 @@ def threshold(values: DataFrame, above: float = THRESHOLD) -> DataFrame:
 
 
 def alert_states(values: DataFrame, above: float = THRESHOLD, for_s: int = FOR_S,
-                 interval_s: int = EVAL_INTERVAL_S, rule: str = "rule") -> DataFrame:
+                 interval_s: int = EVAL_INTERVAL_S, rule: str = "rule", block: int = 4096) -> DataFrame:
     """Inactive -> pending on the first breach -> firing once the breach has
     held for ``for_s``; any non-breach resets; no data counts as OK; a row with
     ``error`` set is state error.
 
-    ``values`` has ``rule, eval_ts, value`` (optionally ``error``). Evaluation
-    times without a value are filled from the rule's time range (no data).
+    ``values`` has ``rule, eval_ts, value`` (optionally ``error``), one row per
+    rule and time. Evaluations need not lie on a fixed grid: between two that
+    are n intervals apart (rounded) n - 1 evaluations without data are added.
     Islands: the running count of non-breaching evaluations names each run of
-    breaches, and its first time starts the ``for`` clock.
+    breaches, and its first time starts the ``for`` clock. Windows run inside
+    blocks of evaluations per rule; what crosses a block comes from a table
+    with one row per block, so a long history spreads over tasks.
     """
     if interval_s < 10:
         raise ValueError("evaluation interval must be at least 10 s")
     has_err = "error" in values.columns
-    v = values.select(rule, "eval_ts", "value", *(["error"] if has_err else []))
-    bounds = v.groupBy(rule).agg(F.min("eval_ts").alias("lo"), F.max("eval_ts").alias("hi"))
-    grid = bounds.select(rule, F.explode(F.sequence(
-        _epoch("lo"), _epoch("hi"), F.lit(interval_s).cast("long"))).alias("t")) \
-        .select(rule, _at(F.col("t")).alias("eval_ts"))
-    full = grid.join(v, [rule, "eval_ts"], "left")
+    width = interval_s * block
+    v = (values.select(rule, "eval_ts", "value", *(["error"] if has_err else []))
+         .withColumn("_t", _epoch("eval_ts")).withColumn("_blk", F.floor(F.col("_t") / width)))
+    # The next evaluation: inside the block, or the first of the rule's next block.
+    inside = Window.partitionBy(rule, "_blk").orderBy("_t")
+    blocks = Window.partitionBy(rule).orderBy("_blk")
+    firsts = v.groupBy(rule, "_blk").agg(F.min("_t").alias("_first")) \
+        .withColumn("_after", F.lead("_first").over(blocks)).drop("_first")
+    v = join_null_safe(v.withColumn("_next", F.lead("_t").over(inside)), firsts, [rule, "_blk"])
+    gap = F.coalesce("_next", "_after") - F.col("_t")
+    missing = F.greatest(F.floor((gap + interval_s // 2) / interval_s) - 1, F.lit(0))
+    v = v.withColumn("_n", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(missing, F.lit(0)).cast("long"))))
+    real = F.col("_n") == 0
+    full = v.select(
+        rule, _at(F.col("_t") + F.col("_n") * interval_s).alias("eval_ts"), F.when(real, F.col("value")).alias("value"),
+        *([F.when(real, F.col("error")).alias("error")] if has_err else []),
+        F.floor((F.col("_t") + F.col("_n") * interval_s) / width).alias("_blk"))
     err = F.col("error").isNotNull() if has_err else F.lit(False)
     breach = (~err) & F.coalesce(F.col("value") > F.lit(above), F.lit(False))
-    w = Window.partitionBy(rule).orderBy("eval_ts")
-    island = F.sum(F.when(breach, 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    staged = full.withColumn("breach", breach).withColumn("is_error", err).withColumn("island", island)
-    start = F.min(F.when(F.col("breach"), F.col("eval_ts"))).over(Window.partitionBy(rule, "island"))
+    staged = full.withColumn("breach", breach).withColumn("is_error", err) \
+        .withColumn("_calm", F.when(F.col("breach"), 0).otherwise(1))
+    calm = staged.groupBy(rule, "_blk").agg(F.sum("_calm").alias("_in")) \
+        .withColumn("_before", F.sum("_in").over(blocks) - F.col("_in")).drop("_in")
+    running = Window.partitionBy(rule, "_blk").orderBy("eval_ts").rowsBetween(Window.unboundedPreceding, 0)
+    staged = join_null_safe(staged.withColumn("_own", F.sum("_calm").over(running)), calm, [rule, "_blk"]) \
+        .withColumn("island", F.col("_before") + F.col("_own")).drop("_before", "_own", "_calm")
+    # The start of a run, per block it spans: one row per run and block.
+    spans = staged.where("breach").groupBy(rule, "island", "_blk").agg(F.min("eval_ts").alias("_low"))
+    runs = Window.partitionBy(rule, "island").orderBy("_blk").rowsBetween(Window.unboundedPreceding, 0)
+    spans = spans.withColumn("_start", F.min("_low").over(runs)).drop("_low")
     held = _epoch("eval_ts") - F.unix_seconds(F.col("_start").cast("timestamp"))
-    return (staged.withColumn("_start", start)
+    return (join_null_safe(staged, spans, [rule, "island", "_blk"], "left")
             .withColumn("state", F.when(F.col("is_error"), "error")
                         .when(~F.col("breach"), "inactive")
                         .when(held >= for_s, "firing").otherwise("pending"))
             .withColumn("breach_started", F.when(F.col("breach"), F.col("_start")))
-            .drop("_start", "is_error"))
+            .drop("_start", "_blk", "is_error"))
 
 
 def alert_episodes(states: DataFrame, interval_s: int = EVAL_INTERVAL_S, rule: str = "rule") -> DataFrame:

@@ -1,75 +1,40 @@
 """Consecutive row numbers in a global order without a single-partition window.
 
 ``row_number() over (order by k)`` with no partition key moves every row into
-one task. Instead the key space is cut into balanced ranges from a bounded
-sample, each range is numbered by its own task, and the tiny per-range counts
-become offsets (a broadcast of at most ``n_buckets`` rows).
+one task. Instead the rows are range-partitioned on the keys, each range is
+numbered by its own task, and the ranges' row counts, summed in order, become
+offsets. Only one count per partition reaches the driver.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
+from itertools import accumulate
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 OrderKey = tuple[str, bool]  # (column, ascending)
 
 
-def _before(keys: Sequence[OrderKey], bound: Sequence) -> Column:
-    """Lexicographic "row sorts before ``bound``" for the given key directions."""
-    (col, asc), rest = keys[0], keys[1:]
-    c, v = F.col(col), F.lit(bound[0])
-    first = (c < v) if asc else (c > v)
-    if not rest:
-        return first
-    return first | ((c == v) & _before(rest, bound[1:]))
-
-
-def _bucket_expr(keys: Sequence[OrderKey], bounds: list, lo: int, hi: int) -> Column:
-    """Binary search over sorted range bounds as a nested CASE (depth log2 n)."""
-    if lo == hi:
-        return F.lit(lo)
-    mid = (lo + hi + 1) // 2
-    return F.when(_before(keys, bounds[mid - 1]), _bucket_expr(keys, bounds, lo, mid - 1)) \
-        .otherwise(_bucket_expr(keys, bounds, mid, hi))
-
-
-def global_row_number(df: DataFrame, keys: Sequence[OrderKey], name: str = "rn",
-                      rows_per_bucket: int = 2_000_000, sample_rows: int = 200_000,
-                      materialize: bool = True) -> DataFrame:
+def global_row_number(df: DataFrame, keys: Sequence[OrderKey], name: str = "rn") -> DataFrame:
     """Add ``name`` = 1..n in the order of ``keys`` (which must be unique and non-null).
 
-    The input is read three times (count, sample, numbering); with
-    ``materialize`` it is first written once as a reliable checkpoint in the
-    shared checkpoint folder, so an expensive input is not recomputed and a
-    lost executor does not send the job back to the source.
+    The range-partitioned rows are written once to the shared checkpoint
+    folder, so the counts and the numbering see the same ranges and a lost
+    executor does not send the job back to the source.
     """
-    from shopguard.session import cut_lineage
+    from shopguard.session import written_table
 
     keys = [(k, True) if isinstance(k, str) else k for k in keys]
-    if materialize:
-        df = cut_lineage(df)
-    cols = [k for k, _ in keys]
     order = [F.col(k).asc() if a else F.col(k).desc() for k, a in keys]
-    n = df.count()
-    n_buckets = max(1, math.ceil(n / rows_per_bucket))
-    if n_buckets == 1:
-        # The whole input fits one bounded task.
-        return df.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("long"))
-    fraction = min(1.0, sample_rows / n)
-    step = max(1, int(n * fraction) // n_buckets)
-    # Only the n_buckets-1 cut points reach the driver.
-    cuts = (df.select(*cols).sample(fraction=fraction, seed=17)
-            .withColumn("_i", F.row_number().over(Window.orderBy(*order)))
-            .where(F.col("_i") % step == 0).orderBy("_i").limit(n_buckets - 1).collect())
-    bounds = [tuple(r[c] for c in cols) for r in cuts]
-    bucketed = df.withColumn("_bucket", _bucket_expr(keys, bounds, 0, len(bounds)))
-    offsets = (bucketed.groupBy("_bucket").count()
-               .withColumn("_offset", F.sum("count").over(Window.orderBy("_bucket")) - F.col("count"))
-               .drop("count"))
-    local = F.row_number().over(Window.partitionBy("_bucket").orderBy(*order))
-    return (bucketed.join(F.broadcast(offsets), "_bucket")
-            .withColumn(name, (F.col("_offset") + local).cast("long"))
-            .drop("_bucket", "_offset"))
+    ranged = written_table(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges")
+    counts = sorted((r["_part"], r["count"]) for r in ranged.groupBy("_part").count().collect())
+    starts = accumulate([n for _, n in counts[:-1]], initial=0)
+    offsets = df.sparkSession.createDataFrame([(p, s) for (p, _), s in zip(counts, starts)],
+                                              "_part int, _offset long")
+    local = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    # One offset per partition: the broadcast is bounded by the shuffle partition count.
+    return (ranged.withColumn("_local", local).join(F.broadcast(offsets), "_part")
+            .withColumn(name, (F.col("_offset") + F.col("_local")).cast("long"))
+            .drop("_part", "_offset", "_local"))

@@ -65,7 +65,7 @@ def enrich_orders(orders: DataFrame) -> tuple[DataFrame, DataFrame]:
             .withColumn("lines", F.transform(lines, lambda x: x.withField(
                 "line_total_cents", x["qty"] * x["unit_price_cents"])))
             .withColumn("computed_total_cents",
-                        F.aggregate("lines", F.lit(0).cast("long"),
+                        F.aggregate("lines", F.lit(0.0),
                                     lambda acc, x: acc + x["line_total_cents"]))
             .withColumn("totals_match", F.col("computed_total_cents") == F.col("amount_cents"))
             .withColumn("channel", F.try_variant_get(v, "$.channel", "string"))

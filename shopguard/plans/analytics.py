@@ -241,7 +241,7 @@ def _card(spark, sf):
     orders = cut_lineage(b.shop_orders(spark, sf))
     poisoned = lc.inject_fault(orders, lc.choose_victims(orders))
     customers = b.customers_raw(spark, sf)
-    pays = cut_lineage(b.payments_from_orders(orders, materialize=False))
+    pays = cut_lineage(b.payments_from_orders(orders))
     return qa.scorecard(qa.order_checks(poisoned), qa.customer_checks(customers),
                         qa.payment_checks(pays), qa.payment_coverage(poisoned, pays))
 

@@ -110,6 +110,18 @@ def decision_sql(exclude=()) -> str:
             f"CASE WHEN {allow} THEN {cap} END AS max_rows")
 
 
+def _sql_list(xs) -> str:
+    return "CAST(NULL AS VARCHAR[])" if xs is None else "CAST([" + ", ".join(f"'{x}'" for x in xs) + "] AS VARCHAR[])"
+
+
+VIEWS["request_mix"] = f"""
+SELECT event_id, ts, {_acc(0)} AS principal_id, {_acc(1)} AS account_type, {_acc(2)} AS roles, q.action, q.resource_id,
+       q.env_tag, q.tables IS NOT NULL AS has_sql, q.tables, q.write_tables,
+       list_transform(q.write_tables, lambda x: 'public.' || x) AS qualified_write_tables
+FROM events JOIN (VALUES {", ".join(f"({i}, '{a}', '{r}', {repr(e) if e else 'CAST(NULL AS VARCHAR)'}, {_sql_list(t)}, {_sql_list(w)})"
+                                    for i, (a, r, e, t, w) in enumerate(src.REQUEST_KINDS))})
+     q(i, action, resource_id, env_tag, tables, write_tables) ON event_id % {len(src.REQUEST_KINDS)} = q.i"""
+VIEWS["mix_decided"] = f"SELECT *, {decision_sql()} FROM request_mix"
 VIEWS["decided"] = f"SELECT *, {decision_sql()} FROM policy_requests"
 VIEWS["recorded"] = f"SELECT *, {decision_sql(src.RECORDED_POLICY_EXCLUDES)} FROM policy_requests"
 VIEWS["audit_log"] = """
@@ -151,13 +163,22 @@ def c10_decide(spark, sf):
 
 @register("c_policy_hits", ("C1", "C2", "C3", "C4", "C5", "C6", "C7", "C8", "C9"), oracle="""
 SELECT pid, effect, count(*) AS matched FROM (
-  SELECT unnest(permits) AS pid, 'permit' AS effect FROM decided
-  UNION ALL SELECT unnest(forbids), 'forbid' FROM decided) GROUP BY ALL""")
+  SELECT unnest(permits) AS pid, 'permit' AS effect FROM mix_decided
+  UNION ALL SELECT unnest(forbids), 'forbid' FROM mix_decided) GROUP BY ALL""")
 def c_policy_hits(spark, sf):
-    d = pol.decide(src.policy_requests(spark, sf))
-    hits = d.select(F.explode("permits").alias("pid"), F.lit("permit").alias("effect")).unionByName(
-        d.select(F.explode("forbids").alias("pid"), F.lit("forbid").alias("effect")))
-    return hits.groupBy("pid", "effect").agg(F.count(F.lit(1)).alias("matched"))
+    d = pol.decide(src.request_mix(spark, sf))
+    named = lambda c, effect: F.transform(c, lambda p: F.struct(p.alias("pid"), F.lit(effect).alias("effect")))
+    hits = d.select(F.explode(F.concat(named("permits", "permit"), named("forbids", "forbid"))).alias("h"))
+    return hits.groupBy("h.pid", "h.effect").agg(F.count(F.lit(1)).alias("matched"))
+
+
+@register("c10_decide_mix", ("C1", "C2", "C3", "C4", "C5", "C6", "C7", "C8", "C9", "C10"), oracle="""
+SELECT event_id, principal_id, action, resource_id, decision, array_to_string(permits, ',') AS permits,
+       array_to_string(forbids, ',') AS forbids, error, array_to_string(redactions, ',') AS redactions,
+       CAST(max_rows AS INTEGER) AS max_rows
+FROM mix_decided""")
+def c10_decide_mix(spark, sf):
+    return _decisions(pol.decide(src.request_mix(spark, sf)))
 
 
 @register("c10_decision_summary", "C10", oracle="""
@@ -169,17 +190,21 @@ def c10_decision_summary(spark, sf):
 
 
 @register("c11_obligations_applied", ("C11", "P3", "P4"), oracle="""
-SELECT id, name, '[REDACTED]' AS email, '[REDACTED]' AS phone, tier
-FROM customers_raw ORDER BY id LIMIT 100""")
+SELECT event_id, id, name, CASE WHEN list_contains(redactions, 'email') THEN '[REDACTED]' ELSE email END AS email,
+       CASE WHEN list_contains(redactions, 'phone') THEN '[REDACTED]' ELSE phone END AS phone, tier
+FROM (SELECT d.event_id, d.redactions, d.max_rows, c.*,
+             row_number() OVER (PARTITION BY d.event_id ORDER BY c.id) AS n
+      FROM decided d JOIN customers_raw c ON c.id = d.k
+      WHERE d.decision = 'allow' AND list_contains(d.tables, 'customers'))
+WHERE max_rows IS NULL OR n <= max_rows""")
 def c11_obligations_applied(spark, sf):
-    d = pol.decide(src.policy_requests(spark, sf))
-    # The obligations of one allowed customer read: a single small row.
-    ob = (d.where((F.col("principal_id") == pol.AGENT) & F.array_contains("tables", "customers")
-                  & (F.col("decision") == "allow"))
-          .select("redactions", "max_rows").limit(1).collect())
-    redactions, cap = (ob[0]["redactions"], ob[0]["max_rows"]) if ob else ([], None)
-    result = b.customers_raw(spark, sf).select("id", "name", "email", "phone", "tier")
-    return pol.apply_obligations(result, redactions, cap)
+    """Every allowed customer read, with the obligations of its own decision on the rows it returns."""
+    reads = (pol.decide(src.policy_requests(spark, sf))
+             .where((F.col("decision") == "allow") & F.array_contains("tables", "customers"))
+             .select("event_id", "redactions", "max_rows", F.col("k").cast("long").alias("id")))
+    rows = reads.join(b.customers_raw(spark, sf).select("id", "name", "email", "phone", "tier"), "id")
+    return pol.apply_obligations_by_row(rows, ["email", "phone"], "event_id", "id") \
+        .select("event_id", "id", "name", "email", "phone", "tier")
 
 
 @register("c12_policy_audit", ("C12", "T6"), oracle="""

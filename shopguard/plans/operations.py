@@ -273,26 +273,26 @@ UNION ALL SELECT server, tool, 'allowlisted_not_exposed' FROM allow
 def x5_tool_drift(spark, sf):
     req = src.policy_requests(spark, sf).where(F.col("action").startswith("MCP::"))
     exposed = req.select(F.when(F.col("resource_id") == pol.GRAFANA_MCP, "grafana").otherwise("github").alias("server"),
-                         F.substring("action", 6, 1000).alias("tool"))
+                         F.expr("substring(action, 6)").alias("tool"))
     required = spark.createDataFrame(list(rc.REQUIRED_TOOLS), "server string, tool string")
     return rc.tool_drift(exposed, required, rc.allowlist(spark))
 
 
 # --------------------------------------------------------------------------- text sources / sinks
 def _audit_ndjson(spark, sf) -> str:
-    """Write the audit log as NDJSON; MCP records are cut short (a broken writer)."""
+    """Write the audit log as NDJSON; each MCP record is followed by a broken line (a writer that died)."""
     a = src.audit_log(spark, sf)
     line = F.to_json(F.struct(*[F.col(c) for c in a.columns]))
-    broken = F.col("resource_type") == "mcp"
-    text = a.select(F.when(broken, F.expr("substring(to_json(struct(*)), 1, 40)")).otherwise(line).alias("value"))
+    broken = F.when(F.col("resource_type") == "mcp", F.substring(line, 1, 40))
+    text = a.select(F.explode(F.array_compact(F.array(line, broken))).alias("value"))
     path = scratch_path(spark, "audit-ndjson")
     text.write.mode("overwrite").text(path)
     return path
 
 
 @register("s3_audit_scan", "S3", oracle="""
-SELECT count(*) AS lines, count(*) FILTER (WHERE resource_type = 'mcp') AS malformed,
-       count(*) FILTER (WHERE resource_type <> 'mcp') AS records FROM audit_log""")
+SELECT count(*) + count(*) FILTER (WHERE resource_type = 'mcp') AS lines,
+       count(*) FILTER (WHERE resource_type = 'mcp') AS malformed, count(*) AS records FROM audit_log""")
 def s3_audit_scan(spark, sf):
     return tx.audit_scan_report(tx.load_audit(spark, _audit_ndjson(spark, sf)))
 
@@ -307,7 +307,7 @@ _Q9_COLS = ["id", "timestamp", "account_id", "account_email", "account_first_nam
     f"""SELECT 'audit' AS tbl, '{c}' AS column_name, count(*) AS rows, count(*) FILTER (WHERE "{c}" IS NULL) AS nulls,
        round(count(*) FILTER (WHERE "{c}" IS NULL) / count(*), 6) AS null_rate,
        count(*) FILTER (WHERE "{c}" IS NULL) = count(*) AS all_null
-FROM audit_log WHERE resource_type <> 'mcp'""" for c in _Q9_COLS))
+FROM audit_log""" for c in _Q9_COLS))
 def q9_audit_null_rates(spark, sf):
     a = tx.load_audit(spark, _audit_ndjson(spark, sf))
     return qa.null_rates(a.where(F.col(tx.CORRUPT).isNull()).drop(tx.CORRUPT), "audit")

@@ -148,12 +148,12 @@ _GOOD_ITEMS = "CAST(json_extract(payload, '$.items[*]') AS JSON[])"
 @register("t2_enrich_orders", ("T2", "Q8"), bench=True, oracle=f"""
 SELECT id, customer_id, status, amount_cents,
        CAST(coalesce(list_sum(list_transform({_GOOD_ITEMS},
-            lambda x: CAST(json_extract(x, '$.qty') AS BIGINT)
-                 * CAST(json_extract(x, '$.unit_price_cents') AS BIGINT))), 0) AS BIGINT)
+            lambda x: CAST(json_extract(x, '$.qty') AS DOUBLE)
+                 * CAST(json_extract(x, '$.unit_price_cents') AS DOUBLE))), 0) AS DOUBLE)
            AS computed_total_cents,
        CAST(coalesce(list_sum(list_transform({_GOOD_ITEMS},
-            lambda x: CAST(json_extract(x, '$.qty') AS BIGINT)
-                 * CAST(json_extract(x, '$.unit_price_cents') AS BIGINT))), 0) AS BIGINT) = amount_cents
+            lambda x: CAST(json_extract(x, '$.qty') AS DOUBLE)
+                 * CAST(json_extract(x, '$.unit_price_cents') AS DOUBLE))), 0) AS DOUBLE) = amount_cents
            AS totals_match,
        json_extract_string(payload, '$.channel') AS channel,
        json_extract_string(payload, '$.shipping.method') AS shipping_method,
@@ -176,10 +176,10 @@ def t2_quarantine(spark, sf):
 @register("t3_explode_lines", "T3", oracle=f"""
 SELECT id, CAST(i - 1 AS INTEGER) AS line_no,
        json_extract_string(xs[i], '$.sku') AS sku,
-       CAST(json_extract(xs[i], '$.qty') AS BIGINT) AS qty,
-       CAST(json_extract(xs[i], '$.unit_price_cents') AS BIGINT) AS unit_price_cents,
-       CAST(json_extract(xs[i], '$.qty') AS BIGINT)
-           * CAST(json_extract(xs[i], '$.unit_price_cents') AS BIGINT) AS line_total_cents
+       CAST(json_extract(xs[i], '$.qty') AS DOUBLE) AS qty,
+       CAST(json_extract(xs[i], '$.unit_price_cents') AS DOUBLE) AS unit_price_cents,
+       CAST(json_extract(xs[i], '$.qty') AS DOUBLE)
+           * CAST(json_extract(xs[i], '$.unit_price_cents') AS DOUBLE) AS line_total_cents
 FROM (SELECT id, xs, unnest(range(1, len(xs) + 1)) AS i
       FROM (SELECT id, {_GOOD_ITEMS} AS xs FROM classified WHERE code IS NULL))""")
 def t3_explode_lines(spark, sf):

@@ -51,11 +51,14 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    The cluster names a shared folder; only when it is unset (local tests) a
-    scratch folder is created and registered.
+    The cluster names a shared folder. Where it is unset, a session with a
+    ``local`` master (tests) gets a scratch folder; any other master raises,
+    since executors on other machines would not see the driver's folders.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="shopguard-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     sc = spark.sparkContext
@@ -69,6 +72,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(checkpoint_dir(spark), "tables", f"{name}-{uuid.uuid4().hex}")
 
 
+def written_table(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet to the shared checkpoint folder and read it back.
+
+    Cuts the lineage like ``cut_lineage``; later reads prune columns and the
+    files live as long as the folder (``spark.checkpoint.dir`` is scratch space).
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` reliably (survives executor loss) and cut its lineage."""
     checkpoint_dir(df.sparkSession)

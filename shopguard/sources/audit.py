@@ -86,6 +86,54 @@ def policy_requests_from(e: DataFrame) -> DataFrame:
         _by_account(5).alias("account_last_name"))
 
 
+# Requests of every kind the policies speak of, one template per event in turn:
+# action, resource, env tag, tables, written tables (None: no SQL).
+REQUEST_KINDS = (
+    (pol.CONNECT, pol.READ_RESOURCE, "prod", None, None),
+    (pol.CONNECT, pol.ADMIN_RESOURCE, "prod", None, None),
+    (pol.REQUEST_ACCESS, pol.REMEDIATION_RESOURCE, "prod", None, None),
+    (pol.ACCESS_REQUEST_ACTIONS[0], pol.REMEDIATION_RESOURCE, "prod", None, None),
+    (pol.ACCESS_REQUEST_ACTIONS[1], pol.READ_RESOURCE, "prod", None, None),
+    ("SQL::select", pol.READ_RESOURCE, "prod", ("orders",), ()),
+    ("SQL::select", pol.READ_RESOURCE, "prod", ("customers", "orders"), ()),
+    ("SQL::with", pol.READ_RESOURCE, "prod", ("customers",), ()),
+    ("SQL::values", pol.READ_RESOURCE, "prod", (), ()),
+    ("SQL::show", pol.READ_RESOURCE, "prod", (), ()),
+    ("SQL::set", pol.READ_RESOURCE, "prod", ("customers",), ()),
+    ("SQL::update", pol.REMEDIATION_RESOURCE, "prod", ("orders", "poison_backup"), ("orders",)),
+    ("SQL::update", pol.REMEDIATION_RESOURCE, "prod", ("orders", "payments"), ("orders", "payments")),
+    ("SQL::delete", pol.READ_RESOURCE, "prod", ("payments",), ("payments",)),
+    ("SQL::insert", pol.READ_RESOURCE, None, ("orders",), ("orders",)),
+    ("MCP::get_incident", pol.GRAFANA_MCP, None, None, None),
+    ("MCP::add_activity_to_incident", pol.GRAFANA_MCP, None, None, None),
+    ("MCP::create_incident", pol.GRAFANA_MCP, None, None, None),
+    ("MCP::update_dashboard", pol.GRAFANA_MCP, None, None, None),
+    ("MCP::issue_write", pol.GITHUB_MCP, None, None, None),
+    ("MCP::create_pull_request", pol.GITHUB_MCP, None, None, None),
+    ("MCP::push_files", pol.GITHUB_MCP, None, None, None),
+    ("MCP::delete_file", pol.GITHUB_MCP, None, None, None),
+)
+
+
+def request_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One policy request per event, of the kinds in ``REQUEST_KINDS`` in turn."""
+    kinds = F.array(*[F.struct(
+        F.lit(a).alias("action"), F.lit(r).alias("resource_id"), F.lit(env).cast("string").alias("env"),
+        F.lit(t is not None).alias("has_sql"),
+        (F.lit(None).cast("array<string>") if t is None else _arr(*t)).alias("tables"),
+        (F.lit(None).cast("array<string>") if w is None else _arr(*w)).alias("write_tables"))
+        for a, r, env, t, w in REQUEST_KINDS])
+    e = load_table(spark, sf_dir, "events").select("event_id", "ts", "user_id")
+    picked = e.withColumn("r", F.get(kinds, (F.col("event_id") % len(REQUEST_KINDS)).cast("int")))
+    return picked.select(
+        "event_id", "ts", _by_account(0).alias("principal_id"), _by_account(1).alias("account_type"),
+        _by_account(2).alias("roles"), "r.action", "r.resource_id",
+        F.when(F.col("r.env").isNull(), F.create_map().cast("map<string,string>"))
+        .otherwise(F.create_map(F.lit("env"), F.col("r.env"))).alias("resource_tags"),
+        "r.has_sql", "r.tables", "r.write_tables",
+        F.transform("r.write_tables", lambda t: F.concat(F.lit("public."), t)).alias("qualified_write_tables"))
+
+
 def audit_log(spark: SparkSession, sf_dir: str, policies=None) -> DataFrame:
     """The audit table: one string record per statement, decisions as recorded."""
     return audit_from(policy_requests(spark, sf_dir), policies)

@@ -40,6 +40,7 @@ DRIVER_SCHEMAS: dict[str, T.StructType] = {
     "labels": _schema(("doc_id", L), ("quality", I), ("toxic", I)),
     "pages": _schema(("page_id", L), ("url", S), ("html", S)),
     "benchmark": _schema(("item_id", L), ("text", S)),
+    "embeddings": _schema(("vec_id", L), ("embedding", T.ArrayType(T.FloatType())), ("label", I)),
     "conversations": _schema(("conv_id", L), ("turn", L), ("role", S), ("text", S)),
 }
 
@@ -66,37 +67,11 @@ def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 
 
-# The key each large driver table is hash-partitioned on when it arrives in
-# fewer files than the session has cores: the key its first join or aggregate
-# uses (lines and orders meet on the order key), else its unique id.
-SPREAD_KEYS = {"lineitem": "l_orderkey", "orders": "o_orderkey", "customer": "c_custkey",
-               "events": "event_id", "documents": "doc_id", "conversations": "conv_id",
-               "pages": "page_id"}
-
-
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hash-partition a scan on ``key`` when it has fewer input files than cores.
-
-    A Parquet row group is the unit of a scan task, so a table written as one
-    file with one row group is read by one task, and every per-row expression
-    up to the first shuffle (JSON building, VARIANT parsing, regex) runs
-    serially. Partitioning on the key the next join or aggregate needs lets
-    that exchange reuse this one, so no shuffle is added (an aggregate accepts
-    a hash partitioning on its key at any count; two spread join sides share
-    one). The count is the number of cores, capped by the session's shuffle
-    partition count, and given explicitly so that adaptive execution keeps it
-    (it would merge a small shuffle into one or two tasks). A cluster-sized
-    table spans many files and is left as it is.
-    """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    if len(df.inputFiles()) >= cores:
-        return df
-    return df.repartition(min(cores, int(spark.conf.get("spark.sql.shuffle.partitions"))), key)
-
-
 def load_table(spark: SparkSession, sf_dir: str, name: str,
                schema: T.StructType | None = None) -> DataFrame:
-    """Scan one Parquet table with its declared schema."""
-    df = spark.read.schema(schema or DRIVER_SCHEMAS[name]).parquet(table_path(sf_dir, name))
-    return spread(df, SPREAD_KEYS[name]) if name in SPREAD_KEYS else df
+    """Scan one Parquet table with its declared schema.
+
+    The scan keeps the layout of the files; a caller that needs another
+    partitioning repartitions what it reads.
+    """
+    return spark.read.schema(schema or DRIVER_SCHEMAS[name]).parquet(table_path(sf_dir, name))

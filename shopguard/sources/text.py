@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from shopguard.operators.common import join_null_safe
 from shopguard.sources.tables import AUDIT
 
 CORRUPT = "_corrupt_record"
@@ -14,16 +15,23 @@ CORRUPT = "_corrupt_record"
 
 # --------------------------------------------------------------------------- S2
 def write_csv(df: DataFrame, path: str) -> None:
-    """Header-less CSV with minimal quoting (quote only fields that need it)."""
-    df.write.mode("overwrite").option("header", False).option("escape", '"').csv(path)
+    """Header-less CSV with minimal quoting (quote only fields that need it); blanks are kept."""
+    (df.write.mode("overwrite").option("header", False).option("escape", '"')
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
 
 
-def load_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Header-less CSV with a given column list; quoted fields may span lines."""
-    return (spark.read.schema(schema).option("header", False).option("multiLine", True)
+def load_csv(spark: SparkSession, path: str, schema: T.StructType, multi_line: bool = False) -> DataFrame:
+    """Header-less CSV with a given column list. ``multi_line`` lets quoted
+    fields span lines, at the price of one task per file."""
+    return (spark.read.schema(schema).option("header", False).option("multiLine", multi_line)
             .option("escape", '"').option("mode", "FAILFAST").csv(path))
 
 
+def csv_row_count(loaded: DataFrame) -> DataFrame:
+    """The number of rows a load brought in."""
+    return loaded.agg(F.count(F.lit(1)).alias("rows"))
+
+
 # --------------------------------------------------------------------------- S3
 def load_audit(spark: SparkSession, path: str) -> DataFrame:
     """S3: audit NDJSON with the fixed schema. Unknown fields are ignored, a
@@ -48,7 +56,9 @@ def audit_scan_report(audit: DataFrame) -> DataFrame:
 def flatten_audit(docs: DataFrame, col: str = "doc") -> DataFrame:
     """Each JSON document is an array of records, ``{queries: [...]}``,
     ``{activities: [...]}`` or one bare record; the tests run in that order.
-    Returns one row per record as ``record`` (VARIANT) plus its position."""
+    Returns one row per record as ``record`` (VARIANT) plus its position; a
+    document that doesn't parse has no records (``unparsable`` counts those)."""
+    docs = docs.where(F.try_parse_json(F.col(col)).isNotNull())
     v = F.try_parse_json(F.col(col))
     t = F.schema_of_variant(v)
     q = F.try_variant_get(v, "$.queries", "array<variant>")
@@ -63,6 +73,12 @@ def flatten_audit(docs: DataFrame, col: str = "doc") -> DataFrame:
                        F.posexplode(records).alias("pos", "record"))
 
 
+def unparsable(docs: DataFrame, col: str = "doc") -> DataFrame:
+    """Documents and those of them that are no JSON."""
+    return docs.agg(F.count(F.lit(1)).alias("documents"),
+                    F.count_if(F.col(col).isNotNull() & F.try_parse_json(F.col(col)).isNull()).alias("unparsable"))
+
+
 def record_field(name: str, typ: str = "string") -> F.Column:
     return F.try_variant_get(F.col("record"), f"$.{name}", typ)
 
@@ -86,7 +102,7 @@ def segment_records(lines: DataFrame, block: int = 4096, header_pattern: str = r
     carry = per_block.withColumn("_carry", F.max("_blk_head").over(wb)).drop("_blk_head")
     wl = Window.partitionBy("file", "_blk").orderBy("line_no") \
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    owned = (l.join(carry, ["file", "_blk"])
+    owned = (join_null_safe(l, carry, ["file", "_blk"])
              .withColumn("_rec", F.coalesce(F.max("_head").over(wl), F.col("_carry")))
              .where(F.col("_rec").isNotNull()))
     return (owned.groupBy("file", F.col("_rec").alias("start_line"))
@@ -114,5 +130,6 @@ def write_ndjson(df: DataFrame, path: str) -> None:
 
 
 def write_csv_with_header(df: DataFrame, path: str) -> None:
-    """CSV export with a header line."""
-    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    """CSV export with a header line; blanks are kept."""
+    (df.write.mode("overwrite").option("header", True).option("escape", '"')
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
