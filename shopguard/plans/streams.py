@@ -64,7 +64,8 @@ def r2_live_error_rate(spark, sf):
 SELECT metric, instance, ts, value,
        CASE WHEN lag(value) OVER w IS NULL THEN NULL WHEN value >= lag(value) OVER w THEN value - lag(value) OVER w
             ELSE value END AS delta
-FROM counter_samples WINDOW w AS (PARTITION BY metric, instance ORDER BY ts)""")
+FROM counter_samples WINDOW w AS (PARTITION BY metric, instance ORDER BY ts)
+QUALIFY ts <= (SELECT max(ts) FROM counter_samples) - INTERVAL 10 MINUTE""")
 def r2_counter_deltas(spark, sf):
     path = scratch_path(spark, "counter-samples")
     ms.counter_samples(spark, sf).write.mode("overwrite").parquet(path)
@@ -89,6 +90,16 @@ def r4_malformed_monitor(spark, sf):
     return spark.read.parquet(out)
 
 
+@register("r4_malformed_per_minute", "R4", oracle="""
+SELECT time_bucket(INTERVAL 1 MINUTE, created_at) AS minute, count(*) AS orders,
+       count(*) FILTER (WHERE code IS NOT NULL) AS malformed
+FROM classified GROUP BY 1
+HAVING minute + INTERVAL 1 MINUTE <= (SELECT max(created_at) FROM classified) - INTERVAL 10 MINUTE""")
+def r4_malformed_per_minute(spark, sf):
+    out = mon.run_available_now(mon.malformed_per_minute(_orders_stream(spark, sf)), "r4-minutes")
+    return spark.read.parquet(out)
+
+
 @register("r5_heartbeat", "R5", oracle="""
 SELECT window_start, pending_reconcile, pending_reconcile = 0 AS ok FROM (
   SELECT time_bucket(INTERVAL 5 MINUTE, created_at) AS window_start,
@@ -119,7 +130,7 @@ def _r6_sql() -> str:
 def r6_audit_watch(spark, sf):
     audit = src.audit_with_time(src.audit_from(src.policy_requests_from(_events(spark, sf)))) \
         .drop("rows_returned", "duration_ms")
-    out = mon.run_available_now(mon.audit_watch(audit, _PROBES), "r6", mode="complete")
+    out = mon.run_available_now(mon.audit_watch(audit, _PROBES), "r6", mode="update", keys=["account_id", "run_day"])
     return spark.read.parquet(out)
 
 

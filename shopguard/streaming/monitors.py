@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -34,15 +34,19 @@ cloudpickle.register_pickle_by_value(shopguard)
 
 # Fixed value: the default watermark (the alert query's 600 s look-back).
 WATERMARK = "10 minutes"
+# Evaluations without data that one output frame holds at most.
+GAP_ROWS = 10_000
 
 
-def read_stream(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Stream Parquet files. A single file is addressed through a one-file glob,
+def read_stream(spark: SparkSession, path: str, schema: T.StructType, max_files: int | None = None) -> DataFrame:
+    """Stream Parquet files, at most ``max_files`` of them per micro-batch. A single file is addressed through a one-file glob,
     since the file source needs a folder or a pattern."""
-    if path.endswith(".parquet") and os.path.isfile(path):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where).isFile():
         head, tail = os.path.split(path)
-        path = os.path.join(head, f"[{tail[0]}]{tail[1:]}")
-    return spark.readStream.schema(schema).parquet(path)
+        path = f"{head}/[{tail[0]}]{tail[1:]}"
+    reader = spark.readStream.schema(schema)
+    return (reader.option("maxFilesPerTrigger", max_files) if max_files else reader).parquet(path)
 
 
 def stream_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,29 +85,54 @@ def live_error_rate(log: DataFrame, window: str = "2 minutes", slide: str = "60
 _DELTA_SCHEMA = T.StructType([T.StructField("metric", T.StringType()), T.StructField("instance", T.StringType()),
                               T.StructField("ts", T.TimestampNTZType()), T.StructField("value", T.DoubleType()),
                               T.StructField("delta", T.DoubleType())])
-_DELTA_STATE = T.StructType([T.StructField("prev_ts", T.TimestampNTZType()),
-                             T.StructField("prev_value", T.DoubleType())])
+# The last sample given out, and the samples (times in microseconds, values) the watermark has not passed.
+_DELTA_STATE = T.StructType([T.StructField("prev_ts", T.LongType()), T.StructField("prev_value", T.DoubleType()),
+                             T.StructField("times", T.ArrayType(T.LongType())),
+                             T.StructField("values", T.ArrayType(T.DoubleType()))])
 
 
-def _deltas(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    prev_ts, prev_v = state.get if state.exists else (None, None)
-    pdf = pd.concat(list(batches)).sort_values("ts")
-    out = []
-    for ts, v in zip(pdf["ts"], pdf["value"]):
-        if prev_ts is not None and ts <= prev_ts:
-            continue  # already seen (replay) or out of order: the counter only moves forward
-        delta = None if prev_v is None else (v - prev_v if v >= prev_v else v)
-        out.append((key[0], key[1], ts, v, delta))
-        prev_ts, prev_v = ts, v
-    state.update((prev_ts, prev_v))
-    yield pd.DataFrame(out, columns=[f.name for f in _DELTA_SCHEMA.fields])
+def _delta_machine(idle_s: int):
+    def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        prev_ts, prev_v, times, values = state.get if state.exists else (None, None, [], [])
+        parts = [pd.DataFrame({"t": list(times), "v": list(values)}, dtype="float64").astype({"t": "int64"})]
+        if not state.hasTimedOut:
+            parts += [pd.DataFrame({"t": b["ts"].astype("datetime64[us]").astype("int64"), "v": b["value"]}) for b in batches]
+        held = pd.concat(parts, ignore_index=True).drop_duplicates().sort_values("t", kind="stable", ignore_index=True)
+        mark = state.getCurrentWatermarkMs() * 1000
+        due = held["t"] <= mark
+        ready = held[due]
+        before = ready["v"].shift(1)
+        if len(ready) and prev_v is not None:
+            before.iloc[0] = prev_v
+        delta = (ready["v"] - before).where(ready["v"] >= before, ready["v"]).where(before.notna())
+        if len(ready):
+            prev_ts, prev_v = int(ready["t"].iloc[-1]), float(ready["v"].iloc[-1])
+        held = held[~due]
+        if state.hasTimedOut and not len(held) and not len(ready):
+            state.remove()              # idle: the next sample of the series starts afresh
+        else:
+            state.update((prev_ts, prev_v, held["t"].tolist(), held["v"].tolist()))
+            nxt = int(held["t"].iloc[0]) // 1000 if len(held) else prev_ts // 1000 + idle_s * 1000
+            state.setTimeoutTimestamp(max(nxt, state.getCurrentWatermarkMs()) + 1)
+        yield pd.DataFrame({"metric": key[0], "instance": key[1], "ts": pd.to_datetime(ready["t"], unit="us"),
+                            "value": ready["v"].astype("float64"), "delta": delta.astype("float64")})
+
+    return run
 
 
-def counter_deltas(samples: DataFrame) -> DataFrame:
+def counter_deltas(samples: DataFrame, delay: str = WATERMARK, idle_s: int = 86400) -> DataFrame:
     """R2 (from counter samples): reset-adjusted increases per series, keeping
-    the previous sample in keyed state (``lag`` does not exist on streams)."""
-    return samples.select("metric", "instance", "ts", "value").groupBy("metric", "instance") \
-        .applyInPandasWithState(_deltas, _DELTA_SCHEMA, _DELTA_STATE, "append", GroupStateTimeout.NoTimeout)
+    the previous sample in keyed state (``lag`` does not exist on streams).
+
+    Samples wait until the watermark passes them and are then taken in time
+    order, whatever order they came in. One that comes behind the watermark is
+    left out by Spark and counted (``numRowsDroppedByWatermark`` of the query's
+    progress). A series without samples for ``idle_s`` is forgotten.
+    """
+    return with_event_time(samples.select("metric", "instance", "ts", "value"), delay=delay) \
+        .groupBy("metric", "instance") \
+        .applyInPandasWithState(_delta_machine(idle_s), _DELTA_SCHEMA, _DELTA_STATE, "append",
+                                GroupStateTimeout.EventTimeTimeout)
 
 
 _ALERT_SCHEMA = T.StructType([T.StructField("rule", T.StringType()), T.StructField("eval_ts", T.TimestampNTZType()),
@@ -115,6 +144,7 @@ _ALERT_STATE = T.StructType([T.StructField("last_eval", T.TimestampNTZType()),
 
 def _alert_machine(above: float, for_s: int, interval_s: int):
     step = pd.Timedelta(seconds=interval_s)
+    names = [f.name for f in _ALERT_SCHEMA.fields]
 
     def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         rule = key[0]
@@ -123,11 +153,15 @@ def _alert_machine(above: float, for_s: int, interval_s: int):
         start = None if start is None or pd.isna(start) else pd.Timestamp(start)
         out = []
         if state.hasTimedOut:
-            # No data for the next evaluation: counts as OK and resets the clock.
-            nxt = last + step
-            out.append((rule, nxt, None, False, "inactive"))
-            state.update((nxt, None))
-            yield pd.DataFrame(out, columns=[f.name for f in _ALERT_SCHEMA.fields])
+            # Evaluations the watermark has passed without data: each counts as OK and resets the clock.
+            mark = pd.Timestamp(state.getCurrentWatermarkMs(), unit="ms")
+            n = max(1, int((mark - last) / step) - 1)
+            for i in range(0, n, GAP_ROWS):
+                times = pd.date_range(last + (i + 1) * step, periods=min(GAP_ROWS, n - i), freq=step)
+                yield pd.DataFrame({"rule": rule, "eval_ts": times, "value": None, "breach": False, "state": "inactive"})
+            last = last + n * step
+            state.update((last, None))
+            state.setTimeoutTimestamp(max(int((last + 2 * step).timestamp() * 1000), state.getCurrentWatermarkMs() + 1))
             return
         pdf = pd.concat(list(batches)).sort_values("eval_ts")
         for t, v in zip(pdf["eval_ts"], pdf["value"]):
@@ -135,10 +169,12 @@ def _alert_machine(above: float, for_s: int, interval_s: int):
             if last is not None and t <= last:
                 continue
             if last is not None:
-                gap = last + step
-                while gap < t:  # evaluations without data
-                    out.append((rule, gap, None, False, "inactive"))
-                    start, gap = None, gap + step
+                n = max(0, round((t - last) / step) - 1)          # evaluations without data
+                for i in range(0, n, GAP_ROWS):
+                    times = pd.date_range(last + (i + 1) * step, periods=min(GAP_ROWS, n - i), freq=step)
+                    out.extend((rule, g, None, False, "inactive") for g in times)
+                    yield pd.DataFrame(out, columns=names)
+                    out, start = [], None
             breach = v is not None and not pd.isna(v) and v > above
             if breach:
                 start = start if start is not None else t
@@ -149,8 +185,8 @@ def _alert_machine(above: float, for_s: int, interval_s: int):
             last = t
         state.update((last, start))
         if last is not None:
-            state.setTimeoutTimestamp(int((last + 2 * step).timestamp() * 1000))
-        yield pd.DataFrame(out, columns=[f.name for f in _ALERT_SCHEMA.fields])
+            state.setTimeoutTimestamp(max(int((last + 2 * step).timestamp() * 1000), state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(out, columns=names)
 
     return run
 
@@ -171,6 +207,14 @@ def malformed_monitor(orders: DataFrame) -> DataFrame:
         .select("id", "status", "error_type", "error_key", "created_at")
 
 
+def malformed_per_minute(orders: DataFrame, every: str = "1 minute", delay: str = WATERMARK) -> DataFrame:
+    """Per minute, how many order changes came and how many fail the contract."""
+    checked = classify_payload(with_event_time(orders, col="created_at", delay=delay))
+    return (checked.groupBy(F.window("event_time", every).alias("w"))
+            .agg(F.count(F.lit(1)).alias("orders"), F.count_if(F.col("error_type").isNotNull()).alias("malformed"))
+            .select(_window_start().alias("minute"), "orders", "malformed"))
+
+
 def heartbeat_stream(orders: DataFrame, every: str = "5 minutes", delay: str = WATERMARK) -> DataFrame:
     """PENDING_RECONCILE count and OK flag per heartbeat window."""
     return (with_event_time(orders, col="created_at", delay=delay)
@@ -180,14 +224,15 @@ def heartbeat_stream(orders: DataFrame, every: str = "5 minutes", delay: str = W
                     (F.col("pending_reconcile") == 0).alias("ok")))
 
 
-def audit_watch(audit: DataFrame, probes: list[tuple[str, str, str, str, str]]) -> DataFrame:
+def audit_watch(audit: DataFrame, probes: list[tuple[str, str, str, str, str]], delay: str = WATERMARK) -> DataFrame:
     """Per account and day, which evidence has been seen and whether the
-    required set is complete (an aggregate of ``bool_or`` flags)."""
+    required set is complete (an aggregate of ``bool_or`` flags, to be written
+    in update mode; the watermark ends a day's state)."""
     text = au.record_text(audit.drop("ts"))
     flags = {name: au.evidence(text, p, n1, n2, d) for name, p, n1, n2, d in probes}
-    day = F.date_trunc("day", F.col("ts")).cast("timestamp_ntz")
-    agg = audit.groupBy(F.col("account_id"), day.alias("run_day")).agg(
+    agg = with_event_time(audit, delay=delay).groupBy("account_id", F.window("event_time", "1 day").alias("w")).agg(
         *[F.bool_or(c).alias(n) for n, c in flags.items()])
+    agg = agg.select("account_id", _window_start().alias("run_day"), *flags)
     done = None
     for n in flags:
         done = F.col(n) if done is None else done & F.col(n)
@@ -199,11 +244,12 @@ def live_decisions(requests: DataFrame, policies=pol.POLICIES) -> DataFrame:
     return pol.decide(requests, policies)
 
 
-def run_available_now(df: DataFrame, name: str, mode: str = "append") -> str:
+def run_available_now(df: DataFrame, name: str, mode: str = "append", keys: list[str] | None = None) -> str:
     """Run a streaming query over everything available and return its output
-    folder (Parquet). Append mode uses the file sink; complete/update modes
-    rewrite the folder from ``foreachBatch``. Checkpoints live in the shared
-    checkpoint folder so a restarted query resumes."""
+    folder (Parquet). Append mode uses the file sink. Update mode writes each
+    micro-batch's rows to a folder of its own (a retried batch replaces its own)
+    and in the end keeps, per ``keys``, the row of the latest batch.
+    Checkpoints live in the shared checkpoint folder so a restarted query resumes."""
     import uuid
 
     spark = df.sparkSession
@@ -211,10 +257,17 @@ def run_available_now(df: DataFrame, name: str, mode: str = "append") -> str:
     out, ckpt = f"{base}/out", f"{base}/checkpoint"
     writer = df.writeStream.option("checkpointLocation", ckpt).trigger(availableNow=True)
     if mode == "append":
-        q = writer.format("parquet").option("path", out).outputMode("append").start()
-    else:
-        def sink(batch: DataFrame, epoch: int) -> None:
-            batch.write.mode("overwrite").parquet(out)
-        q = writer.foreachBatch(sink).outputMode(mode).start()
-    q.awaitTermination()
+        writer.format("parquet").option("path", out).outputMode("append").start().awaitTermination()
+        return out
+    if mode != "update" or not keys:
+        raise ValueError("append mode, or update mode with keys")
+
+    def sink(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{base}/updates/epoch={epoch}")
+
+    writer.foreachBatch(sink).outputMode("update").start().awaitTermination()
+    updates = spark.read.schema(T.StructType([*df.schema.fields, T.StructField("epoch", T.LongType())])) \
+        .parquet(f"{base}/updates")
+    newest = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("epoch")))
+    updates.withColumn("_n", newest).where("_n = 1").drop("_n", "epoch").write.parquet(out)
     return out

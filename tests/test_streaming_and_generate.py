@@ -1,6 +1,7 @@
 """R1-R7 equal their batch forms; G1-G3 keep the seed's distributions."""
 
 import datetime as dt
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -35,11 +36,52 @@ def test_counter_delta_stream_equals_lag(spark):
     pts = [(0, 10), (60, 20), (120, 5), (180, 7)]
     df = spark.createDataFrame([("m", "i", T0 + dt.timedelta(seconds=s), float(v)) for s, v in pts],
                                "metric string, instance string, ts timestamp_ntz, value double")
-    out = mon.run_available_now(mon.counter_deltas(_stream_of(spark, df, "samples-in")), "t-r2")
+    out = mon.run_available_now(mon.counter_deltas(_stream_of(spark, df, "samples-in"), delay="0 seconds"), "t-r2")
     got = [r.delta for r in spark.read.parquet(out).orderBy("ts").collect()]
     assert got == [None, 10.0, 5.0, 2.0]
 
 
+def _batches(spark, rows, schema, name):
+    """A stream that gets each list of rows as a micro-batch of its own."""
+    path = scratch_path(spark, name)
+    for i, part in enumerate(rows):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(path)
+        time.sleep(1.1)                # the file source orders files by their time
+    return mon.read_stream(spark, path, spark.read.parquet(path).schema, max_files=1)
+
+
+def test_counter_deltas_wait_for_late_samples(spark):
+    schema = "metric string, instance string, ts timestamp_ntz, value double"
+    at = lambda s, v, i="i": ("m", i, T0 + dt.timedelta(seconds=s), float(v))
+    stream = _batches(spark, [[at(0, 10), at(120, 30)], [at(60, 15), at(180, 5)], [at(2000, 9)], [at(2100, 7, "j")],
+                              [at(100, 99), at(4000, 1, "j")], [at(4100, 1, "j")]],
+                      schema, "late-samples")
+    out = spark.read.parquet(mon.run_available_now(mon.counter_deltas(stream, delay="5 minutes"), "t-late")).collect()
+    got = sorted((r.ts, r.value, r.delta) for r in out if r.instance == "i")
+    # The sample at 100 s comes behind the watermark; the one at 60 s came late but in time.
+    assert [(v, d) for _, v, d in got] == [(10, None), (15, 5), (30, 15), (5, 5), (9, 4)]
+
+
+def test_silent_rule_stays_inactive(spark):
+    schema = "rule string, eval_ts timestamp_ntz, value double"
+    at = lambda r, s, v: (r, T0 + dt.timedelta(seconds=s), v)
+    stream = _batches(spark, [[at("a", 0, 0.9), at("a", 61, 0.9), at("b", 60, 0.0)], [at("b", 1200, 0.0)], [at("b", 2400, 0.0)]],
+                      schema, "silent-rule")
+    out = spark.read.parquet(mon.run_available_now(mon.alert_state_stream(stream, 0.05, 60, 60, delay="0 seconds"), "t-silent"))
+    states = [(r.eval_ts, r.state) for r in out.where("rule = 'a'").orderBy("eval_ts").collect()]
+    assert [s for _, s in states[:2]] == ["pending", "firing"]
+    assert len(states) > 20 and {s for _, s in states[2:]} == {"inactive"}
+    assert len({t for t, _ in states}) == len(states)
+
+
+def test_updates_keep_the_latest_row_of_every_key(spark):
+    schema = "k string, ts timestamp_ntz, v long"
+    stream = _batches(spark, [[("a", T0, 1)], [("b", T0, 5), ("a", T0, 2)], [("c", T0, 1)]], schema, "updates")
+    counts = mon.with_event_time(stream).groupBy("k").agg(F.sum("v").alias("v"))
+    out = spark.read.parquet(mon.run_available_now(counts, "t-updates", mode="update", keys=["k"]))
+    assert {r.k: r.v for r in out.collect()} == {"a": 3, "b": 5, "c": 1}
+
+
 def test_request_counter_stream_only_emits_closed_windows(spark):
     from shopguard.sources import metrics as ms
 
