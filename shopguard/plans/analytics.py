@@ -11,7 +11,7 @@ from shopguard.operators import quality as qa
 from shopguard.plans.catalog import register
 from shopguard.plans.shop import _poisoned, _poisoned_and_backup
 from shopguard.plans.sql import VIEWS
-from shopguard.session import cut_lineage
+from shopguard.session import written_table
 from shopguard.sources import bindings as b
 from shopguard.sources.tables import load_table
 
@@ -236,12 +236,12 @@ _CARD = "\nUNION ALL ".join([_ORDER_CHECKS, _CUSTOMER_CHECKS, _PAYMENT_CHECKS, _
 
 def _card(spark, sf):
     # Five checks read the order binding (a join of orders with aggregated
-    # lines) and four read the numbered payments; each is written once as a
-    # reliable checkpoint instead of being rebuilt per check.
-    orders = cut_lineage(b.shop_orders(spark, sf))
+    # lines) and four read the numbered payments; each is written once as
+    # Parquet, from which every check reads only its columns.
+    orders = written_table(b.shop_orders(spark, sf), "orders")
     poisoned = lc.inject_fault(orders, lc.choose_victims(orders))
     customers = b.customers_raw(spark, sf)
-    pays = cut_lineage(b.payments_from_orders(orders))
+    pays = written_table(b.payments_from_orders(orders), "payments")
     return qa.scorecard(qa.order_checks(poisoned), qa.customer_checks(customers),
                         qa.payment_checks(pays), qa.payment_coverage(poisoned, pays))
 

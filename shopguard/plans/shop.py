@@ -8,7 +8,7 @@ from shopguard.operators import lifecycle as lc
 from shopguard.operators import payload as pl
 from shopguard.plans.catalog import register
 from shopguard.plans.sql import VIEWS, pg_typeof
-from shopguard.session import cut_lineage
+from shopguard.session import written_table
 from shopguard.sources import bindings as b
 
 _NUM = "('BIGINT', 'UBIGINT', 'HUGEINT', 'DOUBLE', 'BOOLEAN')"
@@ -62,21 +62,25 @@ SELECT o.id, o.customer_id, o.sku, o.qty, o.amount_cents,
 FROM poisoned o LEFT JOIN poison_backup b ON o.id = b.id"""
 
 
-def _poisoned(spark, sf):
-    orders = b.shop_orders(spark, sf)
-    return lc.inject_fault(orders, lc.choose_victims(orders))
+def _victims(spark, sf):
+    """W1's victims, written once: their choice reads two columns of ``orders``."""
+    return written_table(lc.choose_victims(b.shop_orders(spark, sf)), "victims")
+
 
+def _poisoned(spark, sf, victims=None):
+    orders = b.shop_orders(spark, sf)
+    return lc.inject_fault(orders, lc.choose_victims(orders) if victims is None else victims)
 
-def _orders_once(spark, sf):
-    """The order binding written once as a reliable checkpoint, for queries that
-    read it more than once (the binding shuffles all of lineitem; a second
-    read of the copy is far cheaper than building it again)."""
-    return cut_lineage(b.shop_orders(spark, sf))
 
+def _poisoned_and_backup(spark, sf):
+    """Poisoned orders and the written backup table of the victims' rows.
 
-def _poisoned_and_backup(spark, sf, orders=None):
-    """Poisoned orders and their backup, both from one copy of the binding."""
-    return lc.poison_with_backup(_orders_once(spark, sf) if orders is None else orders)
+    The backup is built from the victims' orders and lines alone, so the orders
+    are read once more only to be rewritten, never copied whole.
+    """
+    victims = _victims(spark, sf)
+    backup = lc.backup_rows(b.shop_orders(spark, sf, victims), victims)
+    return _poisoned(spark, sf, victims), written_table(backup, "poison-backup")
 
 
 @register("s1_customers_typed_scan", "S1", oracle="SELECT * FROM customers_raw")
@@ -224,8 +228,7 @@ def w9_payments(spark, sf):
 
 @register("j3_backup_rows", ("J3", "D2"), oracle="SELECT * FROM poison_backup")
 def j3_backup_rows(spark, sf):
-    _, backup = _poisoned_and_backup(spark, sf, b.shop_orders(spark, sf))  # one read: no copy
-    return backup
+    return _poisoned_and_backup(spark, sf)[1]
 
 
 @register("j4_insert_absent", "J4", oracle=f"""
@@ -237,8 +240,7 @@ UNION ALL SELECT * FROM new WHERE id NOT IN (SELECT id FROM poison_backup)""")
 def j4_insert_absent(spark, sf):
     poisoned, backup = _poisoned_and_backup(spark, sf)
     # Re-running the injection on the poisoned table must not clobber the backup.
-    rerun = lc.choose_victims(poisoned).select("id").unionByName(
-        lc.choose_victims(b.shop_orders(spark, sf)).select("id"))
+    rerun = lc.choose_victims(poisoned).select("id").unionByName(backup.select("id"))
     return lc.insert_absent(backup, lc.backup_rows(poisoned, rerun))
 
 
@@ -284,9 +286,8 @@ SELECT (SELECT count(*) FROM (SELECT * FROM shop_orders EXCEPT ALL SELECT * FROM
        AND (SELECT count(*) FROM (SELECT * FROM remediated EXCEPT ALL SELECT * FROM shop_orders)) = 0
            AS equal""")
 def x2_restore_equality(spark, sf):
-    orders = _orders_once(spark, sf)
-    poisoned, backup = _poisoned_and_backup(spark, sf, orders)
-    return lc.multiset_diff(lc.remediate(poisoned, backup), orders)
+    poisoned, backup = _poisoned_and_backup(spark, sf)
+    return lc.multiset_diff(lc.remediate(poisoned, backup), b.shop_orders(spark, sf))
 
 
 @register("x2_poisoned_vs_snapshot", "X2", oracle="""
@@ -294,8 +295,7 @@ SELECT (SELECT count(*) FROM (SELECT * FROM shop_orders EXCEPT ALL SELECT * FROM
        (SELECT count(*) FROM (SELECT * FROM poisoned EXCEPT ALL SELECT * FROM shop_orders)) AS extra,
        false AS equal""")
 def x2_poisoned_vs_snapshot(spark, sf):
-    orders = _orders_once(spark, sf)
-    return lc.multiset_diff(lc.inject_fault(orders, lc.choose_victims(orders)), orders)
+    return lc.multiset_diff(_poisoned(spark, sf), b.shop_orders(spark, sf))
 
 
 @register("a4_restore_summary", ("A4", "X3"), oracle="""

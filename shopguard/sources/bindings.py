@@ -38,9 +38,16 @@ def customers_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _only(df: DataFrame, key: str, few: DataFrame | None) -> DataFrame:
+    """The rows whose ``key`` is an ``id`` of ``few`` (a bounded set of orders, broadcast), or all."""
+    if few is None:
+        return df
+    return df.join(F.broadcast(few.select(F.col("id").alias(key))), key, "left_semi")
+
+
+def _order_lines(spark: SparkSession, sf_dir: str, few: DataFrame | None = None) -> DataFrame:
     """Per order: the JSON items array text, the line total, and the first line."""
-    li = load_table(spark, sf_dir, "lineitem")
+    li = _only(load_table(spark, sf_dir, "lineitem"), "l_orderkey", few)
     sku = F.concat(F.lit("P-"), F.col("l_partkey").cast("string"))
     qty = F.col("l_quantity").cast("int")
     price = F.round(F.col("l_extendedprice") * 100).cast("long")
@@ -64,11 +71,12 @@ def _order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("lines")[0]["qty"].alias("first_qty"))
 
 
-def shop_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``public.orders`` rows with a well-formed JSON payload per order."""
-    o = load_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus",
-                                                   "o_orderdate")
-    lines = _order_lines(spark, sf_dir)
+def shop_orders(spark: SparkSession, sf_dir: str, few: DataFrame | None = None) -> DataFrame:
+    """``public.orders`` rows with a well-formed JSON payload per order; ``few``
+    (a bounded frame of ``id``) restricts both scans to those orders."""
+    o = _only(load_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus",
+                                                         "o_orderdate"), "o_orderkey", few)
+    lines = _order_lines(spark, sf_dir, few)
     k = F.col("o_orderkey")
     status = (F.when(F.col("o_orderstatus") == "F", "DELIVERED")
               .when(F.col("o_orderstatus") == "O", "SHIPPED")

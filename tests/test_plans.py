@@ -67,3 +67,9 @@ def test_no_cross_joins(spark):
 def test_every_policy_matches_a_request(spark):
     hits = {r.pid: r.matched for r in queries()["c_policy_hits"](spark, SMALL).collect()}
     assert set(hits) == {p.pid for p in pol.POLICIES} and min(hits.values()) > 0
+
+
+def test_repair_reads_each_table_once(spark):
+    """The repaired version comes from one scan of orders and lines; victims and backup are small tables."""
+    plan = _initial_plan(queries()["j1_remediate"](spark, SMALL))
+    assert plan.count("orders.parquet") == 1 and plan.count("lineitem.parquet") == 1
