@@ -209,3 +209,24 @@ def retention(df: DataFrame, ts_col: str, anchor: str, days: int) -> DataFrame:
     """Keep rows newer than ``anchor - days``."""
     cutoff = F.lit(anchor).cast("timestamp_ntz") - F.make_dt_interval(days=F.lit(days))
     return df.where(F.col(ts_col) >= cutoff)
+
+
+def _cutoff(anchor: str, days: int) -> F.Column:
+    return F.lit(anchor).cast("timestamp_ntz") - F.make_dt_interval(days=F.lit(days))
+
+
+def retained(df: DataFrame, ts_col: str, anchor: str, days: dict[str, int]) -> DataFrame:
+    """The rows each prefix keeps, in one pass: a row once per prefix whose rule keeps it."""
+    rules = F.array(*[F.struct(F.lit(p).alias("prefix"), _cutoff(anchor, d).alias("cutoff")) for p, d in days.items()])
+    kept = F.filter(rules, lambda r: F.col(ts_col) >= r["cutoff"])
+    return df.withColumn("prefix", F.explode(F.transform(kept, lambda r: r["prefix"])))
+
+
+def retention_report(df: DataFrame, ts_col: str, anchor: str, days: dict[str, int]) -> DataFrame:
+    """Rows kept and dropped per prefix, from one aggregate."""
+    counts = df.agg(*[x for p, d in days.items() for x in (
+        F.count_if(F.col(ts_col) >= _cutoff(anchor, d)).alias(f"{p}_kept"),
+        F.count_if(F.col(ts_col) < _cutoff(anchor, d)).alias(f"{p}_dropped"))])
+    return counts.select(F.inline(F.array(*[
+        F.struct(F.lit(p).alias("prefix"), F.lit(d).alias("days"), F.col(f"{p}_kept").alias("kept"),
+                 F.col(f"{p}_dropped").alias("dropped")) for p, d in days.items()])))

@@ -113,22 +113,30 @@ def s5_counter_samples(spark, sf):
 
 
 @register("s5_parse_exposition", "S5", oracle="""
-SELECT metric, type, job, instance, host, env, project, ts, value FROM counter_samples
+SELECT metric, type, job, instance, host, env, project, '' AS labels, ts, value FROM counter_samples
 UNION ALL
-SELECT 'http_5xx_ratio', 'gauge', job, instance, host, env, project, ts,
+SELECT 'http_5xx_ratio', 'gauge', job, instance, host, env, project, '', ts,
        CASE WHEN t > 0 THEN CAST(printf('%.4f', e / t) AS DOUBLE) ELSE 0 END
 FROM (SELECT job, instance, host, env, project, ts,
              max(value) FILTER (WHERE metric = 'http_requests_total') AS t,
              max(value) FILTER (WHERE metric = 'http_requests_5xx_total') AS e
       FROM counter_samples GROUP BY ALL)
 UNION ALL
-SELECT 'up', 'gauge', job, instance, host, env, project, ts, 1.0 FROM counter_samples
+SELECT 'up', 'gauge', job, instance, host, env, project, '', ts, 1.0 FROM counter_samples
 WHERE metric = 'http_requests_total'
 UNION ALL
-SELECT 'process_cpu_seconds_total', 'counter', job, instance, host, env, project, ts, round(value * 0.01, 2)
-FROM counter_samples WHERE metric = 'http_requests_total'""")
+SELECT 'process_cpu_seconds_total', 'counter', job, instance, host, env, project, '', ts, round(value * 0.01, 2)
+FROM counter_samples WHERE metric = 'http_requests_total'
+UNION ALL
+SELECT 'http_responses_total', 'counter', job, instance, host, env, project,
+       unnest(['class=5xx,path=/orders', 'class=other,path=/orders']), ts, unnest([e, t - e])
+FROM (SELECT job, instance, host, env, project, ts,
+             max(value) FILTER (WHERE metric = 'http_requests_total') AS t,
+             max(value) FILTER (WHERE metric = 'http_requests_5xx_total') AS e
+      FROM counter_samples GROUP BY ALL)""")
 def s5_parse_exposition(spark, sf):
-    return ms.parse_exposition(ms.exposition_lines(_samples(spark, sf)))
+    parsed = ms.parse_exposition(ms.exposition_lines(_samples(spark, sf)))
+    return parsed.withColumn("labels", ms.label_text(F.col("labels")))
 
 
 @register("p9_keep_list", "P9", oracle="""

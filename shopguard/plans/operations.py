@@ -338,23 +338,25 @@ def s4_flatten_audit(spark, sf):
 _D6_ANCHOR = "2024-01-30 00:00:00"
 
 
-@register("d6_retention", "D6", oracle=f"""
-SELECT 'audit' AS prefix, 30 AS days, count(*) FILTER (WHERE ts >= TIMESTAMP '{_D6_ANCHOR}' - INTERVAL 30 DAY) AS kept,
-       count(*) FILTER (WHERE ts < TIMESTAMP '{_D6_ANCHOR}' - INTERVAL 30 DAY) AS dropped FROM audit_log
-UNION ALL
-SELECT 'results', 7, count(*) FILTER (WHERE ts >= TIMESTAMP '{_D6_ANCHOR}' - INTERVAL 7 DAY),
-       count(*) FILTER (WHERE ts < TIMESTAMP '{_D6_ANCHOR}' - INTERVAL 7 DAY) FROM audit_log""")
+_RETENTION = (("audit", 30), ("results", 7))
+
+
+@register("d6_retention", "D6", oracle="\nUNION ALL ".join(
+    f"""SELECT '{p}' AS prefix, {d} AS days, count(*) FILTER (WHERE ts >= TIMESTAMP '{_D6_ANCHOR}' - INTERVAL {d} DAY) AS kept,
+       count(*) FILTER (WHERE ts < TIMESTAMP '{_D6_ANCHOR}' - INTERVAL {d} DAY) AS dropped FROM audit_log"""
+    for p, d in _RETENTION))
 def d6_retention(spark, sf):
-    a = src.audit_with_time(src.audit_log(spark, sf)).select("ts")
-    parts = []
-    for prefix, days in (("audit", 30), ("results", 7)):
-        kept = lc.retention(a, "ts", _D6_ANCHOR, days).agg(F.count(F.lit(1)).alias("kept"))
-        total = a.agg(F.count(F.lit(1)).alias("total"))
-        from shopguard.operators.common import one_row
-
-        parts.append(one_row(kept, total).select(F.lit(prefix).alias("prefix"), F.lit(days).alias("days"), "kept",
-                                                 (F.col("total") - F.col("kept")).alias("dropped")))
-    return parts[0].unionByName(parts[1])
+    """What each prefix's rule keeps and drops, counted in one pass."""
+    return lc.retention_report(src.audit_with_time(src.audit_log(spark, sf)), "ts", _D6_ANCHOR, dict(_RETENTION))
+
+
+@register("d6_kept_rows", "D6", oracle="\nUNION ALL ".join(
+    f"SELECT '{p}' AS prefix, id, ts FROM audit_log WHERE ts >= TIMESTAMP '{_D6_ANCHOR}' - INTERVAL {d} DAY"
+    for p, d in _RETENTION))
+def d6_kept_rows(spark, sf):
+    """The rows that stay under each prefix."""
+    audit = src.audit_with_time(src.audit_log(spark, sf)).select("id", "ts")
+    return lc.retained(audit, "ts", _D6_ANCHOR, dict(_RETENTION)).select("prefix", "id", "ts")
 
 
 @register("s2_csv_roundtrip", "S2", oracle="SELECT * FROM shop_orders")

@@ -22,6 +22,7 @@ HELP = {
     "http_requests_5xx_total": "Total responses with status >= 500.",
     "http_5xx_ratio": "Fraction of requests failing with 5xx.",
     "up": "1 if the target is up.",
+    "http_responses_total": "Total HTTP responses by path and class.",
     "process_cpu_seconds_total": "Total user and system CPU time spent in seconds.",
 }
 
@@ -80,24 +81,44 @@ def exposition_lines(samples: DataFrame) -> DataFrame:
     for name, typ, val in metrics:
         lines += [F.lit(f"# HELP {name} {HELP[name]}"), F.lit(f"# TYPE {name} {typ}"),
                   F.concat(F.lit(name + " "), val.cast("string"))]
+    # One metric whose series differ in their labels only.
+    name = "http_responses_total"
+    lines += [F.lit(f"# HELP {name} {HELP[name]}"), F.lit(f"# TYPE {name} counter"),
+              F.concat(F.lit(name + '{path="/orders",class="5xx"} '), F.col("errors").cast("string")),
+              F.concat(F.lit(name + '{class="other",path="/orders"} '), (F.col("total") - F.col("errors")).cast("string"))]
     return scrape.select(
         F.concat_ws("|", "instance", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")).alias("scrape_id"),
         "instance", "ts", F.posexplode(F.array(*lines)).alias("line_no", "line"))
 
 
 def parse_exposition(lines: DataFrame) -> DataFrame:
-    """Drop comments, parse ``name[{labels}] value``, attach the ``# TYPE``
-    of the same scrape, and add target (instance, job) and external labels."""
-    types = (lines.where(F.col("line").startswith("# TYPE "))
-             .select("scrape_id", F.split("line", " ")[2].alias("metric"),
-                     F.split("line", " ")[3].alias("type")))
-    body = lines.where(~F.col("line").startswith("#") & (F.trim("line") != ""))
-    parsed = body.select(
-        "scrape_id", "instance", "ts",
-        F.regexp_extract("line", r"^([a-zA-Z_:][a-zA-Z0-9_:]*)", 1).alias("metric"),
-        F.regexp_extract("line", r"\{(.*)\}", 1).alias("labels"),
+    """Parse ``name[{labels}] value``, attach the ``# TYPE`` of the same
+    scrape, and add target (instance, job) and external labels. The sample's own
+    labels stay, as a map; they are part of its series.
+
+    One pass: a TYPE line carries its type to the samples of its metric by a
+    window over (scrape, metric), whose groups are one scrape's lines.
+    """
+    name = r"([a-zA-Z_:][a-zA-Z0-9_:]*)"
+    is_type = F.col("line").startswith("# TYPE ")
+    pair = r'([a-zA-Z_][a-zA-Z0-9_]*)="((?:[^"\\\\]|\\\\.)*)"'
+    inner = F.regexp_extract("line", r"^[a-zA-Z_:][a-zA-Z0-9_:]*\{(.*)\}", 1)
+    staged = lines.where(is_type | (~F.col("line").startswith("#") & (F.trim("line") != ""))).select(
+        "scrape_id", "instance", "ts", is_type.alias("_is_type"),
+        F.when(is_type, F.regexp_extract("line", rf"^# TYPE {name}", 1))
+        .otherwise(F.regexp_extract("line", rf"^{name}", 1)).alias("metric"),
+        F.when(is_type, F.regexp_extract("line", rf"^# TYPE {name} (\S+)", 2)).alias("_type"),
+        F.map_from_arrays(F.regexp_extract_all(inner, F.lit(pair), F.lit(1)),
+                          F.regexp_extract_all(inner, F.lit(pair), F.lit(2))).alias("labels"),
         F.expr(r"try_cast(regexp_extract(line, '\\s(\\S+)\\s*$', 1) AS DOUBLE)").alias("value"))
-    return (parsed.join(types, ["scrape_id", "metric"], "left")
+    typed = staged.withColumn("type", F.max("_type").over(Window.partitionBy("scrape_id", "metric")))
+    return (typed.where("NOT _is_type")
             .select("metric", F.coalesce("type", F.lit("untyped")).alias("type"), F.lit(JOB).alias("job"),
                     "instance", F.col("instance").alias("host"), F.lit(ENV).alias("env"),
-                    F.lit(PROJECT).alias("project"), "ts", "value"))
+                    F.lit(PROJECT).alias("project"), "labels", "ts", "value"))
+
+
+def label_text(labels: F.Column) -> F.Column:
+    """A label map as ``a=1,b=2``, by name."""
+    return F.array_join(F.transform(F.array_sort(F.map_entries(labels)),
+                                    lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
