@@ -1,12 +1,9 @@
-import os
-import sys
+"""A fixture the operator tests import (a second conftest would hide the one above)."""
 
 import pytest
 
-sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
 
-
-@pytest.fixture(scope="session")
+@pytest.fixture(scope="module")
 def documents(spark):
     """The smallest documents table as plain rows."""
     return spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()

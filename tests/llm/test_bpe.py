@@ -7,6 +7,8 @@ import struct
 import pytest
 from tokenizers import Tokenizer as Library
 
+from small_documents import documents  # noqa: F401
+
 from shopguard.llm import bpe
 from shopguard.llm.queries import tokenizer_path
 

@@ -5,6 +5,8 @@ import string
 
 from pyspark.sql import functions as F
 
+from small_documents import documents  # noqa: F401
+
 from shopguard.llm import exact_dedup
 
 LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)

@@ -7,6 +7,8 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from small_documents import documents  # noqa: F401
+
 from shopguard.llm import repeats
 
 SCHEMA = "doc_id long, text string, g long, start int, m int"

@@ -8,6 +8,8 @@ import string
 
 from pyspark.sql import functions as F
 
+from small_documents import documents  # noqa: F401
+
 from shopguard.llm import secrets
 
 SCHEMA = "doc_id long, text string, base string, tested int, tokens string"

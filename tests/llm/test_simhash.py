@@ -4,6 +4,8 @@ import numpy as np
 import pytest
 import xxhash
 
+from small_documents import documents  # noqa: F401
+
 from shopguard.llm import simhash
 
 SCHEMA = "doc_id long, text string, fp string, node int"
