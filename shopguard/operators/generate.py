@@ -1,7 +1,7 @@
 """Shop data generator (G1-G3): same distributions and constraints as the
 reference seed, deterministic for a seed at any partitioning.
 
-Every random draw is ``xxhash64(id, seed, salt)``, so a row depends only on its
+Every random draw is 60 bits of ``md5("id:seed:salt")``, so a row depends only on its
 own id: no shuffle, no sequential random stream, and the same rows whether
 the ids come in 1 or 1,000 partitions.
 """
@@ -36,7 +36,8 @@ EMAIL_DOMAINS = ("example.com", "example.net", "example.org")
 
 
 def _h(id_col: Column, seed: int, salt: str) -> Column:
-    return F.xxhash64(id_col, F.lit(seed), F.lit(salt))
+    text = F.concat_ws(":", id_col.cast("string"), F.lit(str(seed)), F.lit(salt))
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
 
 
 def rand_int(id_col: Column, seed: int, salt: str, lo: int, hi: int) -> Column:

@@ -55,8 +55,16 @@ def classify_payload(orders: DataFrame, keep_parsed: bool = False) -> DataFrame:
             .drop("_err", *([] if keep_parsed else ["_v"])))
 
 
+def iso_text(ts: F.Column) -> F.Column:
+    """A timestamp as Python's ``isoformat`` prints it: microseconds only if there are any."""
+    fraction = F.date_format(ts, "SSSSSS")
+    return F.concat(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"),
+                    F.when(fraction == "000000", "").otherwise(F.concat(F.lit("."), fraction)))
+
+
 def enrich_orders(orders: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(good, quarantine). Good rows get lines, computed total and totals_match."""
+    """(good, quarantine). Good rows get lines, computed total, totals_match, the
+    channel, the shipping object (JSON text) and the creation time as text."""
     classified = classify_payload(orders, keep_parsed=True)
     bad = classified.where(F.col("error_type").isNotNull()).drop("_v")
     v = F.col("_v")
@@ -69,7 +77,9 @@ def enrich_orders(orders: DataFrame) -> tuple[DataFrame, DataFrame]:
                                     lambda acc, x: acc + x["line_total_cents"]))
             .withColumn("totals_match", F.col("computed_total_cents") == F.col("amount_cents"))
             .withColumn("channel", F.try_variant_get(v, "$.channel", "string"))
+            .withColumn("shipping", F.to_json(F.try_variant_get(v, "$.shipping", "variant")))
             .withColumn("shipping_method", F.try_variant_get(v, "$.shipping.method", "string"))
+            .withColumn("created_at_text", iso_text(F.col("created_at")))
             .drop("error_type", "error_key", "items_type", "shape", "_v"))
     return good, bad
 

@@ -291,6 +291,37 @@ def j11_grant_window(spark, sf):
     return pol.covered_by_grant(st, grants).select("event_id", "ts", "covered", "grant_at")
 
 
+VIEWS["entitled"] = """
+SELECT DISTINCT principal_id, resource_id
+FROM (SELECT DISTINCT principal_id, unnest(roles) AS role FROM policy_requests)
+JOIN (SELECT 'ai-agents' AS role, 'pg-prod-read' AS resource_id UNION ALL SELECT 'ai-agents', 'grafana-mcp'
+      UNION ALL SELECT 'ai-agents', 'github-mcp'
+      UNION ALL SELECT 'sre-oncall', r FROM (VALUES ('agent-vm'), ('pg-prod-read'), ('pg-prod-remediation'),
+                                                   ('pg-prod-admin'), ('app-01'), ('app-02')) v(r)) USING (role)"""
+
+
+@register("c10_effective_access", ("C10", "J10", "J11"), oracle="""
+WITH f AS (SELECT event_id, principal_id, resource_id, decision,
+       EXISTS (SELECT 1 FROM entitled e WHERE e.principal_id = d.principal_id AND e.resource_id = d.resource_id) AS entitled,
+       EXISTS (SELECT 1 FROM grants g WHERE g.principal_id = d.principal_id AND g.resource_id = d.resource_id
+               AND g.granted_at <= d.ts AND d.ts < g.granted_at + INTERVAL 15 MINUTE) AS granted FROM decided d)
+SELECT *, decision = 'allow' AND (entitled OR granted) AS effective FROM f""")
+def c10_effective_access(spark, sf):
+    """A request goes through if the policies allow it and a role or a current grant opens the resource."""
+    reqs = src.policy_requests(spark, sf)
+    members = reqs.select("principal_id", F.explode("roles").alias("role")).distinct()
+    open_to = pol.entitlements(members, pol.role_rules_frame(spark), pol.resources_frame(spark)) \
+        .select("principal_id", "resource_id", F.lit(True).alias("entitled"))
+    grants = src.access_requests(reqs).where(F.col("status") == "Approved").select(
+        F.col("account").alias("principal_id"), F.col("resource").alias("resource_id"),
+        (F.col("submitted_at") + F.make_dt_interval(mins=F.lit(1))).alias("granted_at"))
+    asked = pol.decide(reqs).select("event_id", "principal_id", "resource_id", "ts", "decision")
+    facts = (pol.covered_by_grant(asked, grants).join(open_to, ["principal_id", "resource_id"], "left")
+             .withColumn("entitled", F.coalesce("entitled", F.lit(False))))
+    return facts.select("event_id", "principal_id", "resource_id", "decision", "entitled", F.col("covered").alias("granted"),
+                        ((F.col("decision") == "allow") & (F.col("entitled") | F.col("covered"))).alias("effective"))
+
+
 # ---------------------------------------------------------------------------
 # Audit forensics
 # ---------------------------------------------------------------------------

@@ -160,13 +160,17 @@ SELECT id, customer_id, status, amount_cents,
                  * CAST(json_extract(x, '$.unit_price_cents') AS DOUBLE))), 0) AS DOUBLE) = amount_cents
            AS totals_match,
        json_extract_string(payload, '$.channel') AS channel,
+       CAST(json_extract(payload, '$.shipping') AS VARCHAR) AS shipping,
        json_extract_string(payload, '$.shipping.method') AS shipping_method,
+       strftime(created_at, '%Y-%m-%dT%H:%M:%S')
+           || CASE WHEN strftime(created_at, '%f') = '000000' THEN '' ELSE '.' || strftime(created_at, '%f') END
+           AS created_at_text,
        CAST(coalesce(len({_GOOD_ITEMS}), 0) AS INTEGER) AS n_lines
 FROM classified WHERE code IS NULL""")
 def t2_enrich_orders(spark, sf):
     good, _ = pl.enrich_orders(_poisoned(spark, sf))
     return good.select("id", "customer_id", "status", "amount_cents", "computed_total_cents",
-                       "totals_match", "channel", "shipping_method",
+                       "totals_match", "channel", "shipping", "shipping_method", "created_at_text",
                        F.size("lines").alias("n_lines"))
 
 
