@@ -188,24 +188,45 @@ def rule_state(docs: DataFrame, names: Sequence[str], col: str = "doc") -> DataF
     return docs.select("doc_id", F.inline(F.array(*[lookup(n) for n in names])))
 
 
-# The database grants the shop roles should hold.
+# The database grants the shop roles should hold (column ``*``: the whole table).
 EXPECTED_GRANTS = (
-    ("shop_read", "public.customers", "SELECT"), ("shop_read", "public.orders", "SELECT"),
-    ("shop_read", "public.order_health", "SELECT"), ("shop_read", "public.poison_backup", "SELECT"),
-    ("shop_remediation", "public.orders", "SELECT"), ("shop_remediation", "public.orders", "UPDATE"),
-    ("shop_remediation", "public.poison_backup", "SELECT"),
-    ("orders_api", "public.orders", "SELECT"), ("orders_api", "private.customer_pii", "SELECT"),
+    ("shop_read", "public.customers", "*", "SELECT"), ("shop_read", "public.orders", "*", "SELECT"),
+    ("shop_read", "public.order_health", "*", "SELECT"), ("shop_read", "public.poison_backup", "*", "SELECT"),
+    ("shop_remediation", "public.orders", "id", "SELECT"), ("shop_remediation", "public.orders", "status", "SELECT"),
+    ("shop_remediation", "public.orders", "payload", "SELECT"),
+    ("shop_remediation", "public.orders", "status", "UPDATE"), ("shop_remediation", "public.orders", "payload", "UPDATE"),
+    ("shop_remediation", "public.orders", "created_at", "UPDATE"),
+    ("shop_remediation", "public.poison_backup", "id", "SELECT"),
+    ("shop_remediation", "public.poison_backup", "status", "SELECT"),
+    ("shop_remediation", "public.poison_backup", "payload", "SELECT"),
+    ("shop_remediation", "public.poison_backup", "created_at", "SELECT"),
+    ("orders_api", "public.orders", "*", "SELECT"), ("orders_api", "private.customer_pii", "*", "SELECT"),
 )
+GRANT_COLUMNS = ("id", "status", "payload", "created_at")
 
 
 def grant_drift(expected: DataFrame, actual: DataFrame) -> DataFrame:
-    """(role, object, privilege) missing from ``actual`` and extra in it."""
-    keys = ["role", "object", "privilege"]
+    """(role, object, column, privilege) missing from ``actual`` and extra in it."""
+    keys = ["role", "object", "column", "privilege"]
     e, a = expected.select(*keys).distinct(), actual.select(*keys).distinct()
     return e.exceptAll(a).withColumn("finding", F.lit("missing")).unionByName(
         a.exceptAll(e).withColumn("finding", F.lit("extra")))
 
 
+def repair_privileges(body: Column) -> Column:
+    """The (object, column, privilege) an aliased repair statement uses: what it sets of the orders (``o``), and
+    what it reads of them and of the backup (``b``)."""
+    out = []
+    sets = F.regexp_extract(body, " SET (.*?) FROM ", 1)
+    for c in GRANT_COLUMNS:
+        for text, pattern, obj, privilege in ((sets, rf"(^|, ){c} = ", "public.orders", "UPDATE"),
+                                              (body, rf"\bo\.{c}\b", "public.orders", "SELECT"),
+                                              (body, rf"\bb\.{c}\b", "public.poison_backup", "SELECT")):
+            out.append(F.when(text.rlike(pattern), F.struct(F.lit(obj).alias("object"), F.lit(c).alias("column"),
+                                                            F.lit(privilege).alias("privilege"))))
+    return F.array_compact(F.array(*out))
+
+
 # Tools each MCP server must expose.
 REQUIRED_TOOLS = (("grafana", "get_incident"), ("grafana", "add_activity_to_incident"),
                   ("grafana", "create_incident"), ("github", "list_pull_requests"),

@@ -33,6 +33,12 @@ FROM (SELECT instance, date_trunc('hour', ts) AS hour, 'http_requests_total' AS
       FROM request_log GROUP BY 1, 2
       UNION ALL
       SELECT instance, date_trunc('hour', ts), 'http_requests_5xx_total', count(*) FILTER (WHERE status_code >= 500)
+      FROM request_log GROUP BY 1, 2
+      UNION ALL
+      SELECT instance, date_trunc('hour', ts), 'http_requests_4xx_total',
+             count(*) FILTER (WHERE status_code >= 400 AND status_code < 500) FROM request_log GROUP BY 1, 2
+      UNION ALL
+      SELECT instance, date_trunc('hour', ts), 'orders_malformed_payload_total', count(*) FILTER (WHERE unhandled)
       FROM request_log GROUP BY 1, 2)"""
 VIEWS["counter_windows"] = f"""
 SELECT metric, instance, t, count(*) AS samples,
@@ -122,9 +128,12 @@ FROM (SELECT job, instance, host, env, project, ts,
              max(value) FILTER (WHERE metric = 'http_requests_5xx_total') AS e
       FROM counter_samples GROUP BY ALL)
 UNION ALL
-SELECT 'up', 'gauge', job, instance, host, env, project, '', ts, 1.0 FROM counter_samples
+SELECT unnest(['up', 'orders_api_up']), 'gauge', job, instance, host, env, project, '', ts, 1.0 FROM counter_samples
 WHERE metric = 'http_requests_total'
 UNION ALL
+SELECT 'orders_api_uptime_seconds', 'gauge', job, instance, host, env, project, '', ts,
+       epoch(ts) - epoch(date_trunc('day', ts - INTERVAL 1 HOUR)) FROM counter_samples WHERE metric = 'http_requests_total'
+UNION ALL
 SELECT 'process_cpu_seconds_total', 'counter', job, instance, host, env, project, '', ts, round(value * 0.01, 2)
 FROM counter_samples WHERE metric = 'http_requests_total'
 UNION ALL
@@ -143,7 +152,8 @@ def s5_parse_exposition(spark, sf):
 SELECT metric, count(*) AS samples, count(DISTINCT instance) AS series FROM (
   SELECT metric, instance FROM counter_samples
   UNION ALL SELECT 'http_5xx_ratio', instance FROM counter_samples WHERE metric = 'http_requests_total'
-  UNION ALL SELECT 'up', instance FROM counter_samples WHERE metric = 'http_requests_total')
+  UNION ALL SELECT unnest(['up', 'orders_api_up', 'orders_api_uptime_seconds']), instance FROM counter_samples
+            WHERE metric = 'http_requests_total')
 GROUP BY metric""")
 def p9_keep_list(spark, sf):
     parsed = ms.parse_exposition(ms.exposition_lines(_samples(spark, sf)))

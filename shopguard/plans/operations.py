@@ -213,28 +213,42 @@ def p14_rule_state(spark, sf):
     return rc.rule_state(dv.rule_group_docs(_states(spark, sf), RULE), _NAMES)
 
 
-_EXPECTED_SQL = "(VALUES " + ", ".join(f"('{r}', '{o}', '{p}')" for r, o, p in rc.EXPECTED_GRANTS) + \
-    ") e(role, object, privilege)"
+_EXPECTED_SQL = "(VALUES " + ", ".join(f"('{r}', '{o}', '{c}', '{p}')" for r, o, c, p in rc.EXPECTED_GRANTS) + \
+    ') e(role, object, "column", privilege)'
+
+
+_USED_SQL = " UNION ALL ".join(
+    f"SELECT 'shop_remediation' AS role, '{obj}' AS object, '{c}' AS \"column\", '{priv}' AS privilege FROM allowed "
+    f"WHERE resource_id <> 'pg-prod-read' AND regexp_matches({text}, '{pat}')"
+    for c in rc.GRANT_COLUMNS for text, pat, obj, priv in (
+        ("regexp_extract(query_body, ' SET (.*?) FROM ', 1)", f"(^|, ){c} = ", "public.orders", "UPDATE"),
+        ("query_body", f"\\bo\\.{c}\\b", "public.orders", "SELECT"),
+        ("query_body", f"\\bb\\.{c}\\b", "public.poison_backup", "SELECT")))
 
 
 @register("x4_grant_drift", "X4", oracle=f"""
-WITH actual AS (
-  SELECT DISTINCT CASE resource_id WHEN 'pg-prod-read' THEN 'shop_read' ELSE 'shop_remediation' END AS role,
-         'public.' || t AS object, CASE WHEN list_contains(write_tables, t) THEN 'UPDATE' ELSE 'SELECT' END AS privilege
-  FROM (SELECT *, unnest(tables) AS t FROM recorded WHERE decision = 'allow' AND has_sql)),
+WITH allowed AS (SELECT * FROM recorded WHERE decision = 'allow' AND has_sql),
+actual AS (
+  SELECT DISTINCT * FROM (
+    SELECT 'shop_read' AS role, 'public.' || t AS object, '*' AS "column",
+           CASE WHEN list_contains(write_tables, t) THEN 'UPDATE' ELSE 'SELECT' END AS privilege
+    FROM (SELECT *, unnest(tables) AS t FROM allowed WHERE resource_id = 'pg-prod-read')
+    UNION ALL {_USED_SQL})),
 expected AS (SELECT * FROM {_EXPECTED_SQL})
 SELECT *, 'missing' AS finding FROM (SELECT * FROM expected EXCEPT SELECT * FROM actual)
 UNION ALL SELECT *, 'extra' FROM (SELECT * FROM actual EXCEPT SELECT * FROM expected)""")
 def x4_grant_drift(spark, sf):
+    """Column privileges the recorded statements used, against the grants that should be there."""
     rec = pol.decide(src.policy_requests(spark, sf), pol.policy_set(exclude=src.RECORDED_POLICY_EXCLUDES))
-    t = F.col("t")
-    actual = (rec.where((F.col("decision") == "allow") & F.col("has_sql"))
-              .select("resource_id", "write_tables", F.explode("tables").alias("t"))
-              .select(F.when(F.col("resource_id") == pol.READ_RESOURCE, "shop_read")
-                      .otherwise("shop_remediation").alias("role"),
-                      F.concat(F.lit("public."), t).alias("object"),
-                      F.when(F.array_contains("write_tables", t), "UPDATE").otherwise("SELECT").alias("privilege")))
-    expected = spark.createDataFrame(list(rc.EXPECTED_GRANTS), "role string, object string, privilege string")
+    allowed = rec.where((F.col("decision") == "allow") & F.col("has_sql"))
+    whole = F.transform("tables", lambda t: F.struct(
+        F.concat(F.lit("public."), t).alias("object"), F.lit("*").alias("column"),
+        F.when(F.array_contains("write_tables", t), "UPDATE").otherwise("SELECT").alias("privilege")))
+    read = F.col("resource_id") == pol.READ_RESOURCE
+    used = F.when(read, whole).otherwise(rc.repair_privileges(F.col("query_body")))
+    actual = allowed.select(F.when(read, "shop_read").otherwise("shop_remediation").alias("role"),
+                            F.explode(used).alias("u")).select("role", "u.*")
+    expected = spark.createDataFrame(list(rc.EXPECTED_GRANTS), "role string, object string, column string, privilege string")
     return rc.grant_drift(expected, actual)
 
 

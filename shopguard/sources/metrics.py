@@ -16,10 +16,15 @@ from shopguard.sources.tables import load_table
 
 # Target and external labels of the scrape, HELP texts.
 JOB, ENV, PROJECT = "orders-api", "prod", "shop"
-COUNTERS = ("http_requests_total", "http_requests_5xx_total")
+COUNTERS = ("http_requests_total", "http_requests_5xx_total", "http_requests_4xx_total",
+            "orders_malformed_payload_total")
 HELP = {
     "http_requests_total": "Total HTTP requests handled.",
     "http_requests_5xx_total": "Total responses with status >= 500.",
+    "http_requests_4xx_total": "Total responses with status 400-499.",
+    "orders_api_up": "1 if the process is serving.",
+    "orders_api_uptime_seconds": "Seconds since process start.",
+    "orders_malformed_payload_total": "Order payloads that failed enrichment.",
     "http_5xx_ratio": "Fraction of requests failing with 5xx.",
     "up": "1 if the target is up.",
     "http_responses_total": "Total HTTP responses by path and class.",
@@ -45,15 +50,17 @@ def request_log_from(e: DataFrame) -> DataFrame:
 def hourly_counts(log: DataFrame) -> DataFrame:
     hour = F.date_trunc("hour", F.col("ts")).cast("timestamp_ntz")
     return log.groupBy("instance", hour.alias("hour")).agg(
-        F.count(F.lit(1)).alias("total"), F.count_if(F.col("status_code") >= 500).alias("errors"))
+        F.count(F.lit(1)).alias("total"), F.count_if(F.col("status_code") >= 500).alias("errors"),
+        F.count_if((F.col("status_code") >= 400) & (F.col("status_code") < 500)).alias("refused"),
+        F.count_if("unhandled").alias("malformed"))
 
 
 def counter_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """metric, type, job, instance, host, env, project, ts, value."""
     h = hourly_counts(request_log(spark, sf_dir))
     long = h.select("instance", "hour", F.explode(F.array(
-        F.struct(F.lit(COUNTERS[0]).alias("metric"), F.col("total").alias("n")),
-        F.struct(F.lit(COUNTERS[1]).alias("metric"), F.col("errors").alias("n")))).alias("m")) \
+        *[F.struct(F.lit(m).alias("metric"), F.col(c).alias("n"))
+          for m, c in zip(COUNTERS, ("total", "errors", "refused", "malformed"))])).alias("m")) \
         .select("instance", "hour", "m.metric", "m.n")
     day = F.date_trunc("day", F.col("hour")).cast("timestamp_ntz")
     # A day holds at most 24 samples per series: the window groups stay small.
@@ -68,11 +75,18 @@ def counter_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 def exposition_lines(samples: DataFrame) -> DataFrame:
     """Prometheus text exposition, one scrape per (instance, ts): HELP/TYPE/sample lines."""
     scrape = samples.groupBy("instance", "ts").agg(
-        F.max(F.when(F.col("metric") == COUNTERS[0], F.col("value"))).alias("total"),
-        F.max(F.when(F.col("metric") == COUNTERS[1], F.col("value"))).alias("errors"))
+        *[F.max(F.when(F.col("metric") == m, F.col("value"))).alias(c)
+          for m, c in zip(COUNTERS, ("total", "errors", "refused", "malformed"))])
+    # The counters start at midnight, and so does the process.
+    uptime = F.unix_seconds(F.col("ts").cast("timestamp")) - F.unix_seconds(
+        F.date_trunc("day", F.col("ts") - F.make_dt_interval(hours=F.lit(1))).cast("timestamp"))
     # Printed as the service prints it: f"{rate:.4f}", 0.0 when no requests.
     ratio = F.when(F.col("total") > 0, fixed_text(F.col("errors") / F.col("total"), 4)).otherwise("0.0000")
-    metrics = [("http_requests_total", "counter", F.col("total")),
+    metrics = [("orders_api_up", "gauge", F.lit("1")),
+               ("orders_api_uptime_seconds", "gauge", F.concat(uptime.cast("string"), F.lit(".0"))),
+               ("http_requests_4xx_total", "counter", F.col("refused")),
+               ("orders_malformed_payload_total", "counter", F.col("malformed")),
+               ("http_requests_total", "counter", F.col("total")),
                ("http_requests_5xx_total", "counter", F.col("errors")),
                ("http_5xx_ratio", "gauge", ratio),
                ("up", "gauge", F.lit(1.0)),
