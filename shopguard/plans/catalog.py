@@ -42,6 +42,7 @@ def register(name: str, ops: str | tuple[str, ...] = (), oracle: str | None = No
 def _load_all() -> None:
     # Importing the modules fills REGISTRY.
     from shopguard.plans import alerting, analytics, generation, governance, operations, shop, streams  # noqa: F401
+    from shopguard.plans import readiness  # noqa: F401  (reads the others' oracles)
 
 
 def prepare(spark: SparkSession) -> None:
