@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Whitespace of a POSIX [[:space:]] inside one line, the read
@@ -47,6 +47,26 @@ def evidence(text: Column, principal: str, needle1: str, needle2: str, decision_
             & F.contains(text, F.lit(needle2)) & text.rlike(f"(?i)(?:{decision_re})"))
 
 
+def evidence_by_run(audit: DataFrame, text: Column, probes: list[tuple[str, str, str, str, str]],
+                    account: str = "principal_id", ts: str = "ts") -> DataFrame:
+    """A8 per run (an account's day): how often each probe matches, whether at
+    least or exactly once, and whether its running count grew by one that day.
+
+    One pass: flags per record, summed per account, day and probe.
+    """
+    flags = F.array(*[F.struct(F.lit(name).alias("probe"), evidence(F.col("_text"), p, n1, n2, d).alias("hit"))
+                      for name, p, n1, n2, d in probes])
+    day = F.date_trunc("day", F.col(ts)).cast("timestamp_ntz")
+    hits = audit.withColumn("_text", text).select(F.col(account).alias("account"), day.alias("run_day"), F.inline(flags))
+    runs = hits.groupBy("account", "run_day", "probe").agg(F.count_if("hit").alias("matches"))
+    so_far = Window.partitionBy("account", "probe").orderBy("run_day").rowsBetween(Window.unboundedPreceding, 0)
+    return (runs.withColumn("after", F.sum("matches").over(so_far))
+            .withColumn("before", F.col("after") - F.col("matches"))
+            .select("account", "run_day", "probe", "matches", (F.col("matches") >= 1).alias("at_least_one"),
+                    (F.col("matches") == 1).alias("exactly_one"), "before", "after",
+                    (F.col("after") == F.col("before") + 1).alias("grew_by_one")))
+
+
 def evidence_counts(audit: DataFrame, probes: list[tuple[str, str, str, str, str]],
                     before_ts: str | None = None, after_ts: str | None = None,
                     ts_col: str = "ts") -> DataFrame:

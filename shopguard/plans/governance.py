@@ -413,6 +413,34 @@ def a8_evidence_counts(spark, sf):
     return au.evidence_counts(a, _PROBES, _BEFORE, _AFTER)
 
 
+# The evidence of a run's tool calls and of its one repair.
+_RUN_PROBES = [
+    ("denied_orders_update", pol.AGENT, pol.READ_RESOURCE, "SQL::delete", "denied|deny|forbid|not permitted"),
+    ("read_incident", pol.AGENT, pol.GRAFANA_MCP, "get_incident", "allow|permit|success"),
+    ("timeline_entry", pol.AGENT, pol.GRAFANA_MCP, "add_activity_to_incident", "allow|permit|success"),
+    ("filed_issue", pol.AGENT, pol.GITHUB_MCP, "issue_write", "allow|permit|success"),
+    ("permitted_repair", pol.AGENT, pol.REMEDIATION_RESOURCE, "SQL::update", "allow|permit|success"),
+]
+_RUN_TEXT = "'{\"account\":\"' || principal_id || '\",\"resource\":\"' || resource_id || '\",\"action\":\"' || action || " \
+    "'\",\"authorization\":\"' || CASE decision WHEN 'allow' THEN 'allowed' ELSE 'denied' END || '\"}'"
+
+
+@register("a8_evidence_by_run", ("A8", "P10"), oracle=f"""
+WITH t AS (SELECT principal_id AS account, CAST(date_trunc('day', ts) AS TIMESTAMP) AS run_day, {_RUN_TEXT} AS t FROM mix_decided),
+hits AS ({" UNION ALL ".join(
+    f"SELECT account, run_day, '{n}' AS probe, contains(t, '{p}') AND contains(t, '{a}') AND contains(t, '{b_}') "
+    f"AND regexp_matches(t, '(?i)(?:{d})') AS hit FROM t" for n, p, a, b_, d in _RUN_PROBES)}),
+runs AS (SELECT account, run_day, probe, count(*) FILTER (WHERE hit) AS matches FROM hits GROUP BY ALL),
+sums AS (SELECT *, CAST(sum(matches) OVER (PARTITION BY account, probe ORDER BY run_day) AS BIGINT) AS "after" FROM runs)
+SELECT account, run_day, probe, matches, matches >= 1 AS at_least_one, matches = 1 AS exactly_one,
+       "after" - matches AS "before", "after", matches = 1 AS grew_by_one FROM sums""")
+def a8_evidence_by_run(spark, sf):
+    d = pol.decide(src.request_mix(spark, sf))
+    record = F.to_json(F.struct(F.col("principal_id").alias("account"), F.col("resource_id").alias("resource"), "action",
+                                F.when(F.col("decision") == "allow", "allowed").otherwise("denied").alias("authorization")))
+    return au.evidence_by_run(d, record, _RUN_PROBES)
+
+
 _BROAD_RE = pol.BROAD_PERMIT_PATTERN.replace("'", "''")
 
 

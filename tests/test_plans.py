@@ -73,3 +73,10 @@ def test_repair_reads_each_table_once(spark):
     """The repaired version comes from one scan of orders and lines; victims and backup are small tables."""
     plan = _initial_plan(queries()["j1_remediate"](spark, SMALL))
     assert plan.count("orders.parquet") == 1 and plan.count("lineitem.parquet") == 1
+
+
+def test_runs_show_every_kind_of_evidence(spark):
+    rows = queries()["a8_evidence_by_run"](spark, SMALL).collect()
+    seen = {r.probe for r in rows if r.at_least_one}
+    assert len(seen) == 5
+    assert any(r.exactly_one for r in rows) and any(r.grew_by_one for r in rows) and any(r.matches > 1 for r in rows)
