@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
 import tempfile
 import uuid
@@ -67,9 +69,27 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
+_scratch_roots: set[str] = set()
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A unique sub-folder of the shared checkpoint folder for written tables."""
-    return os.path.join(checkpoint_dir(spark), "tables", f"{name}-{uuid.uuid4().hex}")
+    """A unique sub-folder of the shared checkpoint folder for written tables.
+
+    All of an application's tables lie in one folder, which is removed when the
+    driver's Python process ends.
+    """
+    root = f"{checkpoint_dir(spark)}/tables/{spark.sparkContext.applicationId}"
+    if root not in _scratch_roots:
+        _scratch_roots.add(root)
+        atexit.register(_remove, spark, root)
+    return f"{root}/{name}-{uuid.uuid4().hex}"
+
+
+def _remove(spark: SparkSession, root: str) -> None:
+    # A session that was stopped before has no gateway left; its folder then stays.
+    with contextlib.suppress(Exception):
+        path = spark._jvm.org.apache.hadoop.fs.Path(root)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written_table(df: DataFrame, name: str) -> DataFrame:

@@ -24,7 +24,7 @@ from shopguard.operators import audit as au
 from shopguard.operators import metrics as mt
 from shopguard.operators import policy as pol
 from shopguard.operators.payload import classify_payload
-from shopguard.session import checkpoint_dir
+from shopguard.session import scratch_path
 from shopguard.sources.tables import DRIVER_SCHEMAS, table_path
 
 # The keyed-state functions below run in Python workers. Their code (and the
@@ -250,10 +250,8 @@ def run_available_now(df: DataFrame, name: str, mode: str = "append", keys: list
     micro-batch's rows to a folder of its own (a retried batch replaces its own)
     and in the end keeps, per ``keys``, the row of the latest batch.
     Checkpoints live in the shared checkpoint folder so a restarted query resumes."""
-    import uuid
-
     spark = df.sparkSession
-    base = os.path.join(checkpoint_dir(spark), "streams", f"{name}-{uuid.uuid4().hex}")
+    base = scratch_path(spark, f"stream-{name}")
     out, ckpt = f"{base}/out", f"{base}/checkpoint"
     writer = df.writeStream.option("checkpointLocation", ckpt).trigger(availableNow=True)
     if mode == "append":
