@@ -325,8 +325,12 @@ def c10_effective_access(spark, sf):
 # ---------------------------------------------------------------------------
 # Audit forensics
 # ---------------------------------------------------------------------------
+# Some statements get a second one behind a carriage return or a next-line character, which end no line here.
+_TAILS = {1: "'; ' || chr(13) || 'DROP TABLE x'", 2: "';' || chr(133) || 'SELECT 2'", 3: "' ; ' || chr(13) || chr(10) || 'SELECT 3;'"}
 _T5 = f"""
-SELECT id, regexp_replace(query_body, '(?m);[ \\t\\r\\f\\x0B]*$', '', 'g') AS stripped FROM audit_log"""
+SELECT id, regexp_replace(query_body || CASE CAST(substr(id, 3) AS BIGINT) % 10 {" ".join(
+    f"WHEN {k} THEN {v}" for k, v in _TAILS.items())} ELSE '' END, '(?m);[ \\t\\r\\f\\x0B]*$', '', 'g') AS stripped
+FROM audit_log"""
 
 
 @register("t5_classify_statements", "T5", bench=True, oracle=f"""
@@ -340,7 +344,10 @@ SELECT id, contains(stripped, ';') AS multi_statement, normalized,
        normalized = '{_CANON}' AS is_canonical_repair
 FROM n""")
 def t5_classify_statements(spark, sf):
-    c = au.classify_statements(src.audit_log(spark, sf), src.CANONICAL_UPDATE)
+    log = src.audit_log(spark, sf)
+    kind = F.regexp_extract("id", r"^q-(\d+)$", 1).cast("long") % 10
+    tail = F.when(kind == 1, "; \rDROP TABLE x").when(kind == 2, ";\u0085SELECT 2").when(kind == 3, " ; \r\nSELECT 3;").otherwise("")
+    c = au.classify_statements(log.withColumn("query_body", F.concat("query_body", tail)), src.CANONICAL_UPDATE)
     return c.select("id", "multi_statement", "normalized", "verb", "is_read", "is_canonical_repair")
 
 
