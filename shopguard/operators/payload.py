@@ -79,8 +79,9 @@ def enrich_orders(orders: DataFrame) -> tuple[DataFrame, DataFrame]:
             .withColumn("channel", F.try_variant_get(v, "$.channel", "string"))
             .withColumn("shipping", F.to_json(F.try_variant_get(v, "$.shipping", "variant")))
             .withColumn("shipping_method", F.try_variant_get(v, "$.shipping.method", "string"))
-            .withColumn("created_at_text", iso_text(F.col("created_at")))
             .drop("error_type", "error_key", "items_type", "shape", "_v"))
+    if "created_at" in orders.columns:
+        good = good.withColumn("created_at_text", iso_text(F.col("created_at")))
     return good, bad
 
 
