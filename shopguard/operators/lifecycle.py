@@ -185,8 +185,9 @@ def restore(spark: SparkSession, snapshot_dir: str, names=("customers", "orders"
 
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(snapshot_dir)
     fs = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(jvm_path.suffix("/orders")):
-        raise FileNotFoundError(f"snapshot missing: {snapshot_dir}/orders")
+    missing = [n for n in names if not fs.exists(jvm_path.suffix(f"/{n}"))]
+    if missing:
+        raise FileNotFoundError(f"snapshot {snapshot_dir} lacks {', '.join(missing)}")
     out = {n: spark.read.parquet(f"{snapshot_dir}/{n}") for n in names}
     out["poison_backup"] = spark.createDataFrame([], POISON_BACKUP)
     if target_dir:

@@ -65,6 +65,13 @@ def test_restore_refuses_missing_snapshot(spark):
         lc.restore(spark, scratch_path(spark, "no-such-snapshot"))
 
 
+def test_restore_refuses_an_incomplete_snapshot(spark):
+    snap = scratch_path(spark, "half-a-snapshot")
+    lc.write_snapshot({"orders": spark.range(3)}, snap)
+    with pytest.raises(FileNotFoundError, match="customers, payments"):
+        lc.restore(spark, snap)
+
+
 def test_pii_split_refuses_missing_raw_table(spark):
     base = scratch_path(spark, "zones")
     with pytest.raises(FileNotFoundError):
