@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shopguard.operators.common import join_null_safe
+from shopguard.session import written_table
 
 # The alert rule defaults and the metric keep-list.
 RATE_WINDOW_S = 120
@@ -190,6 +191,8 @@ def alert_states(values: DataFrame, above: float = THRESHOLD, for_s: int = FOR_S
     width = interval_s * block
     v = (values.select(rule, "eval_ts", "value", *(["error"] if has_err else []))
          .withColumn("_t", _epoch("eval_ts")).withColumn("_blk", F.floor(F.col("_t") / width)))
+    # The evaluations and their breaches are each read more than once below; written, they are computed once.
+    v = written_table(v, "evaluations")
     # The next evaluation: inside the block, or the first of the rule's next block.
     inside = Window.partitionBy(rule, "_blk").orderBy("_t")
     blocks = Window.partitionBy(rule).orderBy("_blk")
@@ -206,8 +209,8 @@ def alert_states(values: DataFrame, above: float = THRESHOLD, for_s: int = FOR_S
         F.floor((F.col("_t") + F.col("_n") * interval_s) / width).alias("_blk"))
     err = F.col("error").isNotNull() if has_err else F.lit(False)
     breach = (~err) & F.coalesce(F.col("value") > F.lit(above), F.lit(False))
-    staged = full.withColumn("breach", breach).withColumn("is_error", err) \
-        .withColumn("_calm", F.when(F.col("breach"), 0).otherwise(1))
+    staged = written_table(full.withColumn("breach", breach).withColumn("is_error", err)
+                           .withColumn("_calm", F.when(F.col("breach"), 0).otherwise(1)), "breaches")
     calm = staged.groupBy(rule, "_blk").agg(F.sum("_calm").alias("_in")) \
         .withColumn("_before", F.sum("_in").over(blocks) - F.col("_in")).drop("_in")
     running = Window.partitionBy(rule, "_blk").orderBy("eval_ts").rowsBetween(Window.unboundedPreceding, 0)
