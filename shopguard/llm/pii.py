@@ -4,10 +4,11 @@ The patterns give the base spans. The semi-Markov CRF scores whole candidate
 segments (up to MAX_TOKENS tokens) by features of the span as a whole and of
 its neighbours, and a dynamic program over segment ends and types picks the
 best segmentation of each region, so boundaries and types are chosen together.
-It is fitted here, on regions of a bounded sample of documents in which the
-base spans are the labels, with variants of them that the patterns miss
-(a phone without its plus, a card in dotted groups, a spaced-out address).
-Spans it finds beside the base ones are added.
+It is fitted here, on a bounded sample of regions from all documents, drawn per
+kind, in which the base spans are the labels, with variants of them that the
+patterns miss (a phone without its plus, a card in dotted groups, a spaced-out
+address). Spans it finds beside the base ones are added. A kind with no base
+span in any document has nothing to learn from and adds no span.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shopguard.llm.common import written
+
 # The kinds in their order, and the patterns of the base spans. Look-behinds and
 # possessive quantifiers only keep the search linear; they change no match.
 KINDS = ("email", "ip", "card", "phone")
@@ -31,8 +34,9 @@ CARD = re.compile(r"(?<![0-9])[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 MAX_TOKENS = 16
-# Documents (those with the smallest id hashes) and regions the model is fitted on at most.
-TRAINING_DOCS, TRAINING_REGIONS = 600, 500
+# Distinct regions the model is fitted on at most (those with the smallest hashes): with an entity of a
+# kind, for each kind, and without any. A longer region is cut into pieces of so many characters.
+KIND_REGIONS, EMPTY_REGIONS, REGION_CHARS = 200, 250, 300
 # Tokens in one dynamic program; a longer region is cut where tokens are blank.
 REGION_TOKENS = 400
 
@@ -252,24 +256,88 @@ def _variants(text: str, spans: list[Span]) -> Iterator[tuple[str, list[Span]]]:
     yield text[:a] + new + text[b:], [(kind, a, a + len(new)), *[(k, x + shift, y + shift) for k, x, y in spans[1:]]]
 
 
+Example = tuple[int, str, list[Span]]          # hash, text, entities in it
+
+
+def _cut(text: str, a: int, b: int, spans: list[Span]) -> Iterator[tuple[int, int]]:
+    """The region in pieces of about REGION_CHARS, cut behind blanks (anywhere where there is none) outside its spans."""
+    while b - a > REGION_CHARS:
+        end = text.rfind(" ", a, a + REGION_CHARS) + 1 or a + REGION_CHARS
+        for _, x, y in sorted(spans, key=lambda s: s[1]):
+            if x < end < y:
+                end = y
+        yield a, min(end, b)
+        a = min(end, b)
+    if a < b:
+        yield a, b
+
+
+def examples(text: str) -> Iterator[Example]:
+    """Every region of the text with the base spans in it and a character on each side. Left out are pieces
+    whose spans overlap or that hold a span no candidate can be, as the model has no segmentation for them."""
+    base = sorted(base_spans(text), key=lambda s: s[1])
+    k = 0
+    for a, b in regions(text):
+        while k < len(base) and base[k][2] <= a:
+            k += 1
+        inside = []
+        for s in base[k:]:
+            if s[1] >= b:
+                break
+            inside.append(s)
+        for x, y in _cut(text, a, b, inside):
+            mine = [s for s in inside if s[1] < y and x < s[2]]
+            if all(x <= s[1] and s[2] <= y and s[2] - s[1] <= 256
+                   and sum(1 for _ in _TOKEN.finditer(text, s[1], s[2])) <= MAX_TOKENS for s in mine) \
+                    and all(p[2] <= q[1] for p, q in zip(mine, mine[1:])):
+                lo, hi = max(0, x - 1), min(len(text), y + 1)
+                t, spans = text[lo:hi], [(n, c - lo, d - lo) for n, c, d in mine]
+                h = hashlib.blake2b(f"{t}\0{spans}".encode("utf-8", "replace"), digest_size=8).digest()
+                yield int.from_bytes(h, "big", signed=True), t, spans
+
+
+class Sample:
+    """The distinct examples with the smallest hashes, per kind (the last class: without an entity)."""
+
+    def __init__(self) -> None:
+        self.kept: list[dict[int, Example]] = [{} for _ in range(len(KINDS) + 1)]
+        self.limit = [KIND_REGIONS] * len(KINDS) + [EMPTY_REGIONS]
+        self.bound = [1 << 63] * (len(KINDS) + 1)
+
+    def add(self, example: Example) -> None:
+        for c in {k for k, _, _ in example[2]} or {len(KINDS)}:
+            if example[0] < self.bound[c]:
+                kept = self.kept[c]
+                kept[example[0]] = example
+                if len(kept) >= 2 * self.limit[c]:
+                    self._shrink(c)
+
+    def _shrink(self, c: int) -> None:
+        low = sorted(self.kept[c])[:self.limit[c]]
+        self.kept[c] = {h: self.kept[c][h] for h in low}
+        if len(low) == self.limit[c]:
+            self.bound[c] = low[-1]
+
+    def per_class(self) -> Iterator[tuple[int, Example]]:
+        for c in range(len(self.kept)):
+            self._shrink(c)
+            yield from ((c, e) for e in self.kept[c].values())
+
+
 def fit(texts: list[str], epochs: int = 6, ridge: float = 0.02) -> SemiCrf:
-    """Fit on the regions of ``texts`` (at most TRAINING_REGIONS, those with entities first)."""
-    examples = []
+    """Fit on a sample of the regions of ``texts``."""
+    sample = Sample()
     for t in texts:
-        base = base_spans(t)
-        for a, b in regions(t):
-            inside = sorted(((k, x, y) for k, x, y in base if a <= x and y <= b), key=lambda s: s[1])
-            apart = all(p[2] <= q[1] for p, q in zip(inside, inside[1:]))
-            if apart and b - a <= 300:
-                lo, hi = max(0, a - 1), min(len(t), b + 1)
-                examples.append((t[lo:hi], [(k, x - lo, y - lo) for k, x, y in inside]))
-    examples.sort(key=lambda e: (not e[1], hashlib.md5(e[0].encode()).digest()))
-    positive = [e for e in examples if e[1]][:TRAINING_REGIONS // 2]
-    negative = [e for e in examples if not e[1]][:TRAINING_REGIONS // 2]
+        for e in examples(t):
+            sample.add(e)
+    return fit_examples([e for _, e in sample.per_class()], epochs, ridge)
+
+
+def fit_examples(chosen: list[Example], epochs: int = 6, ridge: float = 0.02) -> SemiCrf:
+    """Fit on the examples, whatever their order. A kind that none of them holds is never predicted."""
+    distinct = [(t, spans) for _, t, spans in sorted({e[0]: e for e in chosen}.values(), key=lambda e: e[0])]
+    positive, negative = [e for e in distinct if e[1]], [e for e in distinct if not e[1]]
     model = SemiCrf(np.zeros((len(KINDS), N_FEATURES)), np.zeros((len(KINDS) + 1, len(KINDS))))
-    if not positive:
-        model.weights[:, 0] = -10.0          # nothing to learn from: adds no span
-        return model
     data = []
     for t, spans in [v for e in positive for v in _variants(*e)] + negative:
         tokens = [m.span() for m in _TOKEN.finditer(t)]
@@ -288,6 +356,9 @@ def fit(texts: list[str], epochs: int = 6, ridge: float = 0.02) -> SemiCrf:
             seen_f += df ** 2
             model.weights += 0.5 * dw / np.sqrt(seen_w)
             model.follow += 0.5 * df / np.sqrt(seen_f)
+    for k in set(range(len(KINDS))) - {k for _, gold in data for _, _, k in gold}:
+        model.weights[k] = 0.0
+        model.weights[k, 0] = -1e9
     return model
 
 
@@ -308,16 +379,31 @@ def _format(spans: list[Span]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for k, a, b in sorted(spans))
 
 
-def training_texts(docs: DataFrame, id_col: str, text_col: str) -> list[str]:
-    """The bounded sample of texts the model is fitted on, cut to their regions."""
+def training_examples(docs: DataFrame, text_col: str) -> list[Example]:
+    """The bounded sample the model is fitted on, from all regions of all documents.
+
+    A task hands on at most KIND_REGIONS of each kind and EMPTY_REGIONS without
+    any; of those, the ones with the smallest hashes over all tasks are taken.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sample = Sample()
         for b in batches:
-            parts = ["\n".join(t[max(0, x - 12):y + 12] for x, y in regions(t)[:20]) for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.string())], names=["t"])
-
-    few = (docs.where(F.col(text_col).rlike("[0-9@]")).select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
-           .orderBy(F.xxhash64("i"), F.length("t"), F.md5("t")).limit(TRAINING_DOCS).select("t"))
-    return sorted(r.t for r in few.mapInArrow(run, "t string").collect())
+            for t in b.column(0).to_pylist():
+                for e in examples(t):
+                    sample.add(e)
+        rows = [(c, h, t, [x for s in spans for x in s]) for c, (h, t, spans) in sample.per_class()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(v), kind) for v, kind in zip(
+            zip(*rows) if rows else [()] * 4, (pa.int32(), pa.int64(), pa.string(), pa.list_(pa.int32())))],
+            names=["c", "h", "t", "s"])
+
+    few = written(docs.where(F.col(text_col).rlike("[0-9@]")).select(F.col(text_col).alias("t"))
+                  .mapInArrow(run, "c int, h long, t string, s array<int>"), "pii-examples")
+    distinct = few.groupBy("c", "h").agg(F.min(F.struct("t", "s")).alias("e")).select("c", "h", "e.t", "e.s")
+    out = []
+    for c, limit in enumerate(Sample().limit):
+        out += [(r.h, r.t, list(zip(r.s[::3], r.s[1::3], r.s[2::3])))
+                for r in distinct.where(F.col("c") == c).orderBy("h").limit(limit).collect()]
+    return out
 
 
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -327,7 +413,7 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     NULL text counts as empty; repeated rows come back as often as they went
     in; other columns play no part; an empty table gives an empty result.
     """
-    crf = model or fit(training_texts(docs, id_col, text_col))
+    crf = model or fit_examples(training_examples(docs, text_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spans = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))

@@ -142,3 +142,34 @@ def test_frames(spark, documents):
         assert [by[d][f"n_{k}"] for k in pii.KINDS] == [sum(w[0] == i for w in want) for i in range(4)]
         assert set(filter(None, joined.split(","))) <= set(by[d].spans.split(","))
     assert pii.digest(pii.find_personal_data(df.limit(0))).count() == 0
+
+
+def test_rare_kinds_are_learned(spark):
+    """One kind per document, the rare ones in few of many documents, late in long ones or in a long region."""
+    rng = random.Random(3)
+    rows = [(i, sentence(rng, 4)[0] + " " + sentence(rng, 0)[0]) for i in range(1500)]
+    late = " ".join(sentence(rng, 5)[0] for _ in range(40))
+    rows += [(5000 + i, f"{late} {sentence(rng, 3)[0]}") for i in range(30)]
+    dates = " ".join(f"20{i:02}" for i in range(99))
+    cards = [sentence(rng, 2)[1] for _ in range(40)]
+    rows += [(6000 + i, f"{dates} words {'7' * 12}.5 {dates} or {s}") for i, s in enumerate(cards[:20])]
+    rows += [(7000 + i, f"{'x1 ' * 150}y {s} z1{' x1' * 150}") for i, s in enumerate(cards[20:])]
+    df = spark.createDataFrame([(d, t, "b", 1) for d, t in rows], SCHEMA).repartition(7)
+    chosen = pii.training_examples(df, "text")
+    held = [{k for k, _, _ in spans} for _, _, spans in chosen]
+    assert sum(3 in h for h in held) == 30 and sum(2 in h for h in held) == 40
+    assert sum(0 in h for h in held) == pii.KIND_REGIONS and held.count(set()) <= pii.EMPTY_REGIONS
+    again = pii.training_examples(df.repartition(2), "text")
+    assert sorted(again) == sorted(chosen)
+    crf = pii.fit_examples(chosen)
+    found = 0
+    for _ in range(20):
+        text, s = sentence(rng, 3)
+        found += (3, 11, 11 + len(s) - 3) in pii.find(text.replace("+1 ", ""), crf)[1]
+    assert found >= 16
+
+
+def test_a_kind_without_examples_adds_nothing():
+    rng = random.Random(6)
+    crf = pii.fit([sentence(rng, 3 * (i % 2))[0] for i in range(80)], epochs=3)
+    assert not any(k in (1, 2) for i in range(40) for k, _, _ in pii.find(sentence(rng, i % 6)[0], crf)[1])
