@@ -15,7 +15,10 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from array import array
+from collections import deque
+from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +40,8 @@ MAX_TOKENS = 16
 # Distinct regions the model is fitted on at most (those with the smallest hashes): with an entity of a
 # kind, for each kind, and without any. A longer region is cut into pieces of so many characters.
 KIND_REGIONS, EMPTY_REGIONS, REGION_CHARS = 200, 250, 300
-# Tokens in one dynamic program; a longer region is cut where tokens are blank.
-REGION_TOKENS = 400
+# Tokens whose candidates are scored at a time; the dynamic program runs on over the whole region.
+BLOCK_TOKENS = 400
 
 Span = tuple[int, int, int]          # kind number, start, end
 
@@ -108,18 +111,6 @@ def regions(text: str) -> list[tuple[int, int]]:
     return [(a, b) for a, b in found]
 
 
-def _pieces(text: str, a: int, b: int) -> Iterator[list[tuple[int, int]]]:
-    """Token offsets of a region, in pieces of bounded size."""
-    held: list[tuple[int, int]] = []
-    for m in _TOKEN.finditer(text, a, b):
-        held.append(m.span())
-        if len(held) >= REGION_TOKENS and (m[0].isspace() or len(held) >= 2 * REGION_TOKENS):
-            yield held
-            held = []
-    if held:
-        yield held
-
-
 N_FEATURES = 24
 
 
@@ -175,32 +166,44 @@ class SemiCrf:
     def _scores(self, cands):
         return [np.array([f for _, f in c]) @ self.weights.T if c else None for c in cands]
 
-    def decode(self, text: str, tokens: list[tuple[int, int]]) -> list[Span]:
-        """The best segmentation's entities."""
-        cands = self.candidates(text, tokens)
-        if not any(cands):
-            return []
-        scores, k = self._scores(cands), len(KINDS)
-        best = np.full((len(tokens) + 1, k + 1), -np.inf)      # by end and last segment's kind
-        best[0, 0] = 0.0
-        back: dict[tuple[int, int], tuple[int, int]] = {}
-        for j, c in enumerate(cands):
-            come = best[j]
-            best[j + 1, 0] = come.max()
-            back[j + 1, 0] = (j, int(come.argmax()))
-            for (i, _), s in zip(c, scores[j] if c else ()):
-                into = best[i][:, None] + self.follow
-                total = into.max(axis=0) + s
-                for y in np.flatnonzero(total > best[j + 1, 1:]):
-                    best[j + 1, 1 + y] = total[y]
-                    back[j + 1, 1 + int(y)] = (i, int(into[:, y].argmax()))
-        at, y = len(tokens), int(best[-1].argmax())
+    def decode(self, text: str, tokens: Iterable[tuple[int, int]]) -> list[Span]:
+        """The best segmentation's entities.
+
+        Scores are held for the last MAX_TOKENS ends only; of every token its
+        offsets and, per kind of the segment that ends there, one byte stay:
+        the segment's length and the kind before it.
+        """
+        k, tokens = len(KINDS), iter(tokens)
+        starts, ends, back = array("i"), array("i"), bytearray()
+        best = deque([np.array([0.0, *[-np.inf] * k])], MAX_TOKENS)   # by end and last segment's kind
+        recent: list[tuple[int, int]] = []
+        while block := list(islice(tokens, BLOCK_TOKENS)):
+            starts.extend(a for a, _ in block)
+            ends.extend(b for _, b in block)
+            have, recent = len(recent), recent + block
+            cands = self.candidates(text, recent)
+            scores = self._scores(cands)
+            for j in range(have, len(recent)):
+                come = best[-1]
+                here, links = np.full(k + 1, -np.inf), bytearray(k + 1)
+                here[0], links[0] = come.max(), 1 << 3 | int(come.argmax())
+                for (i, _), s in zip(cands[j], scores[j] if cands[j] else ()):
+                    into = best[i - j - 1][:, None] + self.follow
+                    total = into.max(axis=0) + s
+                    for y in np.flatnonzero(total > here[1:]):
+                        here[1 + y] = total[y]
+                        links[1 + y] = (j + 1 - i) << 3 | int(into[:, y].argmax())
+                best.append(here)
+                back += links
+            recent = recent[1 - MAX_TOKENS:]
+        at, y = len(starts), int(best[-1].argmax())
         out = []
         while at:
-            i, before = back[at, y]
+            link = back[(at - 1) * (k + 1) + y]
+            i = at - (link >> 3)
             if y:
-                out.append((y - 1, tokens[i][0], tokens[at - 1][1]))
-            at, y = i, before
+                out.append((y - 1, starts[i], ends[at - 1]))
+            at, y = i, link & 7
         return out[::-1]
 
     def gradient(self, cands, gold: set[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray]:
@@ -370,8 +373,8 @@ def find(text: str, model: SemiCrf) -> tuple[list[Span], list[Span]]:
     for a, b in regions(text):
         if any(x <= a and b <= y for x, y in taken):
             continue
-        for tokens in _pieces(text, a, b):
-            added += [s for s in model.decode(text, tokens) if not any(x < s[2] and s[1] < y for x, y in taken)]
+        found = model.decode(text, (m.span() for m in _TOKEN.finditer(text, a, b)))
+        added += [s for s in found if not any(x < s[2] and s[1] < y for x, y in taken)]
     return base, sorted(added)
 
 

@@ -173,3 +173,17 @@ def test_a_kind_without_examples_adds_nothing():
     rng = random.Random(6)
     crf = pii.fit([sentence(rng, 3 * (i % 2))[0] for i in range(80)], epochs=3)
     assert not any(k in (1, 2) for i in range(40) for k, _, _ in pii.find(sentence(rng, i % 6)[0], crf)[1])
+
+
+def test_long_regions_are_decoded_whole(model, monkeypatch):
+    """An entity anywhere in a long region is chosen whole, and the block size plays no part."""
+    rng = random.Random(12)
+    for n in (3, *range(129, 135), 265):
+        text = "x1 " * n + "(443) 555-5793" + " x1" * 20
+        assert (3, 3 * n, 3 * n + 14) in pii.find(text, model)[1], n
+    for _ in range(20):
+        text = "".join(rng.choice("12345 67890.-+()@ab%.- +1@x.y") for _ in range(120))
+        monkeypatch.setattr(pii, "BLOCK_TOKENS", 16)
+        small = pii.find(text, model)
+        monkeypatch.setattr(pii, "BLOCK_TOKENS", 10**6)
+        assert small == pii.find(text, model)
