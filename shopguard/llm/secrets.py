@@ -1,7 +1,8 @@
 """Secret scan: fixed patterns plus a battery of randomness tests, all in Spark SQL functions.
 
 The patterns give the base spans. Every other long token is tested for
-randomness in the alphabet of the encoding it appears to be in: chi-squared
+randomness in the alphabet of the encoding it appears to be in (a run of symbols
+that no encoding's alphabet fits is tested in parts, see ``_parts``): chi-squared
 uniformity of its symbols, a runs test about the middle of the alphabet, and
 lag-1 serial correlation. The smallest of the three p-values, adjusted for
 taking the smallest of three, is the token's: uniform for a random string,
@@ -31,6 +32,12 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 
 TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
+# Runs of one encoding, and what parts of other runs are made of: first what ``=`` parts (one at the end
+# is padding), then, where that holds both '+' or '/' and '-' or '_', the runs of either alphabet and of both.
+FITS = r"^(?:[A-Za-z0-9+/]+|[A-Za-z0-9_-]+)=*$"
+BETWEEN_EQUALS = r"[A-Za-z0-9+/_-]+(?:=+$)?"
+NARROWER = (r"[A-Za-z0-9_-]+(?:=+$)?", r"[A-Za-z0-9+/]+(?:=+$)?", r"[A-Za-z0-9]+(?:=+$)?")
+TOKEN_LENGTH = 20
 FDR = 0.1
 LEAST_P = 0.01              # a token that its own battery rejects at this level is never a secret
 BINS = 20
@@ -136,16 +143,37 @@ def _length_class(n: Column) -> Column:
     return F.floor(F.log2(n.cast("double"))).cast("int")
 
 
+def _within(run: Column, pattern: str) -> Column:
+    """The long matches in ``run`` (a ``start, end, hit``), with offsets of the text."""
+    found = F.filter(match_positions(run["hit"], pattern), lambda m: F.length(m["hit"]) >= TOKEN_LENGTH)
+    return F.transform(found, lambda m: F.struct((run["start"] + m["start"]).alias("start"),
+                                                 (run["start"] + m["end"]).alias("end"), m["hit"].alias("hit")))
+
+
+def _parts(runs: Column) -> Column:
+    """The tokens to test: runs that fit an encoding whole, and of others their long parts. Parts may overlap:
+    which of ``/+`` and ``_-`` are separators and which are symbols of a key can't be told beforehand."""
+    def narrower(part: Column) -> Column:
+        return F.array_distinct(F.concat(*[_within(part, p) for p in NARROWER]))
+
+    def split(run: Column) -> Column:
+        parts = F.transform(_within(run, BETWEEN_EQUALS),
+                            lambda m: F.when(m["hit"].rlike(FITS), F.array(m)).otherwise(narrower(m)))
+        return F.when(run["hit"].rlike(FITS), F.array(run)).otherwise(F.flatten(parts))
+
+    return F.flatten(F.transform(runs, split))
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Written table: id, base spans, and the tested tokens that overlap none of them."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     rows = rows.select("doc_id", base_spans(F.col("t")).alias("base"),
-                       match_positions(F.col("t"), TOKEN).alias("tokens"))
+                       _parts(match_positions(F.col("t"), TOKEN)).alias("tokens"))
     free = F.filter("tokens", lambda m: ~F.exists("base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
     named = F.transform(free, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["hit"].alias("hit"),
                                                  _encoding(m["hit"], 0).alias("encoding"),
                                                  _encoding(m["hit"], 2).alias("alphabet")))
-    tested = F.transform(F.filter(named, lambda m: m["encoding"].isNotNull()), lambda m: F.struct(
+    tested = F.transform(named, lambda m: F.struct(
         m["start"].alias("start"), m["end"].alias("end"),
         F.concat_ws(":", m["encoding"], _length_class(F.length(m["hit"])).cast("string")).alias("stratum"),
         battery(m["hit"], m["alphabet"]).alias("p")))
@@ -186,7 +214,10 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     cuts = F.map_from_entries(F.array(*[F.struct(F.lit(r.stratum), F.lit(r.cut)) for r in cut_offs(scanned, fdr).collect()])
                               .cast("array<struct<stratum:string,cut:double>>"))
     hits = F.filter("tested", lambda m: F.coalesce(m["p"] >= F.element_at(cuts, m["stratum"]), F.lit(False)))
-    return scanned.select("doc_id", "base", _spans(hits, len(KINDS), RANDOM).alias("added"))
+    # A part inside another one that is reported adds nothing.
+    widest = F.filter(hits, lambda m: ~F.exists(hits, lambda o: (o["start"] <= m["start"]) & (m["end"] <= o["end"]) & (
+        o["end"] - o["start"] > m["end"] - m["start"])))
+    return scanned.select("doc_id", "base", _spans(widest, len(KINDS), RANDOM).alias("added"))
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -98,3 +98,31 @@ def test_edge_rows(spark):
 def test_native_plan(spark, documents):
     plan = secrets.digest(secrets.find_secrets(frame(spark, [(1, "token=abcdef")])))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow|CartesianProduct|BroadcastNestedLoop", plan)
+
+
+def test_keys_between_separators(spark):
+    """Keys after an inner ``=``, in paths and beside the other alphabet's symbols, with their own offsets."""
+    rng = random.Random(7)
+    alnum = string.ascii_letters + string.digits
+    rows, want = [], {}
+    forms = [("see DB_PASS={} end", alnum), ("?a=1&sig={}== x", alnum + "+/"), ("auth={}", alnum + "_-"),
+             ("https://h.example/hook_a/{}/x", alnum + "_-"), ("my_dir-x={}=b", alnum),
+             ("conf_dir-{} y", alnum + "+/")]
+    for i in range(360):
+        form, alphabet = forms[i % len(forms)]
+        key = rng.choice(alnum) + token(rng, alphabet, 46) + rng.choice(alnum)
+        at = form.index("{")
+        rows.append((i, form.format(key)))
+        want[i] = (at, at + len(key))
+    rows.append((900, "=" * 60 + " " + "a=" * 30))
+    got = {r.doc_id: r.added for r in secrets.find_secrets(frame(spark, rows)).collect()}
+    hits = [0] * len(forms)
+    for i, (a, b) in want.items():
+        text = rows[i][1]
+        hits[i % len(forms)] += any(m.start <= a + 12 and m.end >= b - 12 and
+                                    re.fullmatch(r"[A-Za-z0-9+/]+=*|[A-Za-z0-9_-]+=*", text[m.start:m.end])
+                                    for m in got[i])
+    assert min(hits) >= 50, hits
+    exact = [i for i in want if i % len(forms) in (0, 4)]
+    assert sum(want[i] in {(m.start, m.end) for m in got[i]} for i in exact) >= 105
+    assert got[900] == []
