@@ -176,17 +176,19 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     tested = F.transform(named, lambda m: F.struct(
         m["start"].alias("start"), m["end"].alias("end"),
         F.concat_ws(":", m["encoding"], _length_class(F.length(m["hit"])).cast("string")).alias("stratum"),
-        battery(m["hit"], m["alphabet"]).alias("p")))
+        F.xxhash64(m["hit"]).alias("token"), battery(m["hit"], m["alphabet"]).alias("p")))
     return written(rows.select("doc_id", "base", tested.alias("tested")), "secrets-scan")
 
 
 def cut_offs(scanned: DataFrame, fdr: float = FDR) -> DataFrame:
     """``(stratum, cut)``: the smallest p from which a stratum's tokens are secrets at this rate.
 
-    One grouped histogram over all tokens; a stratum has BINS rows at most, and
-    there are as many strata as encodings times length classes.
+    One grouped histogram over the distinct tokens (copies of one token aren't
+    independent draws, and a large group of them would move its stratum's
+    cut-off); a stratum has BINS rows at most, and there are as many strata as
+    encodings times length classes.
     """
-    tokens = scanned.select(F.explode("tested").alias("m")).select("m.stratum", "m.p")
+    tokens = scanned.select(F.explode("tested").alias("m")).select("m.stratum", "m.token", "m.p").distinct()
     bins = tokens.groupBy("stratum", F.least(F.floor(F.col("p") * BINS), F.lit(BINS - 1)).cast("int").alias("bin")) \
         .agg(F.count(F.lit(1)).alias("n"))
     per = bins.groupBy("stratum").agg(

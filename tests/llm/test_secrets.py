@@ -126,3 +126,16 @@ def test_keys_between_separators(spark):
     exact = [i for i in want if i % len(forms) in (0, 4)]
     assert sum(want[i] in {(m.start, m.end) for m in got[i]} for i in exact) >= 105
     assert got[900] == []
+
+
+def test_copies_of_one_token_do_not_move_the_cut_off(spark):
+    """Random keys with one identifier of a middling p-value in very many copies."""
+    rng = random.Random(8)
+    chars = string.ascii_letters + string.digits
+    keys = [token(rng, chars, 32) for _ in range(220)]
+    p = {r.t: r.p for r in spark.createDataFrame([(k,) for k in keys], "t string").select(
+        "t", secrets.battery(F.col("t"), F.lit(chars)).alias("p")).collect()}
+    copied = next(k for k in keys[100:] if 0.36 < p[k] < 0.44)
+    rows = [(i, f"key {k} end") for i, k in enumerate(keys[:100])] + [(1000 + i, f"the {copied} here") for i in range(500)]
+    out = secrets.find_secrets(frame(spark, rows)).select("doc_id", F.size("added").alias("n")).collect()
+    assert sum(r.n for r in out if r.doc_id < 1000) >= 85
