@@ -388,6 +388,25 @@ def s7_json_array(spark, sf):
     return tx.to_json_array(safe)
 
 
+@register("s7_json_array_pages", "S7", oracle="""
+SELECT CAST(floor(id / 100) AS BIGINT) AS page,
+       CAST(to_json(list({'id': id, 'name': name, 'email': email, 'tier': tier} ORDER BY id)) AS VARCHAR) AS json
+FROM safe_customers GROUP BY 1""")
+def s7_json_array_pages(spark, sf):
+    """All customers, one array per block of 100 ids."""
+    safe = pv.safe_customers(b.customers_raw(spark, sf)).select("id", "name", "email", "tier")
+    return tx.to_json_array(safe.withColumn("page", F.floor(F.col("id") / 100).cast("long")), "page")
+
+
+@register("s7_ndjson_roundtrip", "S7", oracle="SELECT id, name, email, tier FROM safe_customers")
+def s7_ndjson_roundtrip(spark, sf):
+    """All customers through the scale path, written and read back."""
+    safe = pv.safe_customers(b.customers_raw(spark, sf)).select("id", "name", "email", "tier")
+    path = scratch_path(spark, "customers-ndjson")
+    tx.write_ndjson(safe, path)
+    return spark.read.schema(safe.schema).json(path)
+
+
 @register("s7_json_array_empty", "S7", oracle="""
 SELECT coalesce(CAST(to_json(list({'id': id, 'tier': tier})) AS VARCHAR), '[]') AS json
 FROM safe_customers WHERE tier = 'none'""")

@@ -125,3 +125,14 @@ def test_scratch_folder_needs_a_local_master():
 
     with pytest.raises(RuntimeError):
         checkpoint_dir(Remote())
+
+
+def test_json_exports_hold_all_customers(spark):
+    from conftest import SMALL
+    from shopguard.plans import catalog
+
+    n = spark.read.parquet(f"{SMALL}/customer.parquet").count()
+    pages = catalog.queries()["s7_json_array_pages"](spark, SMALL)
+    sizes = [r.n for r in pages.select(F.expr("json_array_length(json)").alias("n")).collect()]
+    assert sum(sizes) == n > 100 and max(sizes) <= 100
+    assert catalog.queries()["s7_ndjson_roundtrip"](spark, SMALL).count() == n
