@@ -41,6 +41,7 @@ TOKEN_LENGTH = 20
 FDR = 0.1
 LEAST_P = 0.01              # a token that its own battery rejects at this level is never a secret
 BINS = 20
+FEW = 20                    # distinct tokens under which a stratum is too thin for a cut-off of its own
 RANDOM = "random"
 
 # Encodings in order of inference: name, what a token of it looks like, its alphabet.
@@ -180,19 +181,10 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     return written(rows.select("doc_id", "base", tested.alias("tested")), "secrets-scan")
 
 
-def cut_offs(scanned: DataFrame, fdr: float = FDR) -> DataFrame:
-    """``(stratum, cut)``: the smallest p from which a stratum's tokens are secrets at this rate.
-
-    One grouped histogram over the distinct tokens (copies of one token aren't
-    independent draws, and a large group of them would move its stratum's
-    cut-off); a stratum has BINS rows at most, and there are as many strata as
-    encodings times length classes.
-    """
-    tokens = scanned.select(F.explode("tested").alias("m")).select("m.stratum", "m.token", "m.p").distinct()
-    bins = tokens.groupBy("stratum", F.least(F.floor(F.col("p") * BINS), F.lit(BINS - 1)).cast("int").alias("bin")) \
-        .agg(F.count(F.lit(1)).alias("n"))
-    per = bins.groupBy("stratum").agg(
-        F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("h"),
+def _cuts(bins: DataFrame, keys: list[str], fdr: float) -> DataFrame:
+    """``keys``, the number of tokens and the cut-off (NULL for none) of each group of histogram rows."""
+    per = bins.groupBy(*keys, "bin").agg(F.sum("n").alias("n")).groupBy(*keys).agg(
+        F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("h"), F.sum("n").alias("tokens"),
         F.sum(F.when(F.col("bin") >= BINS // 2, F.col("n")).otherwise(0)).alias("upper"))
     random = F.col("upper") * 2.0
     grid = F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda b: F.struct(b.alias("bin"), F.aggregate(
@@ -201,7 +193,39 @@ def cut_offs(scanned: DataFrame, fdr: float = FDR) -> DataFrame:
     good = F.filter(grid, lambda g: (g["kept"] > 0) & (
         g["kept"] - random * (1 - g["bin"] / float(BINS)) <= fdr * g["kept"]))
     cut = F.when(F.size(good) > 0, F.greatest(good[0]["bin"] / float(BINS), F.lit(LEAST_P)))
-    return per.select("stratum", cut.alias("cut")).where("cut IS NOT NULL")
+    return per.select(*keys, "tokens", cut.alias("cut"))
+
+
+def cut_offs(scanned: DataFrame, fdr: float = FDR) -> dict[str, float]:
+    """Per stratum, the smallest p from which its tokens are secrets at this rate; strata without one are left out.
+
+    One grouped histogram over the distinct tokens (copies of one token aren't
+    independent draws, and a large group of them would move its stratum's
+    cut-off); a stratum has BINS rows at most, and there are as many strata as
+    encodings times length classes.
+
+    A stratum of fewer than FEW tokens may have none in the upper half by
+    chance. It takes the smaller of its own cut-off and a pooled one: that of
+    its encoding's strata together, or of all strata where the encoding has few
+    tokens or no cut-off. Where that has none either, its own is all there is.
+    """
+    tokens = scanned.select(F.explode("tested").alias("m")).select("m.stratum", "m.token", "m.p").distinct()
+    bins = written(tokens.groupBy("stratum", F.least(F.floor(F.col("p") * BINS), F.lit(BINS - 1)).cast("int").alias("bin"))
+                   .agg(F.count(F.lit(1)).alias("n"))
+                   .withColumn("encoding", F.substring_index("stratum", ":", 1)), "secrets-histogram")
+    own = {r.stratum: r for r in _cuts(bins, ["stratum"], fdr).collect()}
+    of = {r.encoding: r for r in _cuts(bins, ["encoding"], fdr).collect()}
+    pooled = next((r.cut for r in _cuts(bins.withColumn("all", F.lit(0)), ["all"], fdr).collect()), None)
+    out = {}
+    for stratum, r in own.items():
+        cuts = [r.cut]
+        if r.tokens < FEW:
+            e = of[stratum.split(":")[0]]
+            cuts.append(e.cut if e.tokens >= FEW and e.cut is not None else pooled)
+        cuts = [c for c in cuts if c is not None]
+        if cuts:
+            out[stratum] = min(cuts)
+    return out
 
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fdr: float = FDR) -> DataFrame:
@@ -213,7 +237,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     scanned = scan(docs, id_col, text_col)
     # A value per stratum: encodings times length classes, at most a few dozen whatever the input.
-    cuts = F.map_from_entries(F.array(*[F.struct(F.lit(r.stratum), F.lit(r.cut)) for r in cut_offs(scanned, fdr).collect()])
+    cuts = F.map_from_entries(F.array(*[F.struct(F.lit(s), F.lit(c)) for s, c in sorted(cut_offs(scanned, fdr).items())])
                               .cast("array<struct<stratum:string,cut:double>>"))
     hits = F.filter("tested", lambda m: F.coalesce(m["p"] >= F.element_at(cuts, m["stratum"]), F.lit(False)))
     # A part inside another one that is reported adds nothing.

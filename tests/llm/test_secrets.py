@@ -139,3 +139,16 @@ def test_copies_of_one_token_do_not_move_the_cut_off(spark):
     rows = [(i, f"key {k} end") for i, k in enumerate(keys[:100])] + [(1000 + i, f"the {copied} here") for i in range(500)]
     out = secrets.find_secrets(frame(spark, rows)).select("doc_id", F.size("added").alias("n")).collect()
     assert sum(r.n for r in out if r.doc_id < 1000) >= 85
+
+
+def test_a_lone_key_of_a_rare_length(spark):
+    """A key in a stratum of its own with a p-value below one half takes the cut-off of its encoding."""
+    rng = random.Random(10)
+    chars = string.ascii_letters + string.digits
+    long = [token(rng, chars, 200) for _ in range(40)]
+    p = {r.t: r.p for r in spark.createDataFrame([(k,) for k in long], "t string").select(
+        "t", secrets.battery(F.col("t"), F.lit(chars)).alias("p")).collect()}
+    lone = next(k for k in long if 0.2 < p[k] < 0.45)
+    rows = [(i, f"key {token(rng, chars, 32)} end") for i in range(80)] + [(1000, f"key {lone} end")]
+    got = {r.doc_id: r.added for r in secrets.find_secrets(frame(spark, rows)).collect()}
+    assert [(m.start, m.end) for m in got[1000]] == [(4, 204)]
