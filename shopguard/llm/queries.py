@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shopguard.llm import bpe, exact_dedup, mixing, pii, quality, repeats, secrets, simhash, topk, warc
+from shopguard.llm import bpe, decontaminate, exact_dedup, mixing, pii, quality, repeats, secrets, simhash, topk, warc
 from shopguard.llm.common import read_table
 
 # Target weights of the mix: the one large source at four times the share of any other.
@@ -77,11 +77,20 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op11_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark words and items found in every document."""
+    return decontaminate.digest(decontaminate.find_contamination(
+        read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_mix_sources, op2_simhash_near_dedup, op3_warc_revisits, op4_bpe_round_trip,
                             op5_exact_top_k, op6_secret_scan, op7_exact_dedup, op8_personal_data, op9_repeat_removal,
-                            op10_quality_classifier)}
+                            op10_quality_classifier, op11_decontaminate)}
 
+# Words of normalised benchmark and document texts.
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', " \
+    r"'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLES: dict[str, str] = {
@@ -171,4 +180,20 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10""",
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
        doc_id IS NOT DISTINCT FROM max(doc_id) OVER same AS kept, sha256({_LOWER}) AS text_sha256
 FROM documents WINDOW same AS (PARTITION BY {_LOWER})""",
+    "op11_decontaminate": f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+items AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+places AS (SELECT *, least({decontaminate.WINDOW}, len(w)) AS m,
+                  unnest(range(1, len(w) - least({decontaminate.WINDOW}, len(w)) + 2)) AS i FROM items WHERE len(w) > 0),
+windows AS (SELECT DISTINCT item_id, m, array_to_string(w[i:i + m - 1], ' ') AS g FROM places),
+sizes AS (SELECT DISTINCT m FROM windows),
+starts AS (SELECT r, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM docs CROSS JOIN sizes WHERE len(w) >= m),
+grams AS (SELECT r, m, i, array_to_string(w[i:i + m - 1], ' ') AS g FROM starts),
+hits AS (SELECT r, m, i, item_id FROM grams JOIN windows USING (m, g)),
+words AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + m)) AS p FROM hits) GROUP BY r),
+named AS (SELECT r, count(item_id) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids
+          FROM (SELECT DISTINCT r, item_id::VARCHAR AS item_id FROM hits) GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN words USING (r) LEFT JOIN named USING (r)""",
 }
