@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shopguard.llm import bpe, decontaminate, exact_dedup, mixing, pii, quality, repeats, secrets, simhash, topk, warc
+from shopguard.llm import bpe, decontaminate, exact_dedup, mixing, negatives, pii, quality, repeats, secrets, simhash, topk, warc
 from shopguard.llm.common import read_table
 
 # Target weights of the mix: the one large source at four times the share of any other.
@@ -83,10 +83,17 @@ def op11_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every anchor and positive; every seventh row first takes the next label."""
+    rows = read_table(spark, sf_dir, "embeddings")
+    turned = F.when(F.pmod("vec_id", F.lit(7)) == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(rows.withColumn("label", turned))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_mix_sources, op2_simhash_near_dedup, op3_warc_revisits, op4_bpe_round_trip,
                             op5_exact_top_k, op6_secret_scan, op7_exact_dedup, op8_personal_data, op9_repeat_removal,
-                            op10_quality_classifier, op11_decontaminate)}
+                            op10_quality_classifier, op11_decontaminate, op12_hard_negatives)}
 
 # Words of normalised benchmark and document texts.
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', " \
@@ -196,4 +203,24 @@ named AS (SELECT r, count(item_id) AS n_items, string_agg(item_id, ',' ORDER BY
 SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM docs LEFT JOIN words USING (r) LEFT JOIN named USING (r)""",
+    "op12_hard_negatives": """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e
+           FROM embeddings
+           WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND label IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+cells AS (SELECT vec_id, unnest(e) AS x, unnest(range(1, len(e) + 1)) AS i FROM v),
+scores AS (SELECT a.vec_id AS anchor_id, c.vec_id, sum(a.x * c.x)::BIGINT AS score
+           FROM cells a JOIN cells c ON a.i = c.i AND a.vec_id <> c.vec_id
+           WHERE a.vec_id % 100 = 0 GROUP BY ALL),
+labelled AS (SELECT s.*, a.label = c.label AS same FROM scores s JOIN v a ON a.vec_id = s.anchor_id
+             JOIN v c ON c.vec_id = s.vec_id),
+positives AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM labelled WHERE same
+              QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, positive_id, (row_number() OVER pair)::INTEGER AS rank, vec_id AS negative_id, positive_score,
+       score AS negative_score
+FROM positives p JOIN labelled n ON n.anchor_id = p.anchor_id AND NOT n.same
+     AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+WINDOW pair AS (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id)
+QUALIFY row_number() OVER pair <= 10""",
 }
