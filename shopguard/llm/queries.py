@@ -12,7 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shopguard.llm import bpe, decontaminate, exact_dedup, mixing, negatives, pii, quality, repeats, secrets, simhash, topk, warc
+from shopguard.llm import (
+    alignment, bpe, decontaminate, exact_dedup, mixing, negatives, pii, quality, repeats, secrets, simhash, topk, warc)
 from shopguard.llm.common import read_table
 
 # Target weights of the mix: the one large source at four times the share of any other.
@@ -20,10 +21,10 @@ MIX_WEIGHTS = {"src0": 4.0}
 MIX_SEED = 42
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,10 +91,16 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.mine(rows.withColumn("label", turned))
 
 
+def op13_align_tokenizers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links between the tokens of two tokenizers in every document."""
+    return alignment.digest(alignment.align(read_table(spark, sf_dir, "documents"), tokenizer_path(),
+                                            tokenizer_path("piece_bpe_32k.model")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_mix_sources, op2_simhash_near_dedup, op3_warc_revisits, op4_bpe_round_trip,
                             op5_exact_top_k, op6_secret_scan, op7_exact_dedup, op8_personal_data, op9_repeat_removal,
-                            op10_quality_classifier, op11_decontaminate, op12_hard_negatives)}
+                            op10_quality_classifier, op11_decontaminate, op12_hard_negatives, op13_align_tokenizers)}
 
 # Words of normalised benchmark and document texts.
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', " \
