@@ -1,16 +1,18 @@
 """Cross-tokenizer alignment by divide and conquer at shared cuts.
 
 Two tokenizers cut one text in different places. A cut is a byte offset where a
-token of each ends. In an interval of A's tokens a cut near the middle is
-located by bisecting the B ends for the ends around it, outward from the
-middle; the halves on both sides are searched in turn, and what was seen to hold no cut is
-left out of them. Intervals without a cut are the leaf groups. All
-intervals of one depth, of all texts of a batch, are halved together.
+token of each ends. A blank between two other symbols starts a token of either
+vocabulary, so the offset before it is a cut: texts are divided there into units
+(mostly words), and a worker aligns each distinct unit once. In an interval
+of A's tokens a cut near the middle is located by bisecting the B ends for the ends around it,
+outward from the middle; the halves on both sides are searched in turn, and
+what was seen to hold no cut is left out of them. Intervals without a cut are
+the leaf groups. All intervals of one depth, of all units of a batch, are halved together.
 
 Inside a group every overlapping pair of tokens is a link. Links are counted by
 id pair over the whole corpus: texts are dealt to chunks of bounded size, a
-chunk holds a dictionary of its distinct pairs, and only dictionaries are
-shuffled: to the corpus-wide counts, and back to their chunks.
+chunk holds a dictionary of its distinct units and linked pairs, and only pairs
+are shuffled: to the corpus-wide counts, and back to their chunks.
 """
 
 from __future__ import annotations
@@ -30,12 +32,13 @@ from shopguard.llm.bpe import byte_letters
 from shopguard.llm.common import written
 
 BATCH_CHARS = 1_000_000      # text encoded and aligned at a time
-PIECE_CHARS = 200_000        # longer texts are encoded in pieces of about this size
-CHUNK_LINKS = 4_000_000      # links of one chunk, and of the one text that exceeds it
+CHUNK_UNITS = 4_000_000      # units of the texts of one chunk, and of the one text that exceeds it
+CACHED_TOKENS = 2_000_000    # tokens of units a worker keeps aligned before it starts afresh
 
-# A single blank between two words: neither vocabulary has a token across it (checked for B).
-_BETWEEN = re.compile(r"(?<=\w) (?=\w)")
-_BLANK = "▁"            # fixed value: stands for a blank in the pieces of B
+# A blank between two symbols that are no white space. A's words start there; for B it is checked that no
+# piece has its blank behind anything else.
+_BETWEEN = re.compile(r"(?<=\S) (?=\S)")
+_BLANK = "\u2581"            # fixed value: stands for a blank in the pieces of B
 
 
 class Tokenizers:
@@ -65,34 +68,16 @@ class Tokenizers:
         self.size_b = np.array([len(x) for x in self.labels_b], np.int64)
         self.divisible = not any(re.search(f"[^{_BLANK}]{_BLANK}", p) for p in pieces)
 
-    def _pieces(self, text: str) -> Iterator[str]:
-        at = 0
-        while self.divisible and len(text) - at > PIECE_CHARS:
-            m = _BETWEEN.search(text, at + PIECE_CHARS)
-            if m is None:
-                break
-            yield text[at:m.start()]                 # both tokenizers put the blank before the next piece
-            at = m.end()
-        yield text[at:]
-
-    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Token ids of each text by A (of a blank and the text) and B; none where the bytes of either differ."""
-        parts = [list(self._pieces(t)) if t else [] for t in texts]
-        flat = [p for ps in parts for p in ps]
-        a = [e.ids for e in self.a.encode_batch_fast([" " + p for p in flat], add_special_tokens=False)] if flat else []
-        b = self.b.encode(flat, num_threads=1) if flat else []
-        out, at = [], 0
-        none = np.empty(0, np.int64)
-        for t, ps in zip(texts, parts):
-            ids_a = a[at] if len(ps) == 1 else [i for k in range(at, at + len(ps)) for i in a[k]]
-            ids_b = b[at] if len(ps) == 1 else [i for k in range(at, at + len(ps)) for i in b[k]]
-            at += len(ps)
-            raw = b" " + t.encode()
-            if (ps and b"".join(map(self.labels_a.__getitem__, ids_a)) == raw
-                    and b"".join(map(self.labels_b.__getitem__, ids_b)) == raw):
-                out.append((np.array(ids_a, np.int64), np.array(ids_b, np.int64)))
-            else:
-                out.append((none, none))
+    def encode(self, units: list[str]) -> list[tuple[np.ndarray, np.ndarray] | None]:
+        """Token ids of each unit by A (of a blank and the unit) and B; None where the bytes of either differ."""
+        a = [e.ids for e in self.a.encode_batch_fast([" " + u for u in units], add_special_tokens=False)] if units else []
+        b = self.b.encode(units, num_threads=1) if units else []
+        out: list[tuple[np.ndarray, np.ndarray] | None] = []
+        for u, ids_a, ids_b in zip(units, a, b):
+            raw = b" " + u.encode()
+            same = (b"".join(map(self.labels_a.__getitem__, ids_a)) == raw
+                    and b"".join(map(self.labels_b.__getitem__, ids_b)) == raw)
+            out.append((np.array(ids_a, np.int64), np.array(ids_b, np.int64)) if same else None)
         return out
 
 
@@ -180,11 +165,84 @@ class Aligned:
         return self.a << 32 | self.b[to_b], by_b
 
 
-_ALIGNED = pa.schema([("chunk", pa.int64()), ("row", pa.int32()), ("doc_id", pa.int64()), ("ids_a", pa.binary()),
-                      ("ids_b", pa.binary()), ("sizes_a", pa.binary()), ("sizes_b", pa.binary()), ("links", pa.binary()),
-                      ("pairs", pa.binary()), ("counts", pa.binary())])
-_ALIGNED_DDL = ("chunk long, row int, doc_id long, ids_a binary, ids_b binary, sizes_a binary, sizes_b binary, "
-                "links binary, pairs binary, counts binary")
+class Units:
+    """The distinct units a worker has aligned, by number."""
+
+    def __init__(self, tok: Tokenizers):
+        self.tok = tok
+        self.number: dict = {}           # unit (in a tuple if it may stand only where ``_BETWEEN`` cuts) -> number or BAD
+        self.parts: list[tuple] = []     # a, b, size_a, size_b, links, and numbers of each per unit, of one batch each
+        self.n = self.tokens = 0
+
+    BAD, ODD = -1, -2                    # bytes differ; white space at an edge, so blanks alone don't cut there
+
+    def _add(self, units: list) -> None:
+        got = self.tok.encode([u if isinstance(u, str) else u[0] for u in units])
+        good = [(u, g) for u, g in zip(units, got) if g is not None]
+        for u, g in zip(units, got):
+            if g is None:
+                self.number[u] = self.BAD
+        if not good:
+            return
+        al = Aligned([g for _, g in good], self.tok)
+        by_a, by_b = al.links()
+        # A unit's links: those that end with its A tokens, then those that end with its other B tokens.
+        rest = by_b >= 0
+        owner = np.concatenate([np.repeat(np.arange(len(good)), np.diff(al.start_a)),
+                                np.repeat(np.arange(len(good)), np.diff(al.start_b))[rest]])
+        links = np.concatenate([by_a, by_b[rest]])[np.argsort(owner, kind="stable")]
+        self.parts.append((al.a, al.b, al.size_a, al.size_b, links, np.diff(al.start_a), np.diff(al.start_b),
+                           np.diff(al.start_g)))
+        for u, _ in good:
+            self.number[u] = self.n
+            self.n += 1
+        self.tokens += len(al.a) + len(al.b)
+
+    def numbers(self, texts: list[str]) -> list[np.ndarray]:
+        """The units of each text in order; none for a text without tokens."""
+        cut = [t.split(" ") if self.tok.divisible else [(t,)] for t in texts]
+        while True:
+            known = self.number.get
+            found = [list(map(known, us)) for us in cut]
+            new = list(dict.fromkeys(u for us, ns in zip(cut, found) if None in ns for u, n in zip(us, ns) if n is None))
+            odd = [u for u in new if isinstance(u, str) and (not u or u[0].isspace() or u[-1].isspace())]
+            self.number.update(dict.fromkeys(odd, self.ODD))
+            self._add([u for u in new if u not in self.number])
+            again = False
+            for i, (t, ns) in enumerate(zip(texts, found)):
+                if None in ns:
+                    again = True
+                elif self.ODD in ns:                 # cut the text with a look at both sides of each blank
+                    cut[i], again = [(u,) for u in _BETWEEN.split(t)], True
+                elif self.BAD in ns and len(ns) > 1:  # judged as a whole
+                    cut[i], again = [(t,)], True
+            if not again:
+                return [np.array(ns if t and self.BAD not in ns else [], np.int64) for t, ns in zip(texts, found)]
+
+    def dictionary(self, used: np.ndarray, times: np.ndarray) -> tuple:
+        """What the chunk's row holds of the units ``used``, which occur ``times`` times."""
+        a, b, size_a, size_b, links, n_a, n_b, n_g = (
+            np.concatenate([np.empty(0, np.int64), *[p[k] for p in self.parts]]) for k in range(8))
+        n_l = n_a + n_b - n_g
+
+        def of(flat: np.ndarray, n: np.ndarray) -> np.ndarray:
+            end = np.cumsum(n)[used] if len(used) else np.empty(0, np.int64)
+            return flat[_ranges(end - n[used], end)[1]]
+
+        mine = of(links, n_l)
+        pairs, place = np.unique(mine, return_inverse=True)
+        counts = np.bincount(place, np.repeat(times, n_l[used]).astype(float), len(pairs)).astype(np.int64)
+        return (*(_pack(x) for x in (of(a, n_a), of(b, n_b), of(size_a, n_g), of(size_b, n_g), place, n_a[used], n_b[used],
+                                     n_g[used])), pairs.astype("<i8").tobytes(), counts.astype("<i8").tobytes())
+
+    def renewed(self) -> Units:
+        return Units(self.tok) if self.tokens > CACHED_TOKENS or len(self.number) > CACHED_TOKENS else self
+
+
+_DICTIONARY = ["ids_a", "ids_b", "sizes_a", "sizes_b", "links", "n_a", "n_b", "n_g", "pairs", "counts"]
+_ALIGNED = pa.schema([("chunk", pa.int64()), ("row", pa.int32()), ("doc_id", pa.int64()), ("units", pa.binary()),
+                      *((c, pa.binary()) for c in _DICTIONARY)])
+_ALIGNED_DDL = "chunk long, row int, doc_id long, units binary, " + ", ".join(f"{c} binary" for c in _DICTIONARY)
 
 
 def _pack(x: np.ndarray) -> bytes:
@@ -195,13 +253,13 @@ def _unpack(x: bytes) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(x), "<u4").astype(np.int64)
 
 
-def _chunk_rows(chunk: int, docs: list[tuple], links: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """The rows of a chunk: its documents with their links as places in its dictionary, and the dictionary (row -1)."""
-    pairs, place, counts = np.unique(np.concatenate([np.empty(0, np.int64), *links]), return_inverse=True,
-                                     return_counts=True)
-    edges = np.cumsum([0, *[len(x) for x in links]])
-    rows = [(chunk, i, *d, _pack(place[edges[i]:edges[i + 1]]), None, None) for i, d in enumerate(docs)]
-    rows.append((chunk, -1, None, None, None, None, None, None, pairs.astype("<i8").tobytes(), counts.astype("<i8").tobytes()))
+def _chunk_rows(chunk: int, ids: list[int | None], docs: list[np.ndarray], units: Units) -> Iterator[pa.RecordBatch]:
+    """The rows of a chunk: its documents with their units as places in its dictionary, and the dictionary (row -1)."""
+    used, place, times = np.unique(np.concatenate([np.empty(0, np.int64), *docs]), return_inverse=True, return_counts=True)
+    edges = np.cumsum([0, *[len(x) for x in docs]])
+    none = (None,) * len(_DICTIONARY)
+    rows = [(chunk, i, d, _pack(place[edges[i]:edges[i + 1]]), *none) for i, d in enumerate(ids)]
+    rows.append((chunk, -1, None, None, *units.dictionary(used, times)))
     for i in range(0, len(rows), 2000):
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[i:i + 2000]), _ALIGNED)],
                                          schema=_ALIGNED)
@@ -211,10 +269,10 @@ def align(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", tex
     """Align every whole text's tokens by A (of a blank and the text) with those by B.
 
     Returns a written table that ``groups`` and ``digest`` read: per row of ``docs``
-    the ids of both sides and the sizes of the groups on both sides, packed, and
-    per chunk a dictionary of its linked id pairs. Texts that are NULL or empty, or whose tokens' bytes
-    differ from a blank and the text, have no tokens. Repeated rows come back as
-    often as they went in; other columns play no part; an empty table gives an empty result.
+    its units, and per chunk a dictionary of the units' ids, groups and links, packed. Texts that are NULL or
+    empty, or whose tokens' bytes differ from a blank and the text, have no
+    tokens. Repeated rows come back as often as they went in; other columns play
+    no part; an empty table gives an empty result.
     """
     with open(path_a, "rb") as fa, open(path_b, "rb") as fb:       # bounded by the vocabularies
         spec = docs.sparkSession.sparkContext.broadcast((fa.read(), fb.read()))
@@ -229,23 +287,16 @@ def align(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", tex
         if not made:
             made.append(Tokenizers(*spec.value))
         part, n_chunks = TaskContext.get().partitionId(), 0
-        rows: list[tuple] = []
-        links: list[np.ndarray] = []
-        held = 0
+        units, ids, rows, held = Units(made[0]), [], [], 0
         for texts in _batches(batches):
-            al = Aligned(made[0].encode([t for _, t in texts]), made[0])
-            by_a, by_b = al.links()
-            for i, (d, _) in enumerate(texts):
-                a, b, g = (slice(s[i], s[i + 1]) for s in (al.start_a, al.start_b, al.start_g))
-                rest = by_b[b]
-                links.append(np.concatenate([by_a[a], rest[rest >= 0]]))
-                rows.append((d, _pack(al.a[a]), _pack(al.b[b]), _pack(al.size_a[g]), _pack(al.size_b[g])))
-                held += len(links[-1])
-                if held >= CHUNK_LINKS:
-                    yield from _chunk_rows(part << 32 | n_chunks, rows, links)
-                    rows, links, held, n_chunks = [], [], 0, n_chunks + 1
+            ids += [d for d, _ in texts]
+            rows += units.numbers([t for _, t in texts])
+            held += sum(len(x) for x in rows[-len(texts):])
+            if held >= CHUNK_UNITS or units.tokens > 2 * CACHED_TOKENS:
+                yield from _chunk_rows(part << 32 | n_chunks, ids, rows, units)
+                units, ids, rows, held, n_chunks = units.renewed(), [], [], 0, n_chunks + 1
         if rows:
-            yield from _chunk_rows(part << 32 | n_chunks, rows, links)
+            yield from _chunk_rows(part << 32 | n_chunks, ids, rows, units)
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return written(texts.mapInArrow(run, _ALIGNED_DDL), "alignment")
@@ -268,20 +319,25 @@ def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int | Non
         yield out
 
 
+def _per_unit(flat: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
+    return np.split(flat, np.cumsum(n)[:-1]) if len(n) else []
+
+
 def groups(aligned: DataFrame) -> DataFrame:
     """``(doc_id, groups)``: each group's ids by A and by B, in the order of the text."""
-    kind = pa.list_(pa.struct([("a", pa.list_(pa.int32())), ("b", pa.list_(pa.int32()))]))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(b.num_rows):              # one document's groups at a time
-                ids_a, ids_b, sizes_a, sizes_b = (_unpack(b.column(k)[i].as_py()) for k in range(1, 5))
-                a = np.split(ids_a, np.cumsum(sizes_a)[:-1]) if len(sizes_a) else []
-                c = np.split(ids_b, np.cumsum(sizes_b)[:-1]) if len(sizes_b) else []
-                rows = [{"a": x.tolist(), "b": y.tolist()} for x, y in zip(a, c)]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1), pa.array([rows], kind)], names=["doc_id", "groups"])
-
-    return aligned.where("row >= 0").select("doc_id", "ids_a", "ids_b", "sizes_a", "sizes_b").mapInArrow(
+    def run(docs: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        r = {c: _unpack(held[c].iloc[0]) for c in _DICTIONARY[:8]}
+        sides = []
+        for ids, n, sizes in (("ids_a", "n_a", "sizes_a"), ("ids_b", "n_b", "sizes_b")):
+            sides.append([[x.tolist() for x in _per_unit(*u)] for u in
+                          zip(_per_unit(r[ids], r[n]), _per_unit(r[sizes], r["n_g"]))])
+        made = [[{"a": x, "b": y} for x, y in zip(*u)] for u in zip(*sides)]
+        return pd.DataFrame({"doc_id": docs["doc_id"], "groups": [
+            [g for u in _unpack(x).tolist() for g in made[u]] for x in docs["units"]]})
+
+    docs = aligned.where("row >= 0").select("chunk", "doc_id", "units")
+    held = aligned.where("row < 0").select(F.col("chunk").alias("of"), *_DICTIONARY[:8])
+    return docs.groupBy("chunk").cogroup(held.groupBy("of")).applyInPandas(
         run, "doc_id long, groups array<struct<a:array<int>,b:array<int>>>")
 
 
@@ -312,18 +368,29 @@ def _digits(n: int, end: bytes) -> list[bytes]:
     return [str(i).encode() + end for i in range(n)]
 
 
-def _spelled(ids_a: np.ndarray, ids_b: np.ndarray, sizes_a: np.ndarray, sizes_b: np.ndarray,
-             table: list[bytes], width: int) -> bytes:
-    """``a1,a2|b1;a3|b2,b3``: ``table`` spells every id (below ``width``) followed by each of ``,`` ``|`` ``;``."""
-    last_a = np.zeros(len(ids_a), bool)
-    last_a[np.cumsum(sizes_a) - 1] = True
-    last_b = np.zeros(len(ids_b), bool)
-    last_b[np.cumsum(sizes_b) - 1] = True
-    group_a, group_b = np.repeat(np.arange(len(sizes_a)), sizes_a), np.repeat(np.arange(len(sizes_b)), sizes_b)
-    out = np.empty(len(ids_a) + len(ids_b), np.int64)
-    out[np.arange(len(ids_a)) + (np.cumsum(sizes_b) - sizes_b)[group_a]] = ids_a + width * last_a
-    out[np.arange(len(ids_b)) + np.cumsum(sizes_a)[group_b]] = ids_b + 2 * width * last_b
-    return b"".join(map(table.__getitem__, out.tolist()))[:-1]
+class Speller:
+    """Spells groups as ``a1,a2|b1;a3|b2,b3``: every id with each symbol that may follow it is kept."""
+
+    def __init__(self):
+        self.width, self.table = 0, []
+
+    def units(self, ids_a, ids_b, sizes_a, sizes_b, n_g) -> list[bytes]:
+        """The groups of each of several units."""
+        if not len(ids_a):
+            return []
+        most = int(max(ids_a.max(), ids_b.max())) + 1
+        if self.width < most:
+            self.width = max(most, 1 << 16)
+            self.table = [x for end in (b",", b"|", b";", b"\n") for x in _digits(self.width, end)]
+        end_a, end_b = np.zeros(len(ids_a), np.int64), np.zeros(len(ids_b), np.int64)
+        end_a[np.cumsum(sizes_a) - 1] = 1
+        end_b[np.cumsum(sizes_b) - 1] = 2
+        end_b[np.cumsum(sizes_b)[np.cumsum(n_g) - 1] - 1] = 3
+        group_a, group_b = np.repeat(np.arange(len(sizes_a)), sizes_a), np.repeat(np.arange(len(sizes_b)), sizes_b)
+        out = np.empty(len(ids_a) + len(ids_b), np.int64)
+        out[np.arange(len(ids_a)) + (np.cumsum(sizes_b) - sizes_b)[group_a]] = ids_a + self.width * end_a
+        out[np.arange(len(ids_b)) + np.cumsum(sizes_a)[group_b]] = ids_b + self.width * end_b
+        return b"".join(map(self.table.__getitem__, out.tolist())).split(b"\n")[:-1]
 
 
 def digest(aligned: DataFrame) -> DataFrame:
@@ -333,40 +400,34 @@ def digest(aligned: DataFrame) -> DataFrame:
     count (ties included), ``count_sum`` sums the counts over the links.
     """
     pairs, marked = pair_counts(aligned)
-    tables: list[tuple[list[bytes], int]] = []
-
-    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            cols: list[list] = [[] for _ in range(5)]
-            for i in range(b.num_rows):
-                a, c, sa, sc = (_unpack(b.column(k)[i].as_py()) for k in range(4, 8))
-                most = int(max(a.max(initial=-1), c.max(initial=-1))) + 1
-                if not tables or tables[0][1] < most:
-                    width = max(most, 1 << 16)
-                    tables[:] = [(_digits(width, b",") + _digits(width, b"|") + _digits(width, b";"), width)]
-                text = _spelled(a, c, sa, sc, *tables[0]) if len(a) else b""
-                for col, v in zip(cols, (len(a), len(c), len(sa), len(a) + len(c) - len(sa),
-                                         hashlib.sha256(text).hexdigest() if len(a) else "")):
-                    col.append(v)
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(4)), *(
-                pa.array(c, pa.string() if k == 4 else pa.int64()) for k, c in enumerate(cols))], names=names)
-
-    names = ["chunk", "row", "doc_id", "links", "n_a", "n_b", "n_groups", "n_links", "groups_sha256"]
-    docs = aligned.where("row >= 0").select("chunk", "row", "doc_id", "links", "ids_a", "ids_b", "sizes_a", "sizes_b").mapInArrow(
-        spell, "chunk long, row int, doc_id long, links binary, n_a long, n_b long, n_groups long, n_links long, "
-               "groups_sha256 string")
-    known = pairs.select(F.col("chunk").alias("of"), "pair").join(marked, "pair")
-
-    def score(docs: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        known = known.sort_values("pair")            # the order of the chunk's dictionary
-        total, best = known["total"].to_numpy(), known["best"].to_numpy().astype(np.int64)
-        n_best, count_sum = [], []
-        for links in docs["links"]:
-            at = _unpack(links)
-            n_best.append(int(best[at].sum()) if len(at) else 0)
-            count_sum.append(int(total[at].sum()) if len(at) else 0)
-        out = docs[["doc_id", "n_a", "n_b", "n_groups", "n_links"]].assign(n_best=n_best, count_sum=count_sum)
-        return out.assign(groups_sha256=docs["groups_sha256"])
-
+    spellers: list[Speller] = []
+
+    def score(docs: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        if not spellers:
+            spellers.append(Speller())
+        known = held[held["pair"].notna()].sort_values("pair")       # the order of the chunk's dictionary
+        total, best = known["total"].to_numpy().astype(np.int64), known["best"].to_numpy().astype(np.int64)
+        row = held[held["pair"].isna()].iloc[0]
+        r = {c: _unpack(row[c]) for c in _DICTIONARY[:8]}
+        n_l = r["n_a"] + r["n_b"] - r["n_g"]
+        of = np.repeat(np.arange(len(n_l)), n_l)
+        per_unit = {"n_a": r["n_a"], "n_b": r["n_b"], "n_groups": r["n_g"], "n_links": n_l,
+                    "n_best": np.zeros(len(n_l), np.int64), "count_sum": np.zeros(len(n_l), np.int64)}
+        np.add.at(per_unit["n_best"], of, best[r["links"]])
+        np.add.at(per_unit["count_sum"], of, total[r["links"]])
+        spelled = spellers[0].units(*(r[c] for c in ("ids_a", "ids_b", "sizes_a", "sizes_b", "n_g")))
+        cols: dict[str, list] = {c: [] for c in [*per_unit, "groups_sha256"]}
+        for x in docs["units"]:
+            at = _unpack(x)
+            for c, v in per_unit.items():
+                cols[c].append(int(v[at].sum()) if len(at) else 0)
+            text = b";".join(map(spelled.__getitem__, at.tolist()))
+            cols["groups_sha256"].append(hashlib.sha256(text).hexdigest() if len(at) else "")
+        return pd.DataFrame({"doc_id": docs["doc_id"], **cols})
+
+    docs = aligned.where("row >= 0").select("chunk", "doc_id", "units")
+    known = (pairs.select(F.col("chunk").alias("of"), "pair").join(marked, "pair")
+             .unionByName(aligned.where("row < 0").select(F.col("chunk").alias("of"), *_DICTIONARY[:8]),
+                          allowMissingColumns=True))
     return docs.groupBy("chunk").cogroup(known.groupBy("of")).applyInPandas(
         score, "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string")

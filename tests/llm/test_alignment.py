@@ -114,17 +114,17 @@ EDGE = [(1, None), (2, ""), (3, " "), (4, "  two  blanks "), (5, "a▁b"), (6, "
 def test_edge_rows_and_small_chunks(spark, libraries, monkeypatch):
     want = brute(EDGE, libraries)
     assert result(spark, EDGE) == want
-    monkeypatch.setattr(alignment, "CHUNK_LINKS", 5)
+    monkeypatch.setattr(alignment, "CHUNK_UNITS", 5)
+    monkeypatch.setattr(alignment, "CACHED_TOKENS", 3)
     monkeypatch.setattr(alignment, "BATCH_CHARS", 10)
     assert result(spark, EDGE) == want
 
 
-def test_long_texts_are_encoded_in_pieces(spark, libraries, monkeypatch):
+def test_long_text_of_odd_blanks(spark, libraries):
     rng = random.Random(4)
     words = ["the", "Zug", "niño", "x1", "你好", "don't", "été", "--", "a\nb", "…", "UPPER"]
     text = "".join(rng.choice(words) + rng.choice([" ", " ", " ", "  ", "\n", " \t", ""]) for _ in range(6000))
-    monkeypatch.setattr(alignment, "PIECE_CHARS", 50)
-    rows = [(1, text), (2, text[:777])]
+    rows = [(1, text), (2, text[:777]), (3, text + "\u2581")]
     assert result(spark, rows) == brute(rows, libraries)
 
 
