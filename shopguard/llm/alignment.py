@@ -20,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -32,8 +33,8 @@ from shopguard.llm.bpe import byte_letters
 from shopguard.llm.common import written
 
 BATCH_CHARS = 1_000_000      # text encoded and aligned at a time
-CHUNK_UNITS = 4_000_000      # units of the texts of one chunk, and of the one text that exceeds it
-CACHED_TOKENS = 2_000_000    # tokens of units a worker keeps aligned before it starts afresh
+CHUNK_UNITS = 500_000        # units of the texts of one chunk, and of the one text that exceeds it
+CACHED_TOKENS = 1_500_000    # tokens of units a worker keeps aligned before it starts afresh
 
 # A blank between two symbols that are no white space. A's words start there; for B it is checked that no
 # piece has its blank behind anything else.
@@ -68,17 +69,30 @@ class Tokenizers:
         self.size_b = np.array([len(x) for x in self.labels_b], np.int64)
         self.divisible = not any(re.search(f"[^{_BLANK}]{_BLANK}", p) for p in pieces)
 
-    def encode(self, units: list[str]) -> list[tuple[np.ndarray, np.ndarray] | None]:
-        """Token ids of each unit by A (of a blank and the unit) and B; None where the bytes of either differ."""
-        a = [e.ids for e in self.a.encode_batch_fast([" " + u for u in units], add_special_tokens=False)] if units else []
-        b = self.b.encode(units, num_threads=1) if units else []
-        out: list[tuple[np.ndarray, np.ndarray] | None] = []
-        for u, ids_a, ids_b in zip(units, a, b):
-            raw = b" " + u.encode()
-            same = (b"".join(map(self.labels_a.__getitem__, ids_a)) == raw
-                    and b"".join(map(self.labels_b.__getitem__, ids_b)) == raw)
-            out.append((np.array(ids_a, np.int64), np.array(ids_b, np.int64)) if same else None)
-        return out
+    def encode(self, units: list[str]) -> tuple[np.ndarray, ...]:
+        """(A's ids of a blank and each unit, B's ids of each unit, how many of each per unit, whether
+        the bytes of both are those of the unit)."""
+        a = [e.ids for e in self.a.encode_batch_fast([" " + u for u in units], add_special_tokens=False)]
+        b = self.b.encode(units, num_threads=1)
+        raws = [b" " + u.encode() for u in units]
+        flat_a, flat_b = list(chain.from_iterable(a)), list(chain.from_iterable(b))
+        n_a, n_b = (np.fromiter(map(len, x), np.int64, len(units)) for x in (a, b))
+        ids_a, ids_b = np.array(flat_a, np.int64), np.array(flat_b, np.int64)
+        size = np.fromiter(map(len, raws), np.int64, len(units))
+        good = (_sums(self.size_a[ids_a], n_a) == size) & (_sums(self.size_b[ids_b], n_b) == size)
+        whole = b"".join(raws)
+        if not (good.all() and b"".join(map(self.labels_a.__getitem__, flat_a)) == whole
+                and b"".join(map(self.labels_b.__getitem__, flat_b)) == whole):
+            good &= [b"".join(map(self.labels_a.__getitem__, x)) == r and b"".join(map(self.labels_b.__getitem__, y)) == r
+                     for x, y, r in zip(a, b, raws)]
+        return ids_a, ids_b, n_a, n_b, good
+
+
+def _sums(values: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Sums of consecutive runs of ``n`` values."""
+    total = np.concatenate([[0], np.cumsum(values)])
+    end = np.cumsum(n)
+    return total[end] - total[end - n]
 
 
 def _ranges(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -129,11 +143,9 @@ def shared_cuts(ends_a: np.ndarray, ends_b: np.ndarray, lo: np.ndarray, hi: np.n
 class Aligned:
     """Groups and links of a batch of texts. Token positions run through the whole batch."""
 
-    def __init__(self, pairs: list[tuple[np.ndarray, np.ndarray]], tok: Tokenizers):
-        self.start_a = np.cumsum([0, *[len(a) for a, _ in pairs]])
-        self.start_b = np.cumsum([0, *[len(b) for _, b in pairs]])
-        self.a = np.concatenate([np.empty(0, np.int64), *[a for a, _ in pairs]])
-        self.b = np.concatenate([np.empty(0, np.int64), *[b for _, b in pairs]])
+    def __init__(self, ids_a: np.ndarray, ids_b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, tok: Tokenizers):
+        self.start_a, self.start_b = np.concatenate([[0], np.cumsum(n_a)]), np.concatenate([[0], np.cumsum(n_b)])
+        self.a, self.b = ids_a, ids_b
         ends_a, ends_b = np.cumsum(tok.size_a[self.a]), np.cumsum(tok.size_b[self.b])
         # Both tokenizations of a text have the same bytes, so its last ends agree, and ends grow through the batch.
         last = self.start_a[1:][np.diff(self.start_a) > 0] - 1
@@ -177,25 +189,24 @@ class Units:
     BAD, ODD = -1, -2                    # bytes differ; white space at an edge, so blanks alone don't cut there
 
     def _add(self, units: list) -> None:
-        got = self.tok.encode([u if isinstance(u, str) else u[0] for u in units])
-        good = [(u, g) for u, g in zip(units, got) if g is not None]
-        for u, g in zip(units, got):
-            if g is None:
-                self.number[u] = self.BAD
+        if not units:
+            return
+        a, b, n_a, n_b, fit = self.tok.encode([u if isinstance(u, str) else u[0] for u in units])
+        self.number.update(dict.fromkeys([units[i] for i in np.flatnonzero(~fit).tolist()], self.BAD))
+        good = [units[i] for i in np.flatnonzero(fit).tolist()]
         if not good:
             return
-        al = Aligned([g for _, g in good], self.tok)
+        al = Aligned(a[np.repeat(fit, n_a)], b[np.repeat(fit, n_b)], n_a[fit], n_b[fit], self.tok)
         by_a, by_b = al.links()
         # A unit's links: those that end with its A tokens, then those that end with its other B tokens.
         rest = by_b >= 0
         owner = np.concatenate([np.repeat(np.arange(len(good)), np.diff(al.start_a)),
                                 np.repeat(np.arange(len(good)), np.diff(al.start_b))[rest]])
         links = np.concatenate([by_a, by_b[rest]])[np.argsort(owner, kind="stable")]
-        self.parts.append((al.a, al.b, al.size_a, al.size_b, links, np.diff(al.start_a), np.diff(al.start_b),
-                           np.diff(al.start_g)))
-        for u, _ in good:
-            self.number[u] = self.n
-            self.n += 1
+        self.parts.append((*(x.astype(np.int32) for x in (al.a, al.b, al.size_a, al.size_b)), links,
+                           *(np.diff(x) for x in (al.start_a, al.start_b, al.start_g))))
+        self.number.update(zip(good, range(self.n, self.n + len(good))))
+        self.n += len(good)
         self.tokens += len(al.a) + len(al.b)
 
     def numbers(self, texts: list[str]) -> list[np.ndarray]:
