@@ -284,6 +284,10 @@ def decode(tokens: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
     return _apply(tokens, path, "token_ids", [id_col], row, "text string")
 
 
+def _named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+
+
 def digest_round_trip(docs: DataFrame, path: str, id_col: str = "doc_id",
                       text_col: str = "text") -> DataFrame:
     """``(doc_id, n_tokens, ids_sha256, decoded_sha256)`` per row of ``docs``.
@@ -297,8 +301,7 @@ def digest_round_trip(docs: DataFrame, path: str, id_col: str = "doc_id",
         return (len(ids) // 4, hashlib.sha256(ids).hexdigest(),
                 hashlib.sha256(tok.decode(ids).encode()).hexdigest())
 
-    return _apply(docs.withColumnRenamed(id_col, "doc_id") if id_col != "doc_id" else docs, path, text_col,
-                  ["doc_id"], row, "n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return _apply(_named(docs, id_col, text_col), path, "text", ["doc_id"], row, "n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def encode_corpus(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -309,5 +312,4 @@ def encode_corpus(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
         return (len(ids) // 4, np.frombuffer(ids, "<u4").astype(np.int32), hashlib.sha256(ids).hexdigest(),
                 hashlib.sha256(tok.decode(ids).encode()).hexdigest())
 
-    return _apply(docs.withColumnRenamed(id_col, "doc_id") if id_col != "doc_id" else docs, path, text_col,
-                  ["doc_id"], row, "n_tokens long, token_ids array<int>, ids_sha256 string, decoded_sha256 string")
+    return _apply(_named(docs, id_col, text_col), path, "text", ["doc_id"], row, "n_tokens long, token_ids array<int>, ids_sha256 string, decoded_sha256 string")

@@ -13,10 +13,10 @@ from __future__ import annotations
 import string
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shopguard.llm.common import join_weighted, same, written
+from shopguard.llm.common import join_weighted, written
 
 SALTS = 16
 
@@ -83,12 +83,13 @@ def assign_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 salts: int = SALTS) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns (see ``assign_groups``)."""
-    kept = (assign_groups(docs, id_col, text_col, salts).where("kept")
-            .select(F.col("doc_id").alias("__kid"), F.col("text_sha256").alias("__sha")))
-    rows = docs.withColumn("__sha0", F.lower(F.hex(sha256_bytes(normalise(F.col(text_col))))))
-    stay = rows.join(kept, F.col(id_col).eqNullSafe(F.col("__kid"))
-                     & (F.col("__sha0") == F.col("__sha")), "left_semi")
-    once = Window.partitionBy(F.col(id_col), F.col("__sha0")).orderBy(F.col("__sha0"))
-    return (stay.withColumn("__once", F.row_number().over(once)).where("__once = 1")
-            .drop("__once", "__sha0"))
+    """The rows of ``docs`` that stay, with all their columns: of equal texts one row with the largest id.
+
+    A row without an id stays only where no equal text has one (see ``assign_groups`` for the other cases).
+    """
+    rows = written(docs.select(F.struct("*").alias("__row"), F.monotonically_increasing_id().alias("__rid")),
+                   "exact-dedup-rows")
+    named = rows.select(F.struct(F.col("__row")[id_col].alias("id"), "__rid").alias("key"),
+                        F.col("__row")[text_col].alias("text"))
+    stay = combine(named, "key", "text", salts).select(F.col("keep_id.__rid").alias("__rid"))
+    return rows.join(stay, "__rid", "left_semi").select(*[F.col("__row")[c].alias(c) for c in docs.columns])

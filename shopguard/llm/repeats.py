@@ -100,9 +100,15 @@ def _content(segment: bytes, off: int) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def _text_hash(raw: bytes, missing_id: bool) -> int:
-    """Tells rows that repeat an id (or have none) apart by their text."""
-    return xxhash.xxh32_intdigest(raw, int(missing_id)) - (1 << 31)
+def _row_key(doc_id: int | None, raw: bytes) -> tuple[int, int]:
+    """Tells rows apart by id and text: 64 bits of the text's hash beside an id, 128 where there is none.
+
+    Rows that share a key have equal texts, so they share their spans as well.
+    """
+    if doc_id is not None:
+        return doc_id, xxhash.xxh3_64_intdigest(raw) - (1 << 63)
+    h = xxhash.xxh3_128_intdigest(raw, 1)
+    return (h >> 64) - (1 << 63), (h & (1 << 64) - 1) - (1 << 63)
 
 
 def _raw(batch: pa.RecordBatch) -> Iterator[tuple[int | None, bytes]]:
@@ -114,7 +120,7 @@ def _frame(columns: list[list], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
-_KEY = [("id", pa.int64()), ("th", pa.int32())]
+_KEY = [("id", pa.int64()), ("th", pa.int64())]
 _SEG = pa.schema([*_KEY, ("start", pa.int32()), ("n", pa.int32()), ("off", pa.int32()),
                   ("g", pa.int64()), ("c", pa.int64())])
 _TEXT = pa.schema([*_KEY, ("n_bytes", pa.int64()), ("z", pa.binary()), ("doc_id", pa.int64())])
@@ -126,7 +132,7 @@ def _segment_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
             cols: list[list] = [[] for _ in _SEG]
             for d, raw in _raw(b):
                 if len(raw) >= length:
-                    key = (d or 0, _text_hash(raw, d is None))
+                    key = _row_key(d, raw)
                     for s in segments(raw, length, gram):
                         for c, v in zip(cols, (*key, *s)):
                             c.append(v)
@@ -135,7 +141,7 @@ def _segment_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
                         cols = [[] for _ in _SEG]
             yield _frame(cols, _SEG)
 
-    return docs.mapInArrow(run, "id long, th int, start int, n int, off int, g long, c long")
+    return docs.mapInArrow(run, "id long, th long, start int, n int, off int, g long, c long")
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -143,10 +149,10 @@ def _texts(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=1).compress
         for b in batches:
-            rows = [(d or 0, _text_hash(raw, d is None), len(raw), pack(raw), d) for d, raw in _raw(b)]
+            rows = [(*_row_key(d, raw), len(raw), pack(raw), d) for d, raw in _raw(b)]
             yield _frame([list(c) for c in zip(*rows)] or [[] for _ in _TEXT], _TEXT)
 
-    return docs.mapInArrow(run, "id long, th int, n_bytes long, z binary, doc_id long")
+    return docs.mapInArrow(run, "id long, th long, n_bytes long, z binary, doc_id long")
 
 
 # --- suffix arrays -----------------------------------------------------------------------------------
@@ -300,8 +306,8 @@ def _collapse(rows: DataFrame, extra: list[str]) -> tuple[DataFrame, DataFrame]:
     return known, distinct
 
 
-def _fetch(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """``wanted`` segments with their bytes ``x``."""
+def _fetch(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
+    """``wanted`` segments with their bytes ``x``; of rows with one key (equal texts) one is read."""
     asked = wanted.groupBy("id", "th").agg(F.collect_list(F.struct("start", "n", "off", "g", "c", "copies", "m")).alias("q"))
     out = pa.schema([*_KEY, ("start", pa.int32()), ("n", pa.int32()), ("off", pa.int32()), ("g", pa.int64()),
                      ("c", pa.int64()), ("copies", pa.int64()), ("m", pa.int64()), ("x", pa.binary())])
@@ -316,9 +322,9 @@ def _fetch(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
                          raw[s["start"]:s["start"] + s["n"] - 1 + length]) for s in q]
                 yield _frame([list(c) for c in zip(*rows)], out)
 
-    texts = _texts(docs).where(F.col("n_bytes") >= length).select("id", "th", "z")
-    return texts.join(asked, ["id", "th"]).mapInArrow(
-        run, "id long, th int, start int, n int, off int, g long, c long, copies long, m long, x binary")
+    once = texts.where(F.col("n_bytes") >= length).select("id", "th", "z").dropDuplicates(["id", "th"])
+    return once.join(asked, ["id", "th"]).mapInArrow(
+        run, "id long, th long, start int, n int, off int, g long, c long, copies long, m long, x binary")
 
 
 def _narrow(rows: DataFrame, width: int, length: int) -> DataFrame:
@@ -345,7 +351,7 @@ def _narrow(rows: DataFrame, width: int, length: int) -> DataFrame:
                 yield _frame([list(c) for c in zip(*rows[i:i + 5000])], out)
 
     return rows.select("id", "th", "start", "n", "off", "g", "copies", "x").mapInArrow(
-        run, "id long, th int, start int, n int, off int, g long, c long, copies long, x binary")
+        run, "id long, th long, start int, n int, off int, g long, c long, copies long, x binary")
 
 
 def _suffix_search(rows: DataFrame, length: int) -> DataFrame:
@@ -358,22 +364,24 @@ def _suffix_search(rows: DataFrame, length: int) -> DataFrame:
         ids, ths, starts, copies = (f[c].to_numpy() for c in ("id", "th", "start", "copies"))
         found = [(ids[k], ths[k], starts[k] + a, starts[k] + b) for k, a, b in covered(f["x"].tolist(), length)
                  if copies[k] == 1]
-        return pd.DataFrame(found, columns=["id", "th", "a", "b"]).astype({"id": "int64", "th": "int32", "a": "int32",
+        return pd.DataFrame(found, columns=["id", "th", "a", "b"]).astype({"id": "int64", "th": "int64", "a": "int32",
                                                                          "b": "int32"})
 
     return rows.withColumn("shard", F.pmod(F.xxhash64("g"), F.lit(shards))).groupBy("shard").applyInPandas(
-        search, "id long, th int, a int, b int")
+        search, "id long, th long, a int, b int")
 
 
-def repeated_stretches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH,
-                       gram: int = GRAM, group_limit: int = GROUP_LIMIT) -> DataFrame:
-    """``(id, th, a, b)``: byte ranges of rows that repeated strings cover; they overlap. ``id, th`` is the row's key."""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+def repeated_stretches(docs: DataFrame, texts: DataFrame, length: int = LENGTH, gram: int = GRAM,
+                       group_limit: int = GROUP_LIMIT) -> DataFrame:
+    """``(id, th, a, b)``: byte ranges of rows that repeated strings cover; they overlap. ``id, th`` is the row's key.
+
+    ``docs`` are ``(doc_id, text)`` and ``texts`` the same rows as ``_texts`` packs them.
+    """
     seen = _occurrences(_segment_rows(docs, length, gram), ["id", "th", "start", "n", "off", "g", "c"])
     whole = seen.where("NOT mixed").select("id", "th", "start", "n")
     known, distinct = _collapse(seen.where("mixed").drop("mixed").withColumn("copies", F.lit(1).cast("long")), [])
     ranges = [whole, known]
-    rows = written(_fetch(docs, distinct, length), "repeats-segments")
+    rows = written(_fetch(texts, distinct, length), "repeats-segments")
     found, width = [], length - gram + 1
     while True:
         found.append(written(_suffix_search(rows.where(F.col("m") <= group_limit), length), "repeats-stretches"))
@@ -410,9 +418,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     text counts as empty, a repeated row is a copy like any other, texts
     shorter than ``length`` stay whole, other columns play no part, and an empty table gives an empty result.
     """
-    spans = (repeated_stretches(docs, id_col, text_col, length, gram, group_limit).groupBy("id", "th")
-             .agg(F.collect_list(F.struct("a", "b")).alias("s")))
-    texts = _texts(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    texts = written(_texts(docs), "repeats-texts")
+    # Sets, since rows that repeat a text under one id bring the same stretches.
+    spans = (repeated_stretches(docs, texts, length, gram, group_limit).groupBy("id", "th")
+             .agg(F.collect_set(F.struct("a", "b")).alias("s")))
+    weighed = spans.join(texts.groupBy("id", "th").agg(F.count(F.lit(1)).alias("w")), ["id", "th"])
+    joined = join_weighted(texts, weighed, ["id", "th"], "w", max(texts.count(), 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
@@ -428,11 +440,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     c.append(v)
             yield _frame(cols, out)
 
-    return texts.join(spans, ["id", "th"], "left").select("doc_id", "n_bytes", "z", "s").mapInArrow(
+    return joined.select("doc_id", "n_bytes", "z", "s").mapInArrow(
         run, "doc_id long, n_bytes long, spans array<struct<start:int,end:int>>, kept binary")
 
 
 def digest(removed: DataFrame) -> DataFrame:
     """Counts and the digest of what ``remove_repeats`` keeps."""
     return removed.select("doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).cast("long").alias("n_removed"),
-                          F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+                          F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+                          (F.col("n_bytes") > F.length("kept")).alias("has_repeats"))

@@ -23,7 +23,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shopguard.llm.common import join_weighted, written
@@ -223,8 +223,9 @@ def links(codes: DataFrame, max_bits: int = MAX_BITS, bucket_limit: int = BUCKET
                                     F.count(F.when(F.col("n") > bucket_limit, 1))).first()
         light = dealt.join(sizes.where(F.col("n") <= bucket_limit).drop("n"), ["fixed", "bits"], "left_semi")
         shards = max(1, -(-int(n_rows) // bucket_limit))
+        # A stated number of partitions, so that small but heavy shards are not put together.
         edges = written(light.withColumn("shard", F.pmod(F.xxhash64("fixed", "bits"), F.lit(shards)))
-                        .groupBy("shard").applyInPandas(search, "a long, b long").distinct(), "simhash-links")
+                        .repartition(shards, "shard").groupBy("shard").applyInPandas(search, "a long, b long").distinct(), "simhash-links")
         found = edges if found is None else found.unionByName(edges)
         if not n_heavy or all(m == (1 << 64) - 1 for m in masks):
             return found
@@ -232,40 +233,52 @@ def links(codes: DataFrame, max_bits: int = MAX_BITS, bucket_limit: int = BUCKET
                                   "left_semi").select("fp", "node", "fixed"), "simhash-heavy")
 
 
+def _fingerprint_components(fps: DataFrame, max_bits: int, bucket_limit: int) -> DataFrame:
+    """``(fp, n, best, component)`` per distinct fingerprint of ``fps`` (``fp, best``): its rows, their smallest
+    ``best``, and the smallest fingerprint it is linked to."""
+    codes = written(fps.groupBy("fp").agg(F.min("best").alias("best"), F.count(F.lit(1)).alias("n")), "simhash-codes")
+    comp = components(links(codes.select("fp", F.col("fp").alias("node")), max_bits, bucket_limit))
+    return written(codes.join(comp.withColumnRenamed("node", "fp"), "fp", "left")
+                   .withColumn("component", F.coalesce("component", "fp")), "simhash-components")
+
+
+def _best_of_components(codes: DataFrame) -> DataFrame:
+    """``codes`` with the smallest ``best`` of their component."""
+    least = codes.groupBy("component").agg(F.min("best").alias("first"), F.count(F.lit(1)).alias("_w"))
+    return join_weighted(codes, least, ["component"], "_w", max(codes.count(), 1))
+
+
 def assign_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                       shingle: int = SHINGLE, max_bits: int = MAX_BITS,
                       bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
     """One row per document: ``doc_id, fingerprint`` (16 hex digits) and ``component_id``.
 
     ``component_id`` is the smallest id reached over links, the document's own
-    included. NULL and blank texts have fingerprint zero, which links like any
-    other. A document without an id takes the component of its fingerprint's
-    other documents and adds no link of its own (NULL where there are none).
-    Repeated rows come back as often as they went in. Other columns of ``docs``
-    play no part; an empty table gives an empty result.
+    included. Links join fingerprints: NULL and blank texts have fingerprint zero, which links like any
+    other; a document without an id links others, and its component is NULL
+    where no document has one. Rows that repeat an id with another text are
+    linked by their texts alone. Repeated rows come back as often as they went
+    in. Other columns of ``docs`` play no part; an empty table gives an empty result.
     """
     fps = written(fingerprints(docs, id_col, text_col, shingle), "simhash-fingerprints")
     total = fps.count()
-    codes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("n")),
-                    "simhash-codes")
-    comp = components(links(codes.where("node IS NOT NULL").select("fp", "node"), max_bits, bucket_limit))
-    groups = codes.join(comp, "node", "left").select(
-        "fp", F.coalesce("component", "node").alias("component_id"), "n", "component")
-    joined = join_weighted(fps, groups.where("n > 1 OR component IS NOT NULL").drop("component"),
-                           ["fp"], "n", max(total, 1))
-    return joined.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
-                         F.coalesce("component_id", "doc_id").alias("component_id"))
+    codes = _best_of_components(_fingerprint_components(fps.withColumn("best", F.col("doc_id")), max_bits, bucket_limit))
+    joined = join_weighted(fps, codes.select("fp", "n", F.col("first").alias("component_id")), ["fp"], "n", max(total, 1))
+    return joined.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                          shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
-    """The rows of ``docs`` that stay when one document (the smallest id) of each component does.
+    """The rows of ``docs`` that stay when one row of each component does: that with the smallest id.
 
-    Rows that repeat an id and text count once. Rows without an id all stay.
+    A row without an id stays only where no row of its component has one. Of
+    rows that tie one stays. An empty table gives an empty result.
     """
-    drop = (assign_components(docs, id_col, text_col, shingle, max_bits)
-            .where("doc_id <> component_id").select(F.col("doc_id").alias("__drop")).distinct())
-    stay = docs.join(drop, F.col(id_col) == F.col("__drop"), "left_anti")
-    once = Window.partitionBy(F.col(id_col), F.xxhash64(F.col(text_col))).orderBy(F.col(id_col))
-    return (stay.withColumn("__once", F.row_number().over(once))
-            .where((F.col("__once") == 1) | F.col(id_col).isNull()).drop("__once"))
+    rows = written(docs.select(F.struct("*").alias("__row"), F.monotonically_increasing_id().alias("__rid")), "simhash-rows")
+    fps = written(fingerprints(rows.select("__rid", F.col("__row")[text_col].alias("text")), "__rid", "text", shingle)
+                  .withColumnRenamed("doc_id", "__rid"), "simhash-fingerprints")
+    ids = rows.select("__rid", F.col("__row")[id_col].alias("id"))
+    best = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("__rid"))
+    codes = _fingerprint_components(fps.join(ids, "__rid").select("fp", best.alias("best")), max_bits, BUCKET_LIMIT)
+    stay = codes.groupBy("component").agg(F.min("best").alias("first")).select(F.col("first.__rid").alias("__rid"))
+    return rows.join(stay, "__rid", "left_semi").select(*[F.col("__row")[c].alias(c) for c in docs.columns])

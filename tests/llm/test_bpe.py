@@ -83,3 +83,10 @@ def test_frames(spark, library):
     back = bpe.decode(bpe.encode(df, tokenizer_path()), tokenizer_path()).collect()
     assert sorted((r.doc_id or 0, r.text) for r in back) == sorted((d or 0, t or "") for d, t in data)
     assert bpe.digest_round_trip(df.limit(0), tokenizer_path()).count() == 0
+
+
+def test_other_id_column_beside_a_doc_id(spark):
+    df = spark.createDataFrame([(1, "a b", 7, "x"), (2, None, 8, "y")], "doc_id long, body string, key long, text string")
+    got = sorted((r.doc_id, r.n_tokens) for r in bpe.digest_round_trip(df, tokenizer_path(), "key", "body").collect())
+    assert got == [(7, 2), (8, 0)]
+    assert sorted(r.doc_id for r in bpe.encode_corpus(df, tokenizer_path(), "key", "body").collect()) == [7, 8]

@@ -63,4 +63,4 @@ def test_entry_serves_the_pipeline():
 
     names = list(__spark_entry__.queries())
     assert "pipeline" in names
-    assert {int(n[2:].split("_")[0]) for n in names if n.startswith("op")} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in names if n.startswith("op")} == set(range(1, 14))

@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import xxhash
 import pytest
 
 from small_documents import documents  # noqa: F401
@@ -105,3 +106,22 @@ def test_pieces_of_a_long_text(monkeypatch):
     monkeypatch.setattr(repeats, "PIECE", 333)
     cut = {s + i: (g, o - i) for s, n, o, g, _ in repeats.segments(raw, 100, 16) for i in range(n)}
     assert whole == cut and len(cut) == len(raw) - 99
+
+
+def test_rows_without_an_id_whose_texts_share_a_32_bit_hash(spark):
+    rng = random.Random(9)
+    passage, seen = prose(rng, 440), {}
+    for i in range(400_000):
+        text = f"{i:x} {passage}"
+        other = seen.setdefault(xxhash.xxh32_intdigest(text.encode(), 1), text)
+        if other != text:
+            break
+    assert other != text
+    check(spark, [(None, text), (None, other + prose(rng, 60)), (None, other), (1, "z" * 390), (None, prose(rng, 900))])
+
+
+def test_a_third_of_the_rows_repeats_one_id_and_text(spark):
+    rng = random.Random(10)
+    hot, shared = prose(rng, 700), prose(rng, 100)
+    rows = [(1, hot)] * 60 + [(None, hot)] * 30 + [(i, prose(rng, 150) + shared + hot[i:i + 60] + prose(rng, 80)) for i in range(2, 120)]
+    check(spark, rows, length=40, gram=8, group_limit=16)

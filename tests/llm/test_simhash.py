@@ -101,5 +101,38 @@ def test_edge_rows(spark):
     assert sorted(x[1] is None for x in got[None]) == [False, True]
     assert got[9][0][0] != got[10][0][0]            # only A-Z is lower-cased
     kept = sorted((r.doc_id or 0) for r in simhash.keep_representatives(df).collect())
-    assert kept == [0, 0, 1, 4, 6, 9, 10] and simhash.keep_representatives(df).columns == df.columns
+    assert kept == [0, 1, 4, 6, 9, 10] and simhash.keep_representatives(df).columns == df.columns
     assert simhash.assign_components(df.limit(0)).count() == 0
+
+
+def near(text, n):
+    """Texts whose fingerprints differ from that of ``text`` by 1 to 3 bits each, and their codes."""
+    base = simhash.fingerprint(text.encode())
+    out, words = [], text.split()
+    for i in range(len(words)):
+        t = " ".join([*words[:i], f"w{i}x", *words[i + 1:]])
+        if 1 <= (simhash.fingerprint(t.encode()) ^ base).bit_count() <= 3:
+            out.append(t)
+    assert len(out) >= n
+    return out
+
+
+def test_repeated_ids_with_other_texts_lose_no_row(spark):
+    data = [(1, "x y z one"), (5, "x y z one"), (5, "nothing like the other text"), (5, "nothing like the other text")]
+    df = spark.createDataFrame([(d, t, "x", 1) for d, t in data], SCHEMA)
+    got = sorted((r.doc_id, r.component_id) for r in simhash.assign_components(df).collect())
+    assert got == [(1, 1), (5, 1), (5, 5), (5, 5)]
+    kept = sorted((r.doc_id, r.text) for r in simhash.keep_representatives(df).collect())
+    assert kept == [(1, "x y z one"), (5, "nothing like the other text")]
+
+
+def test_rows_without_an_id_bridge_others(spark):
+    text = " ".join(f"word{i}" for i in range(400))
+    base = simhash.fingerprint(text.encode())
+    ends = near(text, 2)
+    codes = [simhash.fingerprint(t.encode()) for t in ends]
+    a, b = next((i, j) for i in range(len(codes)) for j in range(i) if (codes[i] ^ codes[j]).bit_count() > 3)
+    df = spark.createDataFrame([(7, ends[a], "x", 1), (None, text, "x", 1), (3, ends[b], "x", 1)], SCHEMA)
+    got = {r.fingerprint: r.component_id for r in simhash.assign_components(df).collect()}
+    assert got == {f"{codes[a]:016x}": 3, f"{base:016x}": 3, f"{codes[b]:016x}": 3}
+    assert [r.doc_id for r in simhash.keep_representatives(df).collect()] == [3]
