@@ -72,15 +72,18 @@ def evidence_counts(audit: DataFrame, probes: list[tuple[str, str, str, str, str
                     ts_col: str = "ts") -> DataFrame:
     """One pass, one row per probe: matches, at_least_one, exactly_one; with
     two points in time also the counts at each and whether it grew by exactly one."""
-    text = record_text(audit.drop(ts_col) if ts_col in audit.columns else audit)
+    # The text and each probe's flag are columns of their own, so each is computed once a row.
+    named = audit.withColumn("_ts", F.col(ts_col)) if ts_col in audit.columns else audit.withColumn("_ts", F.lit(None))
+    rows = named.select("_ts", record_text(audit.drop(ts_col)).alias("_text"))
+    flags = rows.select("_ts", *[evidence(F.col("_text"), p, n1, n2, dec).alias(f"h{i}")
+                                 for i, (_, p, n1, n2, dec) in enumerate(probes)])
     aggs = []
-    for i, (_, principal, n1, n2, dec) in enumerate(probes):
-        hit = evidence(text, principal, n1, n2, dec)
-        aggs.append(F.count_if(hit).alias(f"m{i}"))
+    for i in range(len(probes)):
+        aggs.append(F.count_if(f"h{i}").alias(f"m{i}"))
         if before_ts and after_ts:
-            aggs.append(F.count_if(hit & (F.col(ts_col) < F.lit(before_ts).cast("timestamp_ntz"))).alias(f"b{i}"))
-            aggs.append(F.count_if(hit & (F.col(ts_col) < F.lit(after_ts).cast("timestamp_ntz"))).alias(f"a{i}"))
-    wide = audit.agg(*aggs)
+            aggs.append(F.count_if(F.col(f"h{i}") & (F.col("_ts") < F.lit(before_ts).cast("timestamp_ntz"))).alias(f"b{i}"))
+            aggs.append(F.count_if(F.col(f"h{i}") & (F.col("_ts") < F.lit(after_ts).cast("timestamp_ntz"))).alias(f"a{i}"))
+    wide = flags.agg(*aggs)
     # One row per probe from the single aggregate row. (A union of selects
     # would let column pruning cut a different aggregate per branch, and each
     # would scan the log again.)

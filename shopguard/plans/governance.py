@@ -386,6 +386,7 @@ def p11_forensic_trail(spark, sf):
     return au.forensic_trail(src.audit_log(spark, sf), pol.AGENT)
 
 
+# The evidence searched for in the audit log.
 _PROBES = [
     ("denied_orders_update", pol.AGENT, pol.READ_RESOURCE, "UPDATE public.orders", "denied|deny|forbid|not permitted"),
     ("permitted_repair", pol.AGENT, pol.REMEDIATION_RESOURCE, "FROM public.poison_backup", "allow|permit|success"),
@@ -422,14 +423,16 @@ def a8_evidence_counts(spark, sf):
 
 # The evidence of a run's tool calls and of its one repair.
 _RUN_PROBES = [
-    ("denied_orders_update", pol.AGENT, pol.READ_RESOURCE, "SQL::delete", "denied|deny|forbid|not permitted"),
+    ("denied_orders_update", pol.AGENT, pol.READ_RESOURCE, "UPDATE public.orders", "denied|deny|forbid|not permitted"),
     ("read_incident", pol.AGENT, pol.GRAFANA_MCP, "get_incident", "allow|permit|success"),
     ("timeline_entry", pol.AGENT, pol.GRAFANA_MCP, "add_activity_to_incident", "allow|permit|success"),
     ("filed_issue", pol.AGENT, pol.GITHUB_MCP, "issue_write", "allow|permit|success"),
     ("permitted_repair", pol.AGENT, pol.REMEDIATION_RESOURCE, "SQL::update", "allow|permit|success"),
 ]
-_RUN_TEXT = "'{\"account\":\"' || principal_id || '\",\"resource\":\"' || resource_id || '\",\"action\":\"' || action || " \
-    "'\",\"authorization\":\"' || CASE decision WHEN 'allow' THEN 'allowed' ELSE 'denied' END || '\"}'"
+_RUN_TEXT = "'{\"account\":\"' || principal_id || '\",\"resource\":\"' || resource_id || '\",\"action\":\"' || action || '\"' || " \
+    "CASE WHEN len(write_tables) > 0 THEN ',\"query\":\"' || upper(split_part(action, '::', 2)) || ' ' || " \
+    "array_to_string(qualified_write_tables, ', ') || '\"' ELSE '' END || " \
+    "',\"authorization\":\"' || CASE decision WHEN 'allow' THEN 'allowed' ELSE 'denied' END || '\"}'"
 
 
 @register("a8_evidence_by_run", ("A8", "P10"), oracle=f"""
@@ -443,9 +446,7 @@ SELECT account, run_day, probe, matches, matches >= 1 AS at_least_one, matches =
        "after" - matches AS "before", "after", matches = 1 AS grew_by_one FROM sums""")
 def a8_evidence_by_run(spark, sf):
     d = pol.decide(src.request_mix(spark, sf))
-    record = F.to_json(F.struct(F.col("principal_id").alias("account"), F.col("resource_id").alias("resource"), "action",
-                                F.when(F.col("decision") == "allow", "allowed").otherwise("denied").alias("authorization")))
-    return au.evidence_by_run(d, record, _RUN_PROBES)
+    return au.evidence_by_run(d, src.decided_record(d), _RUN_PROBES)
 
 
 _BROAD_RE = pol.BROAD_PERMIT_PATTERN.replace("'", "''")

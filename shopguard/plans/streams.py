@@ -10,10 +10,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from shopguard.operators import audit as au
 from shopguard.operators import policy as pol
 from shopguard.plans import alerting as al
 from shopguard.plans.catalog import register
-from shopguard.plans.governance import _PROBES
+from shopguard.plans.governance import _RUN_PROBES, _RUN_TEXT
 from shopguard.plans.shop import _poisoned
 from shopguard.session import scratch_path
 from shopguard.sources import audit as src
@@ -73,7 +74,9 @@ def r2_counter_deltas(spark, sf):
     return spark.read.parquet(mon.run_available_now(mon.counter_deltas(samples), "r2-deltas"))
 
 
-@register("r3_alert_state_stream", "R3", oracle="SELECT rule, eval_ts, value, breach, state FROM alert_states")
+@register("r3_alert_state_stream", "R3", oracle="""
+SELECT rule, eval_ts, value, breach, state FROM alert_states
+WHERE eval_ts <= (SELECT max(eval_ts) FROM alert_states) - INTERVAL 10 MINUTE""")
 def r3_alert_state_stream(spark, sf):
     path = scratch_path(spark, "rate-values")
     al._reduced(spark, sf).select(F.lit(al.RULE).alias("rule"), "eval_ts", "value") \
@@ -100,6 +103,18 @@ def r4_malformed_per_minute(spark, sf):
     return spark.read.parquet(out)
 
 
+@register("r4_quarantine_and_counts", "R4", oracle="""
+SELECT time_bucket(INTERVAL 1 MINUTE, created_at) AS minute, count(*) AS orders,
+       count(*) FILTER (WHERE code IS NOT NULL) AS malformed, max(id) FILTER (WHERE code IS NOT NULL) AS newest_quarantined
+FROM classified GROUP BY 1""")
+def r4_quarantine_and_counts(spark, sf):
+    """Both tables of one stream, per minute."""
+    bad, counts = mon.run_quarantine(_orders_stream(spark, sf), scratch_path(spark, "quarantine"))
+    newest = bad.groupBy(F.window("created_at", "1 minute")["start"].alias("minute")).agg(
+        F.max("id").alias("newest_quarantined"))
+    return counts.join(newest, "minute", "left")
+
+
 @register("r5_heartbeat", "R5", oracle="""
 SELECT window_start, pending_reconcile, pending_reconcile = 0 AS ok FROM (
   SELECT time_bucket(INTERVAL 5 MINUTE, created_at) AS window_start,
@@ -111,26 +126,37 @@ def r5_heartbeat(spark, sf):
     return spark.read.parquet(out)
 
 
-def _r6_sql() -> str:
-    cols = ["id", "timestamp", "account_id", "account_email", "account_first_name", "account_last_name",
-            "resource_id", "resource_name", "resource_type", "remote_identity_username", "query_body",
-            "query_hash", "duration", "record_count", "authorization", "error", "source_ip", "client_ip",
-            "user_agent", "egress_node_id", "encrypted", "capture"]
-    text = "to_json({" + ", ".join(f"'{c}': \"{c}\"" for c in cols) + "})"
-    flags = ", ".join(
-        f"bool_or(contains(t, '{p}') AND contains(t, '{n1}') AND contains(t, '{n2}') "
-        f"AND regexp_matches(t, '(?i)(?:{d})')) AS {name}" for name, p, n1, n2, d in _PROBES)
-    done = " AND ".join(name for name, *_ in _PROBES)
-    return f"""SELECT *, {done} AS complete FROM (
-  SELECT account_id, CAST(date_trunc('day', ts) AS TIMESTAMP) AS run_day, {flags}
-  FROM (SELECT account_id, ts, {text} AS t FROM audit_log) GROUP BY ALL)"""
-
-
-@register("r6_audit_watch", "R6", oracle=_r6_sql())
-def r6_audit_watch(spark, sf):
-    audit = src.audit_with_time(src.audit_from(src.policy_requests_from(_events(spark, sf)))) \
-        .drop("rows_returned", "duration_ms")
-    out = mon.run_available_now(mon.audit_watch(audit, _PROBES), "r6", mode="update", keys=["account_id", "run_day"])
+_WATCH = _RUN_PROBES[:3]                             # the three records a run waits for
+_WATCH_S = 12 * 3600
+
+
+@register("r6_incident_watch", "R6", oracle=f"""
+WITH hits AS (
+  SELECT principal_id AS account, 'INC-' || CAST(event_id // {src.RUN_EVENTS} AS VARCHAR) AS incident, ts,
+         {", ".join(f"contains(t, '{p}') AND contains(t, '{a}') AND contains(t, '{b}') AND regexp_matches(t, '(?i)(?:{d})') AS {n}"
+                    for n, p, a, b, d in _WATCH)}
+  FROM (SELECT *, {_RUN_TEXT} AS t FROM mix_decided)),
+runs AS (
+  SELECT account, incident, min(ts) AS opened_at, {", ".join(f"min(ts) FILTER (WHERE {n}) AS {n}_first" for n, *_ in _WATCH)}
+  FROM hits GROUP BY ALL),
+seen AS (
+  SELECT account, incident, opened_at,
+         {", ".join(f"CASE WHEN epoch({n}_first) - epoch(opened_at) <= {_WATCH_S} THEN {n}_first END AS {n}_at"
+                    for n, *_ in _WATCH)} FROM runs),
+closed AS (
+  SELECT *, {" AND ".join(f"{n}_at IS NOT NULL" for n, *_ in _WATCH)} AS complete FROM seen)
+SELECT account, incident, opened_at, {", ".join(f"{n}_at" for n, *_ in _WATCH)},
+       CASE WHEN complete THEN greatest({", ".join(f"{n}_at" for n, *_ in _WATCH)})
+            ELSE opened_at + INTERVAL {_WATCH_S} SECOND END AS closed_at, complete
+FROM closed WHERE closed_at <= {_CLOSED}""")
+def r6_incident_watch(spark, sf):
+    d = pol.decide(src.request_mix_from(_events(spark, sf)))
+    text = F.col("_text")
+    records = d.select(F.col("principal_id").alias("account"), src.incident_of(F.col("event_id")).alias("incident"), "ts",
+                       src.decided_record(d).alias("_text"))
+    records = records.select("account", "incident", "ts",
+                             *[au.evidence(text, p, n1, n2, x).alias(n) for n, p, n1, n2, x in _WATCH])
+    out = mon.run_available_now(mon.incident_watch(records, [n for n, *_ in _WATCH], _WATCH_S), "r6")
     return spark.read.parquet(out)
 
 

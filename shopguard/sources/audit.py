@@ -103,6 +103,7 @@ REQUEST_KINDS = (
     ("SQL::update", pol.REMEDIATION_RESOURCE, "prod", ("orders", "poison_backup"), ("orders",)),
     ("SQL::update", pol.REMEDIATION_RESOURCE, "prod", ("orders", "payments"), ("orders", "payments")),
     ("SQL::delete", pol.READ_RESOURCE, "prod", ("payments",), ("payments",)),
+    ("SQL::update", pol.READ_RESOURCE, "prod", ("orders",), ("orders",)),
     ("SQL::insert", pol.READ_RESOURCE, None, ("orders",), ("orders",)),
     ("MCP::get_incident", pol.GRAFANA_MCP, None, None, None),
     ("MCP::add_activity_to_incident", pol.GRAFANA_MCP, None, None, None),
@@ -117,14 +118,18 @@ REQUEST_KINDS = (
 
 def request_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One policy request per event, of the kinds in ``REQUEST_KINDS`` in turn."""
+    return request_mix_from(load_table(spark, sf_dir, "events"))
+
+
+def request_mix_from(events: DataFrame) -> DataFrame:
+    """``request_mix`` over any events frame (batch or streaming)."""
     kinds = F.array(*[F.struct(
         F.lit(a).alias("action"), F.lit(r).alias("resource_id"), F.lit(env).cast("string").alias("env"),
         F.lit(t is not None).alias("has_sql"),
         (F.lit(None).cast("array<string>") if t is None else _arr(*t)).alias("tables"),
         (F.lit(None).cast("array<string>") if w is None else _arr(*w)).alias("write_tables"))
         for a, r, env, t, w in REQUEST_KINDS])
-    e = load_table(spark, sf_dir, "events").select("event_id", "ts", "user_id")
-    picked = e.withColumn("r", F.get(kinds, (F.col("event_id") % len(REQUEST_KINDS)).cast("int")))
+    picked = events.select("event_id", "ts", "user_id").withColumn("r", F.get(kinds, (F.col("event_id") % len(REQUEST_KINDS)).cast("int")))
     return picked.select(
         "event_id", "ts", _by_account(0).alias("principal_id"), _by_account(1).alias("account_type"),
         _by_account(2).alias("roles"), "r.action", "r.resource_id",
@@ -134,6 +139,24 @@ def request_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.transform("r.write_tables", lambda t: F.concat(F.lit("public."), t)).alias("qualified_write_tables"))
 
 
+# Events that one incident run of the binding spans.
+RUN_EVENTS = 240
+
+
+def incident_of(event_id: Column) -> Column:
+    """The incident an event belongs to: consecutive events, ``RUN_EVENTS`` at a time."""
+    return F.concat(F.lit("INC-"), F.floor(event_id / RUN_EVENTS).cast("string"))
+
+
+def decided_record(decided: DataFrame) -> Column:
+    """Compact JSON record of a decided request: who, what, on which resource, with the statement of a write."""
+    statement = F.when(F.size("qualified_write_tables") > 0, F.concat(
+        F.upper(F.substring_index("action", "::", -1)), F.lit(" "), F.array_join("qualified_write_tables", ", ")))
+    return F.to_json(F.struct(
+        F.col("principal_id").alias("account"), F.col("resource_id").alias("resource"), "action", statement.alias("query"),
+        F.when(F.col("decision") == "allow", "allowed").otherwise("denied").alias("authorization")))
+
+
 def audit_log(spark: SparkSession, sf_dir: str, policies=None) -> DataFrame:
     """The audit table: one string record per statement, decisions as recorded."""
     return audit_from(policy_requests(spark, sf_dir), policies)

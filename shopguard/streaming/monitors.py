@@ -12,6 +12,7 @@ from __future__ import annotations
 import os
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -20,7 +21,6 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 import shopguard
-from shopguard.operators import audit as au
 from shopguard.operators import metrics as mt
 from shopguard.operators import policy as pol
 from shopguard.operators.payload import classify_payload
@@ -97,7 +97,7 @@ def _delta_machine(idle_s: int):
         parts = [pd.DataFrame({"t": list(times), "v": list(values)}, dtype="float64").astype({"t": "int64"})]
         if not state.hasTimedOut:
             parts += [pd.DataFrame({"t": b["ts"].astype("datetime64[us]").astype("int64"), "v": b["value"]}) for b in batches]
-        held = pd.concat(parts, ignore_index=True).drop_duplicates().sort_values("t", kind="stable", ignore_index=True)
+        held = pd.concat(parts, ignore_index=True).sort_values("t", kind="stable", ignore_index=True)
         mark = state.getCurrentWatermarkMs() * 1000
         due = held["t"] <= mark
         ready = held[due]
@@ -127,7 +127,7 @@ def counter_deltas(samples: DataFrame, delay: str = WATERMARK, idle_s: int = 864
     Samples wait until the watermark passes them and are then taken in time
     order, whatever order they came in. One that comes behind the watermark is
     left out by Spark and counted (``numRowsDroppedByWatermark`` of the query's
-    progress). A series without samples for ``idle_s`` is forgotten.
+    progress). Equal samples each count, as in the batch form. A series without samples for ``idle_s`` is forgotten.
     """
     return with_event_time(samples.select("metric", "instance", "ts", "value"), delay=delay) \
         .groupBy("metric", "instance") \
@@ -138,63 +138,70 @@ def counter_deltas(samples: DataFrame, delay: str = WATERMARK, idle_s: int = 864
 _ALERT_SCHEMA = T.StructType([T.StructField("rule", T.StringType()), T.StructField("eval_ts", T.TimestampNTZType()),
                               T.StructField("value", T.DoubleType()), T.StructField("breach", T.BooleanType()),
                               T.StructField("state", T.StringType())])
-_ALERT_STATE = T.StructType([T.StructField("last_eval", T.TimestampNTZType()),
-                             T.StructField("breach_start", T.TimestampNTZType())])
+# Last evaluation given out and start of its run of breaches (microseconds), and the evaluations the
+# watermark has not passed.
+_ALERT_STATE = T.StructType([T.StructField("last_eval", T.LongType()), T.StructField("breach_start", T.LongType()),
+                             T.StructField("times", T.ArrayType(T.LongType())),
+                             T.StructField("values", T.ArrayType(T.DoubleType()))])
+
+
+def _with_gaps(last: int | None, times: np.ndarray, values: np.ndarray, step: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The evaluations in frames of at most GAP_ROWS, with those without data that lie between them (values NaN)."""
+    before = np.concatenate([times[:1] if last is None else [last], times[:-1]])
+    missing = np.maximum((times - before + step // 2) // step - 1, 0)
+    ends = np.cumsum(missing + 1)
+    for i in range(0, int(ends[-1]) if len(ends) else 0, GAP_ROWS):
+        row = np.arange(i, min(i + GAP_ROWS, int(ends[-1])))
+        k = np.searchsorted(ends, row, side="right")
+        nth = row - (ends[k] - missing[k] - 1)
+        real = nth == missing[k]
+        yield np.where(real, times[k], before[k] + (nth + 1) * step), np.where(real, values[k], np.nan)
 
 
 def _alert_machine(above: float, for_s: int, interval_s: int):
-    step = pd.Timedelta(seconds=interval_s)
-    names = [f.name for f in _ALERT_SCHEMA.fields]
+    step = interval_s * 1_000_000
 
     def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rule = key[0]
-        last, start = state.get if state.exists else (None, None)
-        last = None if last is None or pd.isna(last) else pd.Timestamp(last)
-        start = None if start is None or pd.isna(start) else pd.Timestamp(start)
-        out = []
-        if state.hasTimedOut:
-            # Evaluations the watermark has passed without data: each counts as OK and resets the clock.
-            mark = pd.Timestamp(state.getCurrentWatermarkMs(), unit="ms")
-            n = max(1, int((mark - last) / step) - 1)
-            for i in range(0, n, GAP_ROWS):
-                times = pd.date_range(last + (i + 1) * step, periods=min(GAP_ROWS, n - i), freq=step)
-                yield pd.DataFrame({"rule": rule, "eval_ts": times, "value": None, "breach": False, "state": "inactive"})
-            last = last + n * step
-            state.update((last, None))
-            state.setTimeoutTimestamp(max(int((last + 2 * step).timestamp() * 1000), state.getCurrentWatermarkMs() + 1))
-            return
-        pdf = pd.concat(list(batches)).sort_values("eval_ts")
-        for t, v in zip(pdf["eval_ts"], pdf["value"]):
-            t = pd.Timestamp(t)
-            if last is not None and t <= last:
-                continue
-            if last is not None:
-                n = max(0, round((t - last) / step) - 1)          # evaluations without data
-                for i in range(0, n, GAP_ROWS):
-                    times = pd.date_range(last + (i + 1) * step, periods=min(GAP_ROWS, n - i), freq=step)
-                    out.extend((rule, g, None, False, "inactive") for g in times)
-                    yield pd.DataFrame(out, columns=names)
-                    out, start = [], None
-            breach = v is not None and not pd.isna(v) and v > above
-            if breach:
-                start = start if start is not None else t
-                st = "firing" if (t - start).total_seconds() >= for_s else "pending"
-            else:
-                start, st = None, "inactive"
-            out.append((rule, t, None if pd.isna(v) else float(v), bool(breach), st))
-            last = t
-        state.update((last, start))
-        if last is not None:
-            state.setTimeoutTimestamp(max(int((last + 2 * step).timestamp() * 1000), state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=names)
+        last, start, times, values = state.get if state.exists else (None, None, [], [])
+        parts = [pd.DataFrame({"t": list(times), "v": list(values)}, dtype="float64").astype({"t": "int64"})]
+        if not state.hasTimedOut:
+            parts += [pd.DataFrame({"t": b["eval_ts"].astype("datetime64[us]").astype("int64"),
+                                    "v": b["value"].astype("float64")}) for b in batches]
+        held = pd.concat(parts, ignore_index=True).sort_values("t", kind="stable", ignore_index=True)
+        mark = state.getCurrentWatermarkMs() * 1000
+        due = held["t"] <= mark
+        ready, held = held[due], held[~due]
+        frames = [(ready["t"].to_numpy(), ready["v"].to_numpy())]
+        newest = int(ready["t"].iloc[-1]) if len(ready) else last
+        if newest is not None:
+            # Evaluations without data that whatever comes behind the watermark leaves missing.
+            n = max(0, (mark - newest + step // 2) // step - 1)
+            frames.append((newest + step * np.arange(n, n + 1 if n else 0), np.full(1 if n else 0, np.nan)))
+        for frame in frames:
+            for t, v in _with_gaps(last, *frame, step):
+                breach = v > above
+                calm = np.maximum.accumulate(np.where(breach, -1, np.arange(len(t))))
+                began = np.where(calm >= 0, t[np.minimum(calm + 1, len(t) - 1)], t[0] if start is None else start)
+                names = np.where(t // 1_000_000 - began // 1_000_000 >= for_s, "firing", "pending")
+                last, start = int(t[-1]), int(began[-1]) if breach[-1] else None
+                yield pd.DataFrame({"rule": key[0], "eval_ts": pd.to_datetime(t, unit="us"), "value": v, "breach": breach,
+                                    "state": np.where(breach, names, "inactive")})
+        state.update((last, start, held["t"].tolist(), held["v"].tolist()))
+        nxt = [int(x) for x in held["t"].iloc[:1]] + ([] if last is None else [last + step + step // 2])
+        state.setTimeoutTimestamp(max(min(nxt) // 1000, state.getCurrentWatermarkMs()) + 1)
 
     return run
 
 
 def alert_state_stream(values: DataFrame, above: float = mt.THRESHOLD, for_s: int = mt.FOR_S,
                        interval_s: int = mt.EVAL_INTERVAL_S, delay: str = WATERMARK) -> DataFrame:
-    """The alert state machine as keyed state per rule; an event-time timeout
-    produces the no-data evaluation."""
+    """The alert state machine as keyed state per rule.
+
+    Evaluations wait in state until the watermark passes them and are then taken
+    in time order, so the rows are those of the batch form up to the
+    watermark, however the input is cut into micro-batches. An event-time
+    timeout gives out the evaluations without data of a silent rule.
+    """
     v = with_event_time(values, col="eval_ts", delay=delay).select("rule", "eval_ts", "value", "event_time")
     return v.groupBy("rule").applyInPandasWithState(
         _alert_machine(above, for_s, interval_s), _ALERT_SCHEMA, _ALERT_STATE, "append",
@@ -207,6 +214,41 @@ def malformed_monitor(orders: DataFrame) -> DataFrame:
         .select("id", "status", "error_type", "error_key", "created_at")
 
 
+def quarantine_sink(base: str, every: str = "1 minute"):
+    """One ``foreachBatch`` function that feeds two tables under ``base`` from one pass over the batch: the
+    malformed orders (``quarantine``) and, per minute, how many orders came and how many failed (``counts``).
+
+    Both are written under the batch's id, so a batch that is replayed replaces
+    its own rows; ``quarantine_tables`` adds the batches' counts up.
+    """
+    def sink(batch: DataFrame, epoch: int) -> None:
+        checked = f"{base}/checked/epoch={epoch}"
+        classify_payload(batch).select("id", "status", "error_type", "error_key", "created_at") \
+            .write.mode("overwrite").parquet(checked)
+        rows = batch.sparkSession.read.parquet(checked)
+        rows.where(F.col("error_type").isNotNull()).write.mode("overwrite").parquet(f"{base}/quarantine/epoch={epoch}")
+        (rows.groupBy(F.window("created_at", every)["start"].alias("minute"))
+         .agg(F.count(F.lit(1)).alias("orders"), F.count_if(F.col("error_type").isNotNull()).alias("malformed"))
+         .write.mode("overwrite").parquet(f"{base}/counts/epoch={epoch}"))
+
+    return sink
+
+
+def quarantine_tables(spark: SparkSession, base: str) -> tuple[DataFrame, DataFrame]:
+    """The two tables a ``quarantine_sink`` wrote: ``(quarantine, counts per minute)``."""
+    bad = spark.read.schema("id long, status string, error_type string, error_key string, created_at timestamp_ntz, epoch long") \
+        .parquet(f"{base}/quarantine")
+    counts = spark.read.schema("minute timestamp_ntz, orders long, malformed long, epoch long").parquet(f"{base}/counts")
+    return bad, counts.groupBy("minute").agg(F.sum("orders").alias("orders"), F.sum("malformed").alias("malformed"))
+
+
+def run_quarantine(orders: DataFrame, base: str) -> tuple[DataFrame, DataFrame]:
+    """Run the two sinks over everything available."""
+    (orders.writeStream.option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True)
+     .foreachBatch(quarantine_sink(base)).start().awaitTermination())
+    return quarantine_tables(orders.sparkSession, base)
+
+
 def malformed_per_minute(orders: DataFrame, every: str = "1 minute", delay: str = WATERMARK) -> DataFrame:
     """Per minute, how many order changes came and how many fail the contract."""
     checked = classify_payload(with_event_time(orders, col="created_at", delay=delay))
@@ -224,19 +266,64 @@ def heartbeat_stream(orders: DataFrame, every: str = "5 minutes", delay: str = W
                     (F.col("pending_reconcile") == 0).alias("ok")))
 
 
-def audit_watch(audit: DataFrame, probes: list[tuple[str, str, str, str, str]], delay: str = WATERMARK) -> DataFrame:
-    """Per account and day, which evidence has been seen and whether the
-    required set is complete (an aggregate of ``bool_or`` flags, to be written
-    in update mode; the watermark ends a day's state)."""
-    text = au.record_text(audit.drop("ts"))
-    flags = {name: au.evidence(text, p, n1, n2, d) for name, p, n1, n2, d in probes}
-    agg = with_event_time(audit, delay=delay).groupBy("account_id", F.window("event_time", "1 day").alias("w")).agg(
-        *[F.bool_or(c).alias(n) for n, c in flags.items()])
-    agg = agg.select("account_id", _window_start().alias("run_day"), *flags)
-    done = None
-    for n in flags:
-        done = F.col(n) if done is None else done & F.col(n)
-    return agg.withColumn("complete", done)
+def _watch_schema(probes: list[str]) -> T.StructType:
+    times = [T.StructField(f"{p}_at", T.TimestampNTZType()) for p in probes]
+    return T.StructType([T.StructField("account", T.StringType()), T.StructField("incident", T.StringType()),
+                         T.StructField("opened_at", T.TimestampNTZType()), *times,
+                         T.StructField("closed_at", T.TimestampNTZType()), T.StructField("complete", T.BooleanType())])
+
+
+# Opening time, first time of each piece of evidence, last record (microseconds), and whether the run was reported.
+_WATCH_STATE = T.StructType([T.StructField("opened", T.LongType()), T.StructField("firsts", T.ArrayType(T.LongType())),
+                             T.StructField("newest", T.LongType()), T.StructField("told", T.BooleanType())])
+
+
+def _watch_machine(probes: list[str], timeout_s: int, keep_s: int):
+    wait, keep = timeout_s * 1_000_000, keep_s * 1_000_000
+    names = [f.name for f in _watch_schema(probes).fields]
+
+    def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        opened, firsts, newest, told = state.get if state.exists else (None, [None] * len(probes), 0, False)
+        firsts = list(firsts)
+        for b in [] if state.hasTimedOut else batches:
+            t = b["ts"].astype("datetime64[us]").astype("int64")
+            opened = int(t.min()) if opened is None else min(opened, int(t.min()))
+            newest = max(newest, int(t.max()))
+            for i, p in enumerate(probes):
+                hits = t[b[p].astype(bool)]
+                if len(hits):
+                    firsts[i] = int(hits.min()) if firsts[i] is None else min(firsts[i], int(hits.min()))
+        mark = state.getCurrentWatermarkMs() * 1000
+        seen = [f if f is not None and f <= opened + wait else None for f in firsts]
+        complete = None not in seen
+        closes = max(seen) if complete else opened + wait
+        if not told and closes <= mark:              # nothing still to come can change the row
+            told = True
+            yield pd.DataFrame([[*key, *(pd.NaT if x is None else pd.Timestamp(x, unit="us")
+                                         for x in (opened, *seen, closes)), complete]], columns=names)
+        if told and newest + keep <= mark:
+            state.remove()
+            return
+        state.update((opened, firsts, newest, told))
+        state.setTimeoutTimestamp(max((newest + keep if told else closes) // 1000, state.getCurrentWatermarkMs()) + 1)
+
+    return run
+
+
+def incident_watch(records: DataFrame, probes: list[str], timeout_s: int = 12 * 3600, keep_s: int = 86400,
+                   delay: str = WATERMARK) -> DataFrame:
+    """One row per incident run (``account, incident``) when it closes.
+
+    ``records`` has ``account, incident, ts`` and a boolean column per probe. A
+    run opens with its first record. It closes complete at the time its last
+    missing piece of evidence first occurs, or incomplete ``timeout_s``
+    after it opened; evidence after that doesn't count. The row is given out
+    once, when the watermark has passed that time; a reported run is forgotten ``keep_s`` after its last record.
+    """
+    r = with_event_time(records, delay=delay).select("account", "incident", "ts", *probes, "event_time")
+    return r.groupBy("account", "incident").applyInPandasWithState(
+        _watch_machine(probes, timeout_s, keep_s), _watch_schema(probes), _WATCH_STATE, "append",
+        GroupStateTimeout.EventTimeTimeout)
 
 
 def live_decisions(requests: DataFrame, policies=pol.POLICIES) -> DataFrame:
@@ -264,6 +351,10 @@ def run_available_now(df: DataFrame, name: str, mode: str = "append", keys: list
         batch.write.mode("overwrite").parquet(f"{base}/updates/epoch={epoch}")
 
     writer.foreachBatch(sink).outputMode("update").start().awaitTermination()
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{base}/updates")
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):      # no batch ran: the input is empty
+        spark.createDataFrame([], df.schema).write.parquet(out)
+        return out
     updates = spark.read.schema(T.StructType([*df.schema.fields, T.StructField("epoch", T.LongType())])) \
         .parquet(f"{base}/updates")
     newest = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("epoch")))
