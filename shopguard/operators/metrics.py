@@ -171,6 +171,10 @@ def threshold(values: DataFrame, above: float = THRESHOLD) -> DataFrame:
     return values.withColumn("breach", F.coalesce(F.col("value") > F.lit(above), F.lit(False)))
 
 
+# Evaluations of a gap that one row expands to at a time.
+GAP_PART = 1024
+
+
 def alert_states(values: DataFrame, above: float = THRESHOLD, for_s: int = FOR_S,
                  interval_s: int = EVAL_INTERVAL_S, rule: str = "rule", block: int = 4096) -> DataFrame:
     """Inactive -> pending on the first breach -> firing once the breach has
@@ -178,7 +182,7 @@ def alert_states(values: DataFrame, above: float = THRESHOLD, for_s: int = FOR_S
     ``error`` set is state error.
 
     ``values`` has ``rule, eval_ts, value`` (optionally ``error``), one row per
-    rule and time. Evaluations need not lie on a fixed grid: between two that
+    rule and time (further ones of a time are evaluations of their own). Evaluations need not lie on a fixed grid: between two that
     are n intervals apart (rounded) n - 1 evaluations without data are added.
     Islands: the running count of non-breaching evaluations names each run of
     breaches, and its first time starts the ``for`` clock. Windows run inside
@@ -201,32 +205,36 @@ def alert_states(values: DataFrame, above: float = THRESHOLD, for_s: int = FOR_S
     v = join_null_safe(v.withColumn("_next", F.lead("_t").over(inside)), firsts, [rule, "_blk"])
     gap = F.coalesce("_next", "_after") - F.col("_t")
     missing = F.greatest(F.floor((gap + interval_s // 2) / interval_s) - 1, F.lit(0))
-    v = v.withColumn("_n", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(missing, F.lit(0)).cast("long"))))
-    real = F.col("_n") == 0
-    full = v.select(
-        rule, _at(F.col("_t") + F.col("_n") * interval_s).alias("eval_ts"), F.when(real, F.col("value")).alias("value"),
-        *([F.when(real, F.col("error")).alias("error")] if has_err else []),
-        F.floor((F.col("_t") + F.col("_n") * interval_s) / width).alias("_blk"))
     err = F.col("error").isNotNull() if has_err else F.lit(False)
     breach = (~err) & F.coalesce(F.col("value") > F.lit(above), F.lit(False))
-    staged = written_table(full.withColumn("breach", breach).withColumn("is_error", err)
-                           .withColumn("_calm", F.when(F.col("breach"), 0).otherwise(1)), "breaches")
+    # A gap stays one number beside the evaluation it follows; its evaluations are all calm.
+    staged = written_table(
+        v.select(rule, "_t", "value", *(["error"] if has_err else []), "_blk", breach.alias("breach"), err.alias("is_error"),
+                 F.coalesce(missing, F.lit(0)).cast("long").alias("_gap"))
+        .withColumn("_calm", F.when(F.col("breach"), 0).otherwise(1) + F.col("_gap")), "breaches")
     calm = staged.groupBy(rule, "_blk").agg(F.sum("_calm").alias("_in")) \
         .withColumn("_before", F.sum("_in").over(blocks) - F.col("_in")).drop("_in")
-    running = Window.partitionBy(rule, "_blk").orderBy("eval_ts").rowsBetween(Window.unboundedPreceding, 0)
+    running = Window.partitionBy(rule, "_blk").orderBy("_t").rowsBetween(Window.unboundedPreceding, 0)
     staged = join_null_safe(staged.withColumn("_own", F.sum("_calm").over(running)), calm, [rule, "_blk"]) \
-        .withColumn("island", F.col("_before") + F.col("_own")).drop("_before", "_own", "_calm")
+        .withColumn("island", F.col("_before") + F.col("_own") - F.col("_gap")).drop("_before", "_own", "_calm")
     # The start of a run, per block it spans: one row per run and block.
-    spans = staged.where("breach").groupBy(rule, "island", "_blk").agg(F.min("eval_ts").alias("_low"))
+    spans = staged.where("breach").groupBy(rule, "island", "_blk").agg(F.min("_t").alias("_low"))
     runs = Window.partitionBy(rule, "island").orderBy("_blk").rowsBetween(Window.unboundedPreceding, 0)
     spans = spans.withColumn("_start", F.min("_low").over(runs)).drop("_low")
-    held = _epoch("eval_ts") - F.unix_seconds(F.col("_start").cast("timestamp"))
-    return (join_null_safe(staged, spans, [rule, "island", "_blk"], "left")
-            .withColumn("state", F.when(F.col("is_error"), "error")
-                        .when(~F.col("breach"), "inactive")
-                        .when(held >= for_s, "firing").otherwise("pending"))
-            .withColumn("breach_started", F.when(F.col("breach"), F.col("_start")))
-            .drop("_start", "_blk", "is_error"))
+    full = join_null_safe(staged, spans, [rule, "island", "_blk"], "left")
+    # Only here a gap becomes rows: first its parts of GAP_PART evaluations, then each part's.
+    full = (full.withColumn("_c", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("_gap") / GAP_PART).cast("long"))))
+            .withColumn("_n", F.explode(F.sequence(F.col("_c") * GAP_PART, F.least("_gap", F.col("_c") * GAP_PART + GAP_PART - 1)))))
+    real = F.col("_n") == 0
+    breach = real & F.col("breach")
+    held = F.col("_t") - F.col("_start")
+    return full.select(
+        rule, _at(F.col("_t") + F.col("_n") * interval_s).alias("eval_ts"), F.when(real, F.col("value")).alias("value"),
+        *([F.when(real, F.col("error")).alias("error")] if has_err else []), breach.alias("breach"),
+        (F.col("island") + F.col("_n")).alias("island"),
+        F.when(real & F.col("is_error"), "error").when(~breach, "inactive").when(held >= for_s, "firing")
+        .otherwise("pending").alias("state"),
+        F.when(breach, _at(F.col("_start"))).alias("breach_started"))
 
 
 def alert_episodes(states: DataFrame, interval_s: int = EVAL_INTERVAL_S, rule: str = "rule") -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shopguard.operators.numbering import Ranges
 from shopguard.operators.payload import classify_payload
 from shopguard.operators.privacy import safe_customers
 
@@ -18,12 +19,32 @@ def lookup(orders: DataFrame, keys: DataFrame, key: str = "id") -> DataFrame:
             .select(key, F.coalesce("_hit", F.lit(False)).alias("found"), "status", "amount_cents"))
 
 
-def page(orders: DataFrame, limit: int = 25, offset: int = 0, status: str | None = None) -> DataFrame:
-    """Newest-first page (created_at desc, id desc); limit 1..200, offset >= 0."""
+# Rows a page may skip that each task sorts out by itself.
+MAX_OFFSET = 10_000
+
+
+def _check_page(limit: int, offset: int) -> None:
     if not 1 <= limit <= 200:
         raise ValueError("limit must be within 1..200")
     if offset < 0:
         raise ValueError("offset must be >= 0")
+
+
+def deep_page(orders: DataFrame, limit: int = 25, offset: int = 0, status: str | None = None) -> DataFrame:
+    """P8 at any offset: the counts of the key's ranges say which range holds the page, and only that is read."""
+    _check_page(limit, offset)
+    df = orders if status is None else orders.where(F.col("status") == status)
+    return Ranges(df, [("created_at", False), ("id", False)]).page(offset, limit)
+
+
+def page(orders: DataFrame, limit: int = 25, offset: int = 0, status: str | None = None) -> DataFrame:
+    """Newest-first page (created_at desc, id desc); limit 1..200, offset 0..MAX_OFFSET.
+
+    Every task and the driver keep offset + limit rows, so deeper pages go through ``deep_page``.
+    """
+    _check_page(limit, offset)
+    if offset > MAX_OFFSET:
+        raise ValueError(f"offset must be at most {MAX_OFFSET}; deep_page has no such bound")
     df = orders if status is None else orders.where(F.col("status") == status)
     return df.orderBy(F.desc("created_at"), F.desc("id")).offset(offset).limit(limit)
 

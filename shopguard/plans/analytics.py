@@ -84,6 +84,12 @@ def p8_page_status(spark, sf):
     return od.page(_poisoned(spark, sf), 25, 50, "SHIPPED").select("id", "status", "created_at")
 
 
+@register("p8_deep_page", "P8", oracle="""
+SELECT id, status, created_at FROM poisoned ORDER BY created_at DESC, id DESC LIMIT 25 OFFSET 1200""")
+def p8_deep_page(spark, sf):
+    return od.deep_page(_poisoned(spark, sf), 25, 1200).select("id", "status", "created_at")
+
+
 @register("p8_first_page", "P8", oracle="""
 SELECT id, status, created_at FROM poisoned ORDER BY created_at DESC, id DESC LIMIT 25""")
 def p8_first_page(spark, sf):

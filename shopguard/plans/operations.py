@@ -10,6 +10,7 @@ from shopguard.operators import policy as pol
 from shopguard.operators import privacy as pv
 from shopguard.operators import quality as qa
 from shopguard.operators import records as rc
+from shopguard.operators import versions as vs
 from shopguard.plans.alerting import RULE, _states
 from shopguard.plans.catalog import register
 from shopguard.plans.sql import VIEWS
@@ -373,6 +374,20 @@ def d6_kept_rows(spark, sf):
     return lc.retained(audit, "ts", _D6_ANCHOR, dict(_RETENTION)).select("prefix", "id", "ts")
 
 
+@register("d6_expired_version", "D6", oracle="\nUNION ALL ".join(
+    f"""SELECT '{p}' AS prefix, id, ts FROM audit_log WHERE ts >= TIMESTAMP '{_D6_ANCHOR}' - INTERVAL {d} DAY"""
+    for p, d in _RETENTION))
+def d6_expired_version(spark, sf):
+    """Retention over files laid out by prefix and day: whole days leave, only the day of the cut-off is rewritten."""
+    audit = src.audit_with_time(src.audit_log(spark, sf)).select("id", "ts")
+    data = vs.Dataset(spark, scratch_path(spark, "versions"))
+    prefixes = F.array(*[F.lit(p) for p, _ in _RETENTION])
+    laid = audit.withColumn("prefix", F.explode(prefixes)).withColumn("day", F.col("ts").cast("date"))
+    data.replace({"audit": laid.repartitionByRange("prefix", "day")}, {"audit": ["prefix", "day"]})
+    vs.expire(data, "audit", {p: lc._cutoff(_D6_ANCHOR, d) for p, d in _RETENTION})
+    return data.read("audit").select("prefix", "id", "ts")
+
+
 @register("s2_csv_roundtrip", "S2", oracle="SELECT * FROM shop_orders")
 def s2_csv_roundtrip(spark, sf):
     path = scratch_path(spark, "orders-csv")
@@ -426,6 +441,43 @@ def s8_csv_export(spark, sf):
                      F.count_if(~is_header).alias("data_lines"))
 
 
+@register("d4_restored_version", ("D4", "S9"), oracle="""
+SELECT 'customers' AS "table", (SELECT count(*) FROM customers_raw) AS rows, CAST(0 AS BIGINT) AS poisoned
+UNION ALL SELECT 'orders', (SELECT count(*) FROM shop_orders), 0
+UNION ALL SELECT 'payments', (SELECT count(*) FROM payments), 0
+UNION ALL SELECT 'poison_backup', 0, 0""")
+def d4_restored_version(spark, sf):
+    """Poison the orders as version 2, then make version 1 of all tables current in one commit."""
+    from shopguard.plans.shop import _poisoned_and_backup
+
+    data = vs.Dataset(spark, scratch_path(spark, "versions"))
+    orders = b.shop_orders(spark, sf)
+    first = data.replace({"customers": b.customers_raw(spark, sf), "orders": orders,
+                          "payments": b.payments_from_orders(orders)})
+    poisoned, backup = _poisoned_and_backup(spark, sf)
+    data.replace({"orders": poisoned, "poison_backup": backup})
+    vs.restore_version(data, first)
+    out = None
+    for name in ("customers", "orders", "payments", "poison_backup"):
+        df = data.read(name)
+        bad = F.count_if(F.col("status") == lc.POISON_STATUS) if "status" in df.columns else F.lit(0).cast("long")
+        row = df.agg(F.count(F.lit(1)).alias("rows"), bad.alias("poisoned")).select(F.lit(name).alias("table"), "rows", "poisoned")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@register("j1_copy_on_write", ("J1", "D3", "D4"), oracle="SELECT * FROM remediated")
+def j1_copy_on_write(spark, sf):
+    """The repair as a new version of the orders: only files that hold victims are rewritten."""
+    from shopguard.plans.shop import _poisoned_and_backup
+
+    data = vs.Dataset(spark, scratch_path(spark, "versions"))
+    poisoned, backup = _poisoned_and_backup(spark, sf)
+    data.replace({"orders": poisoned.repartitionByRange("id"), "poison_backup": backup})
+    vs.repair_version(data, lc.RECONCILE_BATCH)
+    return data.read("orders")
+
+
 @register("s9_snapshot_restore", ("S9", "D4", "X2", "X3", "A4"), oracle="""
 SELECT (SELECT count(*) FROM customers_raw) AS customers, (SELECT count(*) FROM shop_orders) AS orders,
        (SELECT count(*) FROM payments) AS payments, CAST(0 AS INTEGER) AS poisoned_rows_remaining,
