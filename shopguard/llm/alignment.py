@@ -34,7 +34,7 @@ from shopguard.llm.common import written
 
 BATCH_CHARS = 1_000_000      # text encoded and aligned at a time
 CHUNK_UNITS = 1_000_000      # units of the texts of one chunk, and of the one text that exceeds it
-CACHED_TOKENS = 1_500_000    # tokens of units a worker keeps aligned before it starts afresh
+CACHED_TOKENS = 3_500_000    # tokens of units a worker keeps aligned before it starts afresh
 
 # A blank between two symbols that are no white space. A's words start there; for B it is checked that no
 # piece has its blank behind anything else.
@@ -233,7 +233,7 @@ class Units:
     def dictionary(self, used: np.ndarray, times: np.ndarray) -> tuple:
         """What the chunk's row holds of the units ``used``, which occur ``times`` times."""
         a, b, size_a, size_b, links, n_a, n_b, n_g = (
-            np.concatenate([np.empty(0, np.int64), *[p[k] for p in self.parts]]) for k in range(8))
+            np.concatenate([p[k] for p in self.parts] or [np.empty(0, np.int64)]) for k in range(8))
         n_l = n_a + n_b - n_g
 
         def of(flat: np.ndarray, n: np.ndarray) -> np.ndarray:
