@@ -97,14 +97,21 @@ def affected_customers(orders: DataFrame, customers_raw: DataFrame) -> DataFrame
             .select("id", "name", "email", "phone", "tier", "bad_orders", "bad_amount_cents"))
 
 
-def orphans(orders: DataFrame, customers: DataFrame, payments: DataFrame) -> DataFrame:
-    """Orders without a customer and payments without an order."""
-    o = orders.select(F.col("customer_id").alias("id")).join(customers.select("id"), "id", "left_anti")
-    p = payments.select(F.col("order_id").alias("id")).join(orders.select("id"), "id", "left_anti")
-    from shopguard.operators.common import one_row
+def orphan_rows(orders: DataFrame, customers: DataFrame, payments: DataFrame) -> DataFrame:
+    """``(kind, id, missing)``: orders without a customer and payments (by their order) without an order."""
+    o = orders.select("id", F.col("customer_id").alias("missing")).join(
+        customers.select(F.col("id").alias("missing")), "missing", "left_anti")
+    p = payments.select(F.col("order_id").alias("id"), F.col("order_id").alias("missing")).join(
+        orders.select("id"), "id", "left_anti")
+    return (o.select(F.lit("order").alias("kind"), "id", "missing")
+            .unionByName(p.select(F.lit("payment").alias("kind"), "id", "missing")))
+
 
-    return one_row(o.agg(F.count(F.lit(1)).alias("orphan_orders")),
-                   p.agg(F.count(F.lit(1)).alias("orphan_payments")))
+def orphans(orders: DataFrame, customers: DataFrame, payments: DataFrame) -> DataFrame:
+    """How many orders have no customer and how many payments no order."""
+    kind = F.col("kind")
+    return orphan_rows(orders, customers, payments).agg(
+        F.count_if(kind == "order").alias("orphan_orders"), F.count_if(kind == "payment").alias("orphan_payments"))
 
 
 def delete_orders(orders: DataFrame, payments: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:

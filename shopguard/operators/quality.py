@@ -93,6 +93,13 @@ def payment_checks(payments: DataFrame) -> DataFrame:
     }, {"pk_unique": [F.col("id")], "processor_ref_unique": [F.col("processor_ref")]})
 
 
+def backup_checks(backup: DataFrame) -> DataFrame:
+    """Q1, Q2 of the backup table: its key and its required columns."""
+    return run_checks(backup, "poison_backup", {
+        "not_null": _any_null(backup, ["id", "status", "payload", "created_at", "backed_up_at"]),
+    }, {"pk_unique": [F.col("id")]})
+
+
 def payment_coverage(orders: DataFrame, payments: DataFrame) -> DataFrame:
     """Q10: a payment exists exactly for DELIVERED, SHIPPED and REFUNDED orders."""
     paid = orders.where(F.col("status").isin(*PAID_STATUSES)).select(F.col("id").alias("order_id"))

@@ -150,7 +150,35 @@ SELECT (SELECT count(*) FROM poisoned o WHERE NOT EXISTS (SELECT 1 FROM customer
        (SELECT count(*) FROM payments p WHERE NOT EXISTS (SELECT 1 FROM poisoned o WHERE o.id = p.order_id))
            AS orphan_payments""")
 def j7_orphans(spark, sf):
-    return od.orphans(_poisoned(spark, sf), b.customers_raw(spark, sf), b.payments(spark, sf))
+    orders = written_table(b.shop_orders(spark, sf), "orders")
+    poisoned = lc.inject_fault(orders, lc.choose_victims(orders))
+    return od.orphans(poisoned, b.customers_raw(spark, sf), b.paid_orders(orders))
+
+
+@register("j7_orphan_rows", "J7", oracle="""
+WITH kept AS (SELECT * FROM poisoned WHERE status <> 'REFUNDED'), left_over AS (SELECT * FROM customers_raw WHERE tier <> 'platinum')
+SELECT 'order' AS kind, id, customer_id AS missing FROM kept WHERE customer_id NOT IN (SELECT id FROM left_over)
+UNION ALL SELECT 'payment', order_id, order_id FROM payments WHERE order_id NOT IN (SELECT id FROM kept)""")
+def j7_orphan_rows(spark, sf):
+    """What dangles once platinum customers and refunded orders are gone."""
+    orders = written_table(b.shop_orders(spark, sf), "orders")
+    kept = lc.inject_fault(orders, lc.choose_victims(orders)).where(F.col("status") != "REFUNDED")
+    return od.orphan_rows(kept, b.customers_raw(spark, sf).where(F.col("tier") != "platinum"), b.paid_orders(orders))
+
+
+@register("j8_surviving_rows", "J8", oracle="""
+SELECT 'order' AS kind, id FROM shop_orders WHERE status <> 'REFUNDED'
+UNION ALL SELECT 'payment', order_id FROM payments WHERE order_id NOT IN (SELECT id FROM shop_orders WHERE status = 'REFUNDED')
+UNION ALL SELECT 'refused_customer', id FROM customers_raw c
+  WHERE tier = 'platinum' AND EXISTS (SELECT 1 FROM shop_orders o WHERE o.customer_id = c.id)""")
+def j8_surviving_rows(spark, sf):
+    """What a cascading delete of refunded orders leaves, and the customers whose delete is refused."""
+    orders = written_table(b.shop_orders(spark, sf), "orders")
+    kept, paid = od.delete_orders(orders, b.paid_orders(orders), orders.where(F.col("status") == "REFUNDED"))
+    refused = od.restrict_violations(b.customers_raw(spark, sf).where(F.col("tier") == "platinum"), orders)
+    return (kept.select(F.lit("order").alias("kind"), "id")
+            .unionByName(paid.select(F.lit("payment").alias("kind"), F.col("order_id").alias("id")))
+            .unionByName(refused.select(F.lit("refused_customer").alias("kind"), "id")))
 
 
 @register("j8_cascade_delete", "J8", oracle="""
@@ -162,7 +190,8 @@ SELECT (SELECT count(*) FROM shop_orders WHERE id NOT IN (SELECT id FROM gone))
 def j8_cascade_delete(spark, sf):
     from shopguard.operators.common import one_row
 
-    orders, pays = b.shop_orders(spark, sf), b.payments(spark, sf)
+    orders = written_table(b.shop_orders(spark, sf), "orders")
+    pays = b.paid_orders(orders)
     kept, kept_pay = od.delete_orders(orders, pays, orders.where(F.col("status") == "REFUNDED"))
     blocked = od.restrict_violations(
         b.customers_raw(spark, sf).where(F.col("tier") == "platinum"), orders)
@@ -229,7 +258,25 @@ def q_payment_checks(spark, sf):
 
 @register("q10_payment_coverage", "Q10", oracle=_with_passed(_COVERAGE))
 def q10_payment_coverage(spark, sf):
-    return qa.payment_coverage(_poisoned(spark, sf), b.payments(spark, sf))
+    orders = written_table(b.shop_orders(spark, sf), "orders")
+    return qa.payment_coverage(lc.inject_fault(orders, lc.choose_victims(orders)), b.paid_orders(orders))
+
+
+VIEWS["damaged_backup"] = """
+SELECT CASE WHEN id % 11 = 0 THEN NULL ELSE id END AS id, status, CASE WHEN id % 7 = 0 THEN NULL ELSE payload END AS payload,
+       created_at, backed_up_at FROM poison_backup
+UNION ALL SELECT * FROM poison_backup WHERE id % 5 = 0"""
+_BACKUP_RULES = {"not_null": "id IS NULL OR status IS NULL OR payload IS NULL OR created_at IS NULL OR backed_up_at IS NULL"}
+
+
+@register("q_backup_checks", ("Q1", "Q2"), oracle=_with_passed(
+    _check_rows("poison_backup", "damaged_backup", _BACKUP_RULES, {"pk_unique": "id"})))
+def q_backup_checks(spark, sf):
+    """The backup's key and required columns, on a backup with rows that break them."""
+    backup = _poisoned_and_backup(spark, sf)[1]
+    blank = lambda c, n: F.when(F.col("id") % n != 0, F.col(c)).alias(c)
+    damaged = backup.select(blank("id", 11), "status", blank("payload", 7), "created_at", "backed_up_at")
+    return qa.backup_checks(damaged.unionByName(backup.where(F.col("id") % 5 == 0)))
 
 
 @register("q11_window_checks", "Q11", oracle=_with_passed(_WINDOW))

@@ -114,7 +114,15 @@ FROM access_requests"""
 
 @register("s6_segment_listing", ("S6", "W11"), oracle="SELECT file, start_line, record_id, text FROM segments")
 def s6_segment_listing(spark, sf):
-    return tx.segment_records(_listing(spark, sf))
+    return tx.whole_records(tx.segment_records(_listing(spark, sf), part_lines=2))
+
+
+@register("s6_record_parts", ("S6", "W11"), oracle="""
+SELECT file, start_line, record_id, CAST(unnest([0, 1]) AS BIGINT) AS part,
+       unnest([split_part(text, chr(10), 1) || chr(10) || split_part(text, chr(10), 2), split_part(text, chr(10), 3)]) AS text
+FROM segments""")
+def s6_record_parts(spark, sf):
+    return tx.segment_records(_listing(spark, sf), part_lines=2)
 
 
 @register("p12_request_state", "P12", oracle="""
@@ -122,7 +130,7 @@ SELECT file, count(*) AS requests, bool_or(split_part(text, '  ', 2) = 'Pending'
        count(*) FILTER (WHERE regexp_matches(text, '(?i)approved|granted')) AS approved
 FROM segments GROUP BY file""")
 def p12_request_state(spark, sf):
-    return rc.request_state(tx.segment_records(_listing(spark, sf)))
+    return rc.request_state(tx.whole_records(tx.segment_records(_listing(spark, sf))))
 
 
 _T0, _T1 = "2024-01-10 00:00:00", "2024-01-12 00:00:00"
@@ -312,6 +320,15 @@ def s3_audit_scan(spark, sf):
     return tx.audit_scan_report(tx.load_audit(spark, _audit_ndjson(spark, sf)))
 
 
+@register("s3_counted_load", "S3", oracle="""
+SELECT id, account_id, "authorization", (SELECT count(*) + count(*) FILTER (WHERE resource_type = 'mcp') FROM audit_log) AS lines,
+       (SELECT count(*) FROM audit_log WHERE resource_type = 'mcp') AS malformed FROM audit_log""")
+def s3_counted_load(spark, sf):
+    """The loaded records beside the counts of the pass that loaded them."""
+    records, seen = tx.load_counted_audit(spark, _audit_ndjson(spark, sf))
+    return records.select("id", "account_id", "authorization", *[F.lit(n).cast("long").alias(k) for k, n in seen.items()])
+
+
 _Q9_COLS = ["id", "timestamp", "account_id", "account_email", "account_first_name", "account_last_name",
             "resource_id", "resource_name", "resource_type", "remote_identity_username", "query_body", "query_hash",
             "duration", "record_count", "authorization", "error", "source_ip", "client_ip", "user_agent",
@@ -334,6 +351,26 @@ SELECT id, account_id, "authorization",
             WHEN 2 THEN 'activities' ELSE 'record' END AS shape
 FROM audit_log""")
 def s4_flatten_audit(spark, sf):
+    flat = tx.flatten_audit(_audit_documents(spark, sf))
+    return flat.select(tx.record_field("id").alias("id"), tx.record_field("account_id").alias("account_id"),
+                       tx.record_field("authorization").alias("authorization"), "shape")
+
+
+@register("s4_counted_flatten", "S4", oracle="""
+WITH blocks AS (SELECT id, CAST(substr(id, 3) AS BIGINT) // 8 AS g FROM audit_log),
+docs AS (SELECT count(DISTINCT g) FILTER (WHERE g % 4 <> 3) + count(*) FILTER (WHERE g % 4 = 3) AS n,
+                count(DISTINCT g) FILTER (WHERE g % 4 <> 3 AND g % 10 = 0) + count(*) FILTER (WHERE g % 4 = 3 AND g % 10 = 0) AS broken
+         FROM blocks)
+SELECT id, n AS documents, broken AS unparsable FROM blocks, docs WHERE g % 10 <> 0""")
+def s4_counted_flatten(spark, sf):
+    """Records of audit documents a tenth of which were cut off, beside the counts of the pass that parsed them."""
+    whole = _audit_documents(spark, sf)
+    cut = F.when(F.col("g") % 10 == 0, F.expr("substring(doc, 1, length(doc) - 1)")).otherwise(F.col("doc"))
+    flat, seen = tx.flatten_counted_audit(whole.select("g", cut.alias("doc")))
+    return flat.select(tx.record_field("id").alias("id"), *[F.lit(n).cast("long").alias(k) for k, n in seen.items()])
+
+
+def _audit_documents(spark, sf):
     a = src.audit_log(spark, sf)
     rec = F.to_json(F.struct(*[F.col(c) for c in a.columns]))
     g = F.floor(F.regexp_extract("id", r"^q-(\d+)$", 1).cast("long") / 8)
@@ -345,9 +382,7 @@ def s4_flatten_audit(spark, sf):
     docs = grouped.select("g", F.when(F.col("g") % 4 == 0, F.col("arr"))
                           .when(F.col("g") % 4 == 1, F.concat(F.lit('{"queries":'), "arr", F.lit("}")))
                           .otherwise(F.concat(F.lit('{"activities":'), "arr", F.lit("}"))).alias("doc"))
-    flat = tx.flatten_audit(docs.unionByName(bare))
-    return flat.select(tx.record_field("id").alias("id"), tx.record_field("account_id").alias("account_id"),
-                       tx.record_field("authorization").alias("authorization"), "shape")
+    return docs.unionByName(bare)
 
 
 _D6_ANCHOR = "2024-01-30 00:00:00"
@@ -395,6 +430,15 @@ def s2_csv_roundtrip(spark, sf):
     return tx.load_csv(spark, path, ORDERS)
 
 
+@register("s2_counted_load", "S2", oracle="SELECT *, count(*) OVER () AS loaded FROM shop_orders")
+def s2_counted_load(spark, sf):
+    """The loaded orders beside the number the load brought in."""
+    path = scratch_path(spark, "orders-csv")
+    tx.write_csv(b.shop_orders(spark, sf), path)
+    rows, n = tx.load_counted_csv(spark, path, ORDERS)
+    return rows.withColumn("loaded", F.lit(n).cast("long"))
+
+
 @register("s7_json_array", "S7", oracle="""
 SELECT CAST(to_json(list({'id': id, 'name': name, 'email': email, 'tier': tier} ORDER BY id)) AS VARCHAR) AS json
 FROM (SELECT * FROM safe_customers ORDER BY id LIMIT 100)""")
@@ -441,6 +485,15 @@ def s8_csv_export(spark, sf):
                      F.count_if(~is_header).alias("data_lines"))
 
 
+@register("s8_csv_fields", "S8", oracle="SELECT * FROM safe_customers")
+def s8_csv_fields(spark, sf):
+    """The fields of the export, read back under its header."""
+    path = scratch_path(spark, "customers-csv")
+    safe = pv.safe_customers(b.customers_raw(spark, sf))
+    tx.write_csv_with_header(safe, path)
+    return tx.read_csv_with_header(spark, path, safe.schema)
+
+
 @register("d4_restored_version", ("D4", "S9"), oracle="""
 SELECT 'customers' AS "table", (SELECT count(*) FROM customers_raw) AS rows, CAST(0 AS BIGINT) AS poisoned
 UNION ALL SELECT 'orders', (SELECT count(*) FROM shop_orders), 0

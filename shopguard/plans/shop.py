@@ -309,4 +309,4 @@ SELECT (SELECT count(*) FROM customers_raw) AS customers, (SELECT count(*) FROM
 def a4_restore_summary(spark, sf):
     poisoned, backup = _poisoned_and_backup(spark, sf)
     return lc.restore_summary(b.customers_raw(spark, sf), lc.remediate(poisoned, backup),
-                              b.payments(spark, sf))
+                              b.paid_orders(b.shop_orders(spark, sf)))

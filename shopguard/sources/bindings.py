@@ -101,11 +101,14 @@ def shop_orders(spark: SparkSession, sf_dir: str, few: DataFrame | None = None)
                     payload.alias("payload")))
 
 
+def paid_orders(orders: DataFrame) -> DataFrame:
+    """The payments' orders and amounts, without the consecutive ids (for whoever only counts or joins them)."""
+    return orders.where(F.col("status").isin(*PAID_STATUSES)).select(F.col("id").alias("order_id"), "amount_cents")
+
+
 def payments_from_orders(orders: DataFrame) -> DataFrame:
     """``public.payments``: one row per paid order, ids consecutive in order-id order."""
-    paid = orders.where(F.col("status").isin(*PAID_STATUSES)) \
-        .select(F.col("id").alias("order_id"), "amount_cents")
-    numbered = global_row_number(paid, [("order_id", True)], name="id")
+    numbered = global_row_number(paid_orders(orders), [("order_id", True)], name="id")
     oid = F.col("order_id")
     return numbered.select(
         "id", "order_id",

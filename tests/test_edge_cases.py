@@ -47,6 +47,26 @@ def test_lines_without_a_file(spark):
     assert tx.segment_records(df, block=2).groupBy("file").count().orderBy("file").collect()[0]["count"] == 2
 
 
+def test_a_record_without_an_end_leaves_in_parts(spark):
+    df = spark.range(30_001).select(F.lit("f").alias("file"), F.col("id").alias("line_no"),
+                                    F.when(F.col("id") == 1, "aq-1 x").otherwise(F.concat(F.lit(" "), "id")).alias("line"))
+    parts = tx.segment_records(df, block=500, part_lines=1000).collect()
+    assert sorted(r.part for r in parts) == list(range(30)) and {r.record_id for r in parts} == {"aq-1"}
+    assert max(r.text.count("\n") for r in parts) == 999
+    whole = tx.whole_records(tx.segment_records(df, block=500, part_lines=1000)).first()
+    assert whole.text == "\n".join(["aq-1 x", *(f" {i}" for i in range(2, 30_001))])
+
+
+def test_load_counters_come_out_of_the_loading_pass(spark):
+    path = scratch_path(spark, "audit-lines")
+    spark.createDataFrame([('{"id":"q-1"}',), ('{"id":',), ('{"other":1}',)], "value string").write.text(path)
+    records, seen = tx.load_counted_audit(spark, path)
+    assert seen == {"lines": 3, "malformed": 1} and [r.id for r in records.collect()] == ["q-1"]
+    docs = spark.createDataFrame([(1, '[{"id":1},{"id":2}]'), (2, "{broken"), (3, '{"id":3}'), (4, None)], "k long, doc string")
+    flat, seen = tx.flatten_counted_audit(docs)
+    assert seen == {"documents": 4, "unparsable": 1} and sorted(r.k for r in flat.collect()) == [1, 1, 3]
+
+
 def test_csv_keeps_blanks(spark):
     df = spark.createDataFrame([(1, "  lead"), (2, "trail  "), (3, 'q"uo,te'), (4, "")], "id long, t string")
     path = scratch_path(spark, "blanks")
