@@ -87,9 +87,10 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     A row without an id stays only where no equal text has one (see ``assign_groups`` for the other cases).
     """
-    rows = written(docs.select(F.struct("*").alias("__row"), F.monotonically_increasing_id().alias("__rid")),
-                   "exact-dedup-rows")
-    named = rows.select(F.struct(F.col("__row")[id_col].alias("id"), "__rid").alias("key"),
-                        F.col("__row")[text_col].alias("text"))
-    stay = combine(named, "key", "text", salts).select(F.col("keep_id.__rid").alias("__rid"))
-    return rows.join(stay, "__rid", "left_semi").select(*[F.col("__row")[c].alias(c) for c in docs.columns])
+    # Rows that repeat an id and text become one on both sides of the shuffle; the join then moves only the keys that stay.
+    key = F.coalesce(F.concat(F.lit("="), F.col(id_col).cast("string")), F.lit("null")).alias("__key")
+    once = (docs.select(F.struct("*").alias("__row"), key, sha256_bytes(normalise(F.col(text_col))).alias("__sha"))
+            .groupBy("__key", "__sha").agg(F.first("__row").alias("__row")))
+    kept = F.coalesce(F.concat(F.lit("="), F.col("keep_id").cast("string")), F.lit("null")).alias("__key")
+    stay = combine(docs, id_col, text_col, salts).select(kept, sha256_bytes(F.col("norm")).alias("__sha"))
+    return once.join(stay, ["__key", "__sha"], "left_semi").select(*[F.col("__row")[c].alias(c) for c in docs.columns])
