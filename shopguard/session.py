@@ -95,15 +95,8 @@ def _remove(spark: SparkSession, root: str) -> None:
 def written_table(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared checkpoint folder and read it back.
 
-    Cuts the lineage like ``cut_lineage``; later reads prune columns and the
-    files live as long as the folder (``spark.checkpoint.dir`` is scratch space).
+    Cuts the lineage; later reads prune columns and the files live as long as the folder (``spark.checkpoint.dir`` is scratch space).
     """
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` reliably (survives executor loss) and cut its lineage."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
