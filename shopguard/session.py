@@ -22,6 +22,9 @@ _CONF = {
     # DataFrame call while a query is built; the policy and payload columns
     # make thousands of such calls.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
+    # The JVM never compiles a method of more than 8,000 bytes of bytecode. A stage
+    # whose generated code is longer would run interpreted; it runs as separate operators instead.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     # Queries that read a derived table more than once checkpoint it; remove
     # those files once the checkpointed DataFrame is gone.
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
