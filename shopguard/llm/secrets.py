@@ -16,6 +16,7 @@ taken for words.
 from __future__ import annotations
 
 import string
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -58,25 +59,85 @@ ENCODINGS = (
 )
 
 _POSITIONS = "array<struct<start:int,end:int,hit:string>>"
+_FAR = 2 ** 31 - 1
 
 
-def match_positions(text: Column, pattern: str) -> Column:
-    """Leftmost non-overlapping matches as ``start, end`` (code points, end exclusive) and ``hit``.
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often ``use`` names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
-    The pieces between the matches give the offsets. A text without a match costs one search.
+
+def running(values: Column, op: Callable[[Column, Column], Column], zero: int) -> Column:
+    """For each element of an integer array, ``op`` over all elements before it (``zero`` for the first).
+
+    An array grows by copying it, so results are gathered in blocks of about the square root of the length:
+    a text of n matches costs n times that root, not n squared.
     """
-    pieces, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    empty = F.array().cast("array<int>")
 
     def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["0"])
-        end = start + F.length(x["1"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(
-            start.alias("start"), end.alias("end"), x["1"].alias("hit")))).alias("out"))
+        return F.struct(op(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+
+    def gather(arr: Column) -> Column:
+        return F.aggregate(arr, F.struct(F.lit(zero).alias("at"), empty.alias("out")), step)
+
+    def blocked(v: Column) -> Column:
+        width = F.ceil(F.sqrt(F.size(v))).cast("int")
+        within = F.transform(F.sequence(F.lit(1), F.size(v), width), lambda i: gather(F.slice(v, i, width)))
+        return _let(within, lambda w: F.flatten(F.zip_with(
+            w, gather(F.transform(w, lambda x: x["at"]))["out"],
+            lambda x, before: F.transform(x["out"], lambda o: op(before, o)))))
 
-    zipped = F.zip_with(F.slice(pieces, 1, F.size(hits)), hits, lambda a, b: F.struct(a.alias("0"), b.alias("1")))
-    empty = F.array().cast(_POSITIONS)
-    found = F.aggregate(zipped, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
-    return F.when(text.rlike(pattern), found).otherwise(empty)
+    return _let(values, lambda v: F.when(F.size(v) > 0, blocked(v)).otherwise(empty))
+
+
+def match_positions(text: Column, pattern: str) -> Column:
+    """Leftmost non-overlapping matches as ``start, end`` (code points, end exclusive) and ``hit``.
+
+    The pieces between the matches give the offsets. A text without a match costs one search.
+    """
+    def place(found: Column) -> Column:
+        sizes = F.transform(found, lambda m: m["gap"] + F.length(m["hit"]))
+        return F.zip_with(found, running(sizes, lambda x, y: x + y, 0), lambda m, at: F.struct(
+            (at + m["gap"]).alias("start"), (at + m["gap"] + F.length(m["hit"])).alias("end"), m["hit"].alias("hit")))
+
+    pieces = F.split(text, pattern, -1)
+    found = _let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda hits: F.zip_with(
+        F.slice(pieces, 1, F.size(hits)), hits, lambda a, b: F.struct(F.length(a).alias("gap"), b.alias("hit"))))
+    return F.when(text.rlike(pattern), _let(found, place)).otherwise(F.array().cast(_POSITIONS))
+
+
+def apart_from(tokens: Column, base: Column) -> Column:
+    """The tokens that overlap none of the base spans: in the order of starts, no base span before a token reaches
+    into it and the next one starts behind it."""
+    def mark(m: Column, is_token: bool) -> Column:
+        hit = m["hit"] if is_token else F.lit(None).cast("string")
+        return F.struct(m["start"].alias("start"), m["end"].alias("end"), hit.alias("hit"))
+
+    def pick(both: Column) -> Column:
+        reach = running(F.transform(both, lambda m: F.when(m["hit"].isNull(), m["end"]).otherwise(0)), F.greatest, 0)
+        ahead = F.reverse(running(F.transform(F.reverse(both), lambda m: F.when(m["hit"].isNull(), m["start"])
+                                              .otherwise(_FAR)), F.least, _FAR))
+        seen = F.zip_with(both, F.zip_with(reach, ahead, lambda x, y: F.struct(x.alias("reach"), y.alias("ahead"))),
+                          lambda m, o: F.struct(m.alias("m"), o["reach"].alias("reach"), o["ahead"].alias("ahead")))
+        free = F.filter(seen, lambda x: x["m"]["hit"].isNotNull() & (x["reach"] <= x["m"]["start"])
+                        & (x["ahead"] >= x["m"]["end"]))
+        return F.transform(free, lambda x: x["m"])
+
+    both = F.array_sort(F.concat(F.transform(tokens, lambda m: mark(m, True)), F.transform(base, lambda m: mark(m, False))))
+    return F.when((F.size(tokens) == 0) | (F.size(base) == 0), tokens).otherwise(_let(both, pick))
+
+
+def outermost(hits: Column) -> Column:
+    """The hits (no two alike) that lie in no other one: by start, longest first, none before reaches as far."""
+    def pick(ordered: Column) -> Column:
+        reach = running(F.transform(ordered, lambda m: m["end"]), F.greatest, 0)
+        seen = F.zip_with(ordered, reach, lambda m, o: F.struct(m.alias("m"), o.alias("reach")))
+        return F.transform(F.filter(seen, lambda x: x["reach"] < x["m"]["end"]), lambda x: F.struct(
+            x["m"]["start"].alias("start"), x["m"]["end"].alias("end")))
+
+    spans = F.transform(hits, lambda m: F.struct(m["start"].alias("start"), (-m["end"]).alias("back"), m["end"].alias("end")))
+    return _let(F.array_sort(spans), pick)
 
 
 def _spans(found: Column, rank: int, kind: str) -> Column:
@@ -113,31 +174,46 @@ def _encoding(token: Column, of: int) -> Column:
 
 def battery(token: Column, alphabet: Column) -> Column:
     """Adjusted smallest p-value of the three tests under the hypothesis of independent uniform symbols."""
-    body = F.rtrim(token, F.lit("="))
-    symbols = F.transform(F.split(body, ""), lambda c: (F.position(c, alphabet) - 1).cast("double"))
-    n, a = F.length(body).cast("double"), F.length(alphabet).cast("double")
-    total = lambda arr: F.aggregate(arr, F.lit(0.0), lambda s, x: s + x)
-
-    squares = total(F.transform(F.split(alphabet, ""), lambda c: F.pow(
-        (F.length(body) - F.length(F.replace(body, c, F.lit("")))).cast("double"), F.lit(2.0))))
-    chi2 = a / n * squares - n
-    p_uniform = upper_tail((chi2 - (a - 1)) / F.sqrt(2 * (a - 1) * (n - 1) / n))
-
-    pairs = F.arrays_zip(F.slice(symbols, F.lit(1), F.size(symbols) - 1),
-                         F.slice(symbols, F.lit(2), F.size(symbols) - 1))
-    high = lambda x: x * 2 >= a
-    n1 = total(F.transform(symbols, lambda x: high(x).cast("double")))
-    runs = 1 + total(F.transform(pairs, lambda q: (high(q["0"]) != high(q["1"])).cast("double")))
-    expected = 2 * n1 * (n - n1) / n + 1
-    spread = (expected - 1) * (expected - 2) / (n - 1)
-    p_runs = F.when(spread > 0, 2 * upper_tail(F.abs(runs - expected) / F.sqrt(spread))).otherwise(0.0)
-
-    mean = total(symbols) / n
-    square = total(F.transform(symbols, lambda x: x * x)) - n * mean * mean
-    cross = total(F.transform(pairs, lambda q: (q["0"] - mean) * (q["1"] - mean)))
-    p_serial = F.when(square > 1e-9, 2 * upper_tail(F.abs(cross / square + 1 / n) * F.sqrt(n))).otherwise(0.0)
-    least = F.least(p_uniform, p_runs, p_serial)
-    return F.round(F.least(F.greatest(1 - F.pow(1 - F.least(least, F.lit(1.0)), F.lit(3.0)), F.lit(0.0)), F.lit(1.0)), 9)
+    def total(arr: Column) -> Column:
+        return F.aggregate(arr, F.lit(0.0), lambda acc, x: acc + x)
+
+    def symbols(t: Column) -> Column:
+        body, a = t["body"], F.length(t["alphabet"]).cast("double")
+        counts = F.transform(F.split(t["alphabet"], ""), lambda c: F.pow(
+            (F.length(body) - F.length(F.replace(body, c, F.lit("")))).cast("double"), F.lit(2.0)))
+        x = F.transform(F.split(body, ""), lambda c: (F.position(c, t["alphabet"]) - 1).cast("double"))
+        return F.struct(x.alias("x"), total(counts).alias("squares"), F.length(body).cast("double").alias("n"), a.alias("a"))
+
+    def sums(s: Column) -> Column:
+        x = s["x"]
+        return F.struct(
+            F.arrays_zip(F.slice(x, F.lit(1), F.size(x) - 1), F.slice(x, F.lit(2), F.size(x) - 1)).alias("pairs"),
+            total(F.transform(x, lambda v: (v * 2 >= s["a"]).cast("double"))).alias("n1"),
+            (total(x) / s["n"]).alias("mean"), total(F.transform(x, lambda v: v * v)).alias("second"),
+            s["squares"].alias("squares"), s["n"].alias("n"), s["a"].alias("a"))
+
+    def statistics(s: Column) -> Column:
+        n, a, n1, mean = s["n"], s["a"], s["n1"], s["mean"]
+        runs = 1 + total(F.transform(s["pairs"], lambda q: ((q["0"] * 2 >= a) != (q["1"] * 2 >= a)).cast("double")))
+        cross = total(F.transform(s["pairs"], lambda q: (q["0"] - mean) * (q["1"] - mean)))
+        return F.struct((a / n * s["squares"] - n).alias("chi2"), runs.alias("runs"), cross.alias("cross"),
+                        (s["second"] - n * mean * mean).alias("square"),
+                        (2 * n1 * (n - n1) / n + 1).alias("expected"), n.alias("n"), a.alias("a"))
+
+    def least(s: Column) -> Column:
+        n, a, expected = s["n"], s["a"], s["expected"]
+        p_uniform = upper_tail((s["chi2"] - (a - 1)) / F.sqrt(2 * (a - 1) * (n - 1) / n))
+        spread = (expected - 1) * (expected - 2) / (n - 1)
+        p_runs = F.when(spread > 0, 2 * upper_tail(F.abs(s["runs"] - expected) / F.sqrt(spread))).otherwise(0.0)
+        p_serial = F.when(s["square"] > 1e-9,
+                          2 * upper_tail(F.abs(s["cross"] / s["square"] + 1 / n) * F.sqrt(n))).otherwise(0.0)
+        return F.least(p_uniform, p_runs, p_serial, F.lit(1.0))
+
+    # Each step is computed once and named by the next: a token's cost is in proportion to its length.
+    p = F.struct(F.rtrim(token, F.lit("=")).alias("body"), alphabet.alias("alphabet"))
+    for step in (symbols, sums, statistics, least):
+        p = _let(p, step)
+    return F.round(F.least(F.greatest(1 - F.pow(1 - p, F.lit(3.0)), F.lit(0.0)), F.lit(1.0)), 9)
 
 
 def _length_class(n: Column) -> Column:
@@ -155,7 +231,9 @@ def _parts(runs: Column) -> Column:
     """The tokens to test: runs that fit an encoding whole, and of others their long parts. Parts may overlap:
     which of ``/+`` and ``_-`` are separators and which are symbols of a key can't be told beforehand."""
     def narrower(part: Column) -> Column:
-        return F.array_distinct(F.concat(*[_within(part, p) for p in NARROWER]))
+        # Equal parts stand side by side once sorted.
+        return _let(F.array_sort(F.concat(*[_within(part, p) for p in NARROWER])), lambda found: F.filter(
+            found, lambda m, i: (i == 0) | (m != F.get(found, i - 1))))
 
     def split(run: Column) -> Column:
         parts = F.transform(_within(run, BETWEEN_EQUALS),
@@ -170,8 +248,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     rows = rows.select("doc_id", base_spans(F.col("t")).alias("base"),
                        _parts(match_positions(F.col("t"), TOKEN)).alias("tokens"))
-    free = F.filter("tokens", lambda m: ~F.exists("base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
-    named = F.transform(free, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["hit"].alias("hit"),
+    rows = rows.select("doc_id", "base", apart_from(F.col("tokens"), F.col("base")).alias("free"))
+    named = F.transform("free", lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["hit"].alias("hit"),
                                                  _encoding(m["hit"], 0).alias("encoding"),
                                                  _encoding(m["hit"], 2).alias("alphabet")))
     tested = F.transform(named, lambda m: F.struct(
@@ -241,8 +319,8 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                               .cast("array<struct<stratum:string,cut:double>>"))
     hits = F.filter("tested", lambda m: F.coalesce(m["p"] >= F.element_at(cuts, m["stratum"]), F.lit(False)))
     # A part inside another one that is reported adds nothing.
-    widest = F.filter(hits, lambda m: ~F.exists(hits, lambda o: (o["start"] <= m["start"]) & (m["end"] <= o["end"]) & (
-        o["end"] - o["start"] > m["end"] - m["start"])))
+    widest = F.when(F.size(hits) > 1, outermost(hits)).otherwise(
+        F.transform(hits, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"))))
     return scanned.select("doc_id", "base", _spans(widest, len(KINDS), RANDOM).alias("added"))
 
 

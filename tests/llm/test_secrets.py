@@ -5,6 +5,7 @@ import math
 import random
 import re
 import string
+import time
 
 from pyspark.sql import functions as F
 
@@ -152,3 +153,35 @@ def test_a_lone_key_of_a_rare_length(spark):
     rows = [(i, f"key {token(rng, chars, 32)} end") for i in range(80)] + [(1000, f"key {lone} end")]
     got = {r.doc_id: r.added for r in secrets.find_secrets(frame(spark, rows)).collect()}
     assert [(m.start, m.end) for m in got[1000]] == [(4, 204)]
+
+
+def test_running_and_overlaps_match_brute_force(spark):
+    rng = random.Random(8)
+    rows = []
+    for n in (0, 1, 2, 3, 4, 5, 9, 10, 17, 60):
+        tokens = [(a, a + rng.randint(1, 30), "t") for a in (rng.randint(0, 20 * n) for _ in range(n))]
+        base = [(a, a + rng.choice((1, 5, 200)), None) for a in (rng.randint(0, 20 * n + 9) for _ in range(n // 2))]
+        rows.append((n, list(dict.fromkeys(tokens)), base))
+    spans = "array<struct<start:int,end:int,hit:string>>"
+    df = spark.createDataFrame(rows, f"n int, tokens {spans}, base {spans}")
+    out = {r.n: r for r in df.select(
+        "n", secrets.apart_from(F.col("tokens"), F.col("base")).alias("free"),
+        secrets.outermost(F.col("tokens")).alias("outer"),
+        secrets.running(F.transform("tokens", lambda m: m["end"]), lambda x, y: x + y, 0).alias("sums")).collect()}
+    for n, tokens, base in rows:
+        assert sorted(map(tuple, out[n].free)) == sorted(
+            t for t in tokens if not any(b[0] < t[1] and t[0] < b[1] for b in base)), n
+        assert sorted(map(tuple, out[n].outer)) == sorted(
+            t[:2] for t in tokens if not any(o[0] <= t[0] and t[1] <= o[1] and o[1] - o[0] > t[1] - t[0] for o in tokens)), n
+        assert out[n].sums == [sum(t[1] for t in tokens[:i]) for i in range(len(tokens))]
+
+
+def test_a_text_of_many_tokens_takes_near_linear_time(spark):
+    """Keys, base spans and parts of keys by the ten thousand in one text."""
+    rng = random.Random(9)
+    chars = string.ascii_letters + string.digits
+    text = " ".join(f"{token(rng, '0123456789abcdef', 32)} id={token(rng, chars, 24)}" for _ in range(10000))
+    start = time.perf_counter()
+    r = secrets.digest(secrets.find_secrets(frame(spark, [(1, text), (2, token(rng, chars, 200000))]))).collect()
+    assert time.perf_counter() - start < 90
+    assert sum(x.n_hex for x in r) == 10000 and sum(x.n_random for x in r) > 7000
