@@ -368,16 +368,34 @@ def fit_examples(chosen: list[Example], epochs: int = 6, ridge: float = 0.02) ->
 def find(text: str, model: SemiCrf) -> tuple[list[Span], list[Span]]:
     """(base spans, spans the model adds): an added span overlaps no base span."""
     base = base_spans(text)
-    taken = sorted((a, b) for _, a, b in base)
+    taken = _union(base)
     added = []
+    k = 0
     for a, b in regions(text):
-        if any(x <= a and b <= y for x, y in taken):
+        while k < len(taken) and taken[k][1] <= a:
+            k += 1
+        if k < len(taken) and taken[k][0] <= a and b <= taken[k][1]:
             continue
-        found = model.decode(text, (m.span() for m in _TOKEN.finditer(text, a, b)))
-        added += [s for s in found if not any(x < s[2] and s[1] < y for x, y in taken)]
+        j = k
+        for s in model.decode(text, (m.span() for m in _TOKEN.finditer(text, a, b))):
+            while j < len(taken) and taken[j][1] <= s[1]:
+                j += 1
+            if j == len(taken) or taken[j][0] >= s[2]:
+                added.append(s)
     return base, sorted(added)
 
 
+def _union(spans: list[Span]) -> list[tuple[int, int]]:
+    """The stretches the spans cover, in order and apart; spans that only touch stay two."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted((a, b) for _, a, b in spans):
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
 def _format(spans: list[Span]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for k, a, b in sorted(spans))
 

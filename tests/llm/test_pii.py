@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -187,3 +188,25 @@ def test_long_regions_are_decoded_whole(model, monkeypatch):
         small = pii.find(text, model)
         monkeypatch.setattr(pii, "BLOCK_TOKENS", 10**6)
         assert small == pii.find(text, model)
+
+
+def test_overlaps_match_brute_force(model):
+    rng = random.Random(14)
+    for _ in range(200):
+        text = "".join(rng.choice(["a@b.co", " ", "1.2.3.4", "x", "+1 (443) 555-5793", "4111 1111 1111 1111", "@", "7", ". "])
+                       for _ in range(rng.randint(1, 25)))
+        base, added = pii.find(text, model)
+        want = []
+        for a, b in pii.regions(text):
+            if not any(x <= a and b <= y for _, x, y in base):
+                want += [s for s in model.decode(text, [m.span() for m in pii._TOKEN.finditer(text, a, b)])
+                         if not any(x < s[2] and s[1] < y for _, x, y in base)]
+        assert added == sorted(want)
+
+
+def test_a_text_of_many_addresses_takes_linear_time(model):
+    text = "\n".join(f"user{i}@mail{i}.example.com" for i in range(200000))
+    start = time.perf_counter()
+    base, added = pii.find(text, model)
+    assert time.perf_counter() - start < 60
+    assert len(base) == 200000 and not added
