@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import re
+import string
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,11 +45,26 @@ def record_text(audit: DataFrame) -> Column:
     return F.to_json(F.struct(*[F.col(c) for c in audit.columns]))
 
 
+def matches_decision(text: Column, decision_re: str) -> Column:
+    """Whether ``text`` matches the regex, ASCII letters in either case.
+
+    An alternation of plain words is searched word by word in the lower-cased
+    text: a regular expression tries every word at every offset, letter by letter.
+    """
+    words = decision_re.split("|")
+    if not all(re.fullmatch(r"[A-Za-z0-9 _]+", w) for w in words):
+        return text.rlike(f"(?i)(?:{decision_re})")
+    # Only ASCII letters fold, as in the regex: other letters' lower case may be an ASCII letter.
+    lower = F.when(F.octet_length(text) == F.char_length(text), F.lower(text)) \
+        .otherwise(F.translate(text, string.ascii_uppercase, string.ascii_lowercase))
+    return reduce(or_, [F.contains(lower, F.lit(w.lower())) for w in words])
+
+
 def evidence(text: Column, principal: str, needle1: str, needle2: str, decision_re: str) -> Column:
     """P10: record text contains the principal and both needles and matches the
     decision regex case-insensitively."""
     return (F.contains(text, F.lit(principal)) & F.contains(text, F.lit(needle1))
-            & F.contains(text, F.lit(needle2)) & text.rlike(f"(?i)(?:{decision_re})"))
+            & F.contains(text, F.lit(needle2)) & matches_decision(text, decision_re))
 
 
 def evidence_by_run(audit: DataFrame, text: Column, probes: list[tuple[str, str, str, str, str]],
