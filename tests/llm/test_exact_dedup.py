@@ -70,3 +70,19 @@ def test_hot_group_over_many_partitions(spark):
     rows = [(i, "copy" if i % 3 else f"own {i}") for i in range(6000)]
     df = frame(spark, rows).repartition(16)
     assert result(exact_dedup.assign_groups(df)) == brute(rows)
+
+
+def test_a_row_without_an_equal_is_not_marked(spark, documents, monkeypatch):
+    """Every row with an equal is marked, and a map of few bits, marked by chance, changes no result."""
+    rows = [(r.doc_id, r.text) for r in documents] + EDGE
+    df = frame(spark, rows)
+    sizes = {}
+    for _, t in rows:
+        n = (t or "").translate(LOWER)
+        sizes[n] = sizes.get(n, 0) + 1
+    marked = {(r.text or "").translate(LOWER): r["__marked"] for r in exact_dedup._marked(df, F.col("text")).collect()}
+    assert marked == {n: size > 1 or n in ("Ä", "ä") for n, size in sizes.items()}
+    want = sorted(map(repr, exact_dedup.deduplicate(df).collect()))
+    monkeypatch.setattr(exact_dedup, "MARK_BITS", 7)
+    assert result(exact_dedup.assign_groups(df)) == brute(rows)
+    assert sorted(map(repr, exact_dedup.deduplicate(df).collect())) == want
