@@ -34,7 +34,9 @@ from shopguard.llm.common import written
 
 BATCH_CHARS = 1_000_000      # text encoded and aligned at a time
 CHUNK_UNITS = 1_000_000      # units of the texts of one chunk, and of the one text that exceeds it
-CACHED_TOKENS = 3_500_000    # tokens of units a worker keeps aligned before it starts afresh
+CHUNK_TOKENS = 7_000_000     # tokens of the units a chunk may hold, and those of the batch that exceeds it
+CACHED_TOKENS = 1_500_000    # tokens of units a worker keeps aligned for its next chunk; beyond, it starts afresh
+SLICE_UNITS = 10_000         # units encoded, aligned or spelled at a time: what that takes on top of its result
 
 # A blank between two symbols that are no white space. A's words start there; for B it is checked that no
 # piece has its blank behind anything else.
@@ -189,8 +191,10 @@ class Units:
     BAD, ODD = -1, -2                    # bytes differ; white space at an edge, so blanks alone don't cut there
 
     def _add(self, units: list) -> None:
-        if not units:
-            return
+        for i in range(0, len(units), SLICE_UNITS):
+            self._add_slice(units[i:i + SLICE_UNITS])
+
+    def _add_slice(self, units: list) -> None:
         a, b, n_a, n_b, fit = self.tok.encode([u if isinstance(u, str) else u[0] for u in units])
         self.number.update(dict.fromkeys([units[i] for i in np.flatnonzero(~fit).tolist()], self.BAD))
         good = [units[i] for i in np.flatnonzero(fit).tolist()]
@@ -232,19 +236,22 @@ class Units:
 
     def dictionary(self, used: np.ndarray, times: np.ndarray) -> tuple:
         """What the chunk's row holds of the units ``used``, which occur ``times`` times."""
-        a, b, size_a, size_b, links, n_a, n_b, n_g = (
-            np.concatenate([p[k] for p in self.parts] or [np.empty(0, np.int64)]) for k in range(8))
-        n_l = n_a + n_b - n_g
-
-        def of(flat: np.ndarray, n: np.ndarray) -> np.ndarray:
-            end = np.cumsum(n)[used] if len(used) else np.empty(0, np.int64)
-            return flat[_ranges(end - n[used], end)[1]]
-
-        mine = of(links, n_l)
-        pairs, place = np.unique(mine, return_inverse=True)
-        counts = np.bincount(place, np.repeat(times, n_l[used]).astype(float), len(pairs)).astype(np.int64)
-        return (*(_pack(x) for x in (of(a, n_a), of(b, n_b), of(size_a, n_g), of(size_b, n_g), place, n_a[used], n_b[used],
-                                     n_g[used])), pairs.astype("<i8").tobytes(), counts.astype("<i8").tobytes())
+        got: list[list[np.ndarray]] = [[np.empty(0, np.int32)] for _ in range(8)]
+        first = 0
+        for a, b, size_a, size_b, links, n_a, n_b, n_g in self.parts:
+            lo, hi = np.searchsorted(used, [first, first + len(n_g)])
+            mine, first = used[lo:hi] - first, first + len(n_g)
+            if hi > lo:
+                for k, (flat, n) in enumerate(((a, n_a), (b, n_b), (size_a, n_g), (size_b, n_g), (links, n_a + n_b - n_g))):
+                    end = np.cumsum(n)[mine]
+                    got[k].append(flat[_ranges(end - n[mine], end)[1]])
+                for k, n in enumerate((n_a, n_b, n_g), 5):
+                    got[k].append(n[mine].astype(np.int32))
+        a, b, size_a, size_b, links, n_a, n_b, n_g = (np.concatenate(x) for x in got)
+        pairs, place = np.unique(links, return_inverse=True)
+        counts = np.bincount(place, np.repeat(times, n_a + n_b - n_g).astype(float), len(pairs)).astype(np.int64)
+        return (*(_pack(x) for x in (a, b, size_a, size_b, place, n_a, n_b, n_g)),
+                pairs.astype("<i8").tobytes(), counts.astype("<i8").tobytes())
 
     def renewed(self) -> Units:
         return Units(self.tok) if self.tokens > CACHED_TOKENS or len(self.number) > CACHED_TOKENS else self
@@ -257,14 +264,14 @@ _ALIGNED_DDL = "chunk long, row int, doc_id long, units binary, " + ", ".join(f"
 
 
 def _pack(x: np.ndarray) -> bytes:
-    """Unsigned 32-bit numbers, all their lowest bytes first, which compress best side by side."""
+    """Numbers below 2**31, all their lowest bytes first, which compress best side by side."""
     planes = np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T)
     return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
 
 def _unpack(x: bytes) -> np.ndarray:
     planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
+    return np.ascontiguousarray(planes.T).view("<i4").ravel()
 
 
 def _chunk_rows(chunk: int, ids: list[int | None], docs: list[np.ndarray], units: Units) -> Iterator[pa.RecordBatch]:
@@ -306,7 +313,7 @@ def align(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", tex
             ids += [d for d, _ in texts]
             rows += units.numbers([t for _, t in texts])
             held += sum(len(x) for x in rows[-len(texts):])
-            if held >= CHUNK_UNITS or units.tokens > 2 * CACHED_TOKENS:
+            if held >= CHUNK_UNITS or units.tokens > CHUNK_TOKENS:
                 yield from _chunk_rows(part << 32 | n_chunks, ids, rows, units)
                 units, ids, rows, held, n_chunks = units.renewed(), [], [], 0, n_chunks + 1
         if rows:
@@ -396,6 +403,17 @@ class Speller:
         if self.width < most:
             self.width = max(most, 1 << 16)
             self.table = [x for end in (b",", b"|", b";", b"\n") for x in _digits(self.width, end)]
+        # Where each unit's groups and tokens begin, and the end of the last one's.
+        of_g, of_a, of_b = (np.concatenate([[0], np.cumsum(x)]) for x in (n_g, sizes_a, sizes_b))
+        out: list[bytes] = []
+        for i in range(0, len(n_g), SLICE_UNITS):
+            n = n_g[i:i + SLICE_UNITS]
+            g = slice(of_g[i], of_g[i + len(n)])
+            out += self._spell(ids_a[of_a[g.start]:of_a[g.stop]], ids_b[of_b[g.start]:of_b[g.stop]],
+                               sizes_a[g], sizes_b[g], n)
+        return out
+
+    def _spell(self, ids_a, ids_b, sizes_a, sizes_b, n_g) -> list[bytes]:
         end_a, end_b = np.zeros(len(ids_a), np.int64), np.zeros(len(ids_b), np.int64)
         end_a[np.cumsum(sizes_a) - 1] = 1
         end_b[np.cumsum(sizes_b) - 1] = 2
@@ -419,16 +437,13 @@ def digest(aligned: DataFrame) -> DataFrame:
     def score(docs: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         if not spellers:
             spellers.append(Speller())
-        known = held[held["pair"].notna()].sort_values("pair")       # the order of the chunk's dictionary
+        known = held.loc[held["pair"].notna(), ["pair", "total", "best"]].sort_values("pair")   # as in the dictionary
         total, best = known["total"].to_numpy().astype(np.int64), known["best"].to_numpy().astype(np.int64)
         row = held[held["pair"].isna()].iloc[0]
         r = {c: _unpack(row[c]) for c in _DICTIONARY[:8]}
         n_l = r["n_a"] + r["n_b"] - r["n_g"]
-        of = np.repeat(np.arange(len(n_l)), n_l)
         per_unit = {"n_a": r["n_a"], "n_b": r["n_b"], "n_groups": r["n_g"], "n_links": n_l,
-                    "n_best": np.zeros(len(n_l), np.int64), "count_sum": np.zeros(len(n_l), np.int64)}
-        np.add.at(per_unit["n_best"], of, best[r["links"]])
-        np.add.at(per_unit["count_sum"], of, total[r["links"]])
+                    "n_best": _sums(best[r["links"]], n_l), "count_sum": _sums(total[r["links"]], n_l)}
         spelled = spellers[0].units(*(r[c] for c in ("ids_a", "ids_b", "sizes_a", "sizes_b", "n_g")))
         cols: dict[str, list] = {c: [] for c in [*per_unit, "groups_sha256"]}
         for x in docs["units"]:

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -135,3 +136,41 @@ def test_empty_table_and_groups(spark, libraries):
     a, b = tokens("abcdefgh unbelievable", libraries)
     assert [i for g in got[5] for i in g.a] == [i for i, _ in a] and [i for g in got[5] for i in g.b] == [i for i, _ in b]
     assert got[6] == []
+
+
+def test_spelling_takes_little_beside_its_result():
+    """Speller.units holds the ids of a slice of units, not those of a whole dictionary, as objects (100 MB here)."""
+    rng, n = np.random.default_rng(0), 150_000
+    n_g = rng.integers(1, 3, n)
+    sizes_a, sizes_b = rng.integers(1, 4, (2, n_g.sum()))
+    ids_a, ids_b = rng.integers(0, 32_000, sizes_a.sum()), rng.integers(0, 32_000, sizes_b.sum())
+    speller = alignment.Speller()
+    speller.units(ids_a[:sizes_a[0]], ids_b[:sizes_b[0]], sizes_a[:1], sizes_b[:1], np.ones(1, np.int64))   # its table
+    tracemalloc.start()
+    got = speller.units(ids_a, ids_b, sizes_a, sizes_b, n_g)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40e6
+    want, a, b, g = [], ids_a.tolist(), ids_b.tolist(), 0
+    at = np.concatenate([[0], np.cumsum(sizes_a)]).tolist(), np.concatenate([[0], np.cumsum(sizes_b)]).tolist()
+    for k in n_g.tolist():
+        want.append(";".join("|".join(",".join(map(str, x[e[i]:e[i + 1]])) for x, e in zip((a, b), at))
+                             for i in range(g, g + k)).encode())
+        g += k
+    assert got == want
+
+
+def test_units_are_encoded_in_slices(spark, libraries, monkeypatch):
+    made, sizes = alignment.Tokenizers(*(open(p, "rb").read() for p in PATHS)), []
+    encode = made.encode
+    monkeypatch.setattr(alignment, "SLICE_UNITS", 3, raising=False)
+    monkeypatch.setattr(made, "encode", lambda units: sizes.append(len(units)) or encode(units))
+    units = alignment.Units(made)
+    first = units.numbers(["one two three four five six seven", "eight nine ten one"])
+    assert max(sizes) <= 3 and [x.tolist() for x in first] == [list(range(7)), [7, 8, 9, 0]]
+    # A dictionary of some units of several slices, in any chunk after the first.
+    used, times = np.array([1, 5, 9]), np.array([2, 1, 4])
+    whole = alignment.Units(made)
+    monkeypatch.setattr(alignment, "SLICE_UNITS", 100, raising=False)
+    whole.numbers(["two six ten"])
+    assert units.dictionary(used, times) == whole.dictionary(np.arange(3), times)
